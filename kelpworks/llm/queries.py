@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.tables import load
-from . import fusion, packing, splitting, tokens
+from . import fusion, neighbours, packing, splitting, tokens
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -93,3 +93,27 @@ def p9_containers(spark, folder):
 @query
 def p9_found(spark, folder):
     return p9_containers(spark, folder).filter("pieces > 1 AND piece = 0").select(F.col("item").alias("doc_id"))
+
+
+# --- 6: most similar vectors --------------------------------------------------------------------
+
+
+@query
+def p6_found(spark, folder):
+    return neighbours.close_pairs(neighbours.most_similar(load(spark, folder, "vectors"), k=5, min_cosine=0.93))
+
+
+@query
+def p6_neighbours(spark, folder):
+    """The 5 most similar of every vector whose id is divisible by 50, whatever their cosine."""
+    return neighbours.most_similar(load(spark, folder, "vectors"), k=5, every=50)
+
+
+SQL["p6_found"] = """
+WITH u AS (
+  SELECT DISTINCT ON (vec_id) vec_id, model, embedding::DOUBLE[] AS e FROM vectors
+  WHERE len(embedding) = dimension AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+c AS (SELECT a.vec_id AS q, b.vec_id AS o, round(list_cosine_similarity(a.e, b.e), 9) AS cosine FROM u a JOIN u b ON a.model = b.model AND a.vec_id <> b.vec_id),
+k AS (SELECT q, o, cosine, row_number() OVER (PARTITION BY q ORDER BY cosine DESC, o) AS n FROM c)
+SELECT DISTINCT least(q, o) AS vec_a, greatest(q, o) AS vec_b FROM k WHERE n <= 5 AND cosine >= 0.93
+"""
