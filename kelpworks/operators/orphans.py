@@ -19,6 +19,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F, types as T
 
+from ..functions.skew import salted_join
+
 
 def _word(key: Column, words: int) -> Column:
     return F.pmod(F.xxhash64(key), F.lit(words)).cast("int")
@@ -46,15 +48,18 @@ def references(edges: DataFrame, key: str = "edge_id", sides: tuple[tuple[str, s
     return edges.select(F.col(key).alias("edge_id"), F.col(at).alias("at"), pairs.alias("r")).select("edge_id", "at", "r.side", "r.id").filter("edge_id IS NOT NULL AND id IS NOT NULL AND id <> ''")
 
 
-def orphan_references(edges: DataFrame, symbols: DataFrame, external: DataFrame, words: int = 1 << 16, hot_share: int = 200, salt: int = 16) -> DataFrame:
+def orphan_references(edges: DataFrame, symbols: DataFrame, external: DataFrame, words: int | None = None, max_words: int = 1 << 21, hot_share: int = 200, salt: int = 16) -> DataFrame:
     """`edge_id, side, reason, day`: the references that name nothing existing at observed_at.
 
-    words bounds the broadcast filter: 65,536 words of 64 bits are about 1 MB and keep false positives
-    near 1 % for 260,000 keys; more keys only send more references to the exact join.
+    words sizes the broadcast filter; left out, it follows the number of parent rows (6 a word, about 1 %
+    false positives) up to max_words, 24 MB of rows. Beyond that bound more references are filter-positive
+    and go through the exact join; the result is the same.
     """
     refs = references(edges)
     lives = symbols.select(F.col("symbol_id").alias("p_id"), "seen_at", "deleted_at").filter("p_id IS NOT NULL AND p_id <> ''")
     fixed = external.select(F.col("symbol_id").alias("p_id")).filter("p_id IS NOT NULL")
+    if words is None:
+        words = min(max_words, max(64, -(-(symbols.count() + external.count()) // 6)))
     bloom = F.broadcast(bloom_table(lives.select("p_id").unionByName(fixed), "p_id", words))
     hit = F.coalesce(F.col("bits").bitwiseAND(_mask(F.col("id"))) == _mask(F.col("id")), F.lit(False))
     probe = refs.withColumn("word", _word(F.col("id"), words)).join(bloom, "word", "left").withColumn("maybe", hit)
@@ -65,15 +70,8 @@ def orphan_references(edges: DataFrame, symbols: DataFrame, external: DataFrame,
     every = lives.select("p_id", F.array(F.struct("seen_at", "deleted_at")).cast(kind).alias("l"), F.lit(False).alias("ext")).unionByName(fixed.select("p_id", F.array().cast(kind).alias("l"), F.lit(True).alias("ext")))
     parents = every.groupBy("p_id").agg(F.flatten(F.collect_set("l")).alias("lives"), F.max("ext").alias("always"))
 
-    # Hot keys: counted by a partial aggregate over hashes; fewer than hot_share can pass the filter.
-    counts = refs.groupBy(F.xxhash64("id").alias("h")).agg(F.count(F.lit(1)).alias("n"))
-    total = counts.agg(F.sum("n").alias("t"))
-    hot = F.broadcast(counts.join(F.broadcast(total)).filter(F.col("n") * hot_share > F.col("t")).select("h", F.lit(True).alias("is_hot")))
-    salts = F.when(F.col("is_hot"), F.sequence(F.lit(0), F.lit(salt - 1))).otherwise(F.array(F.lit(0)))
-    salted = parents.withColumn("h", F.xxhash64("p_id")).join(hot, "h", "left").select("p_id", "lives", "always", F.explode(salts).alias("p_salt"))
-    spread = F.when(F.col("is_hot"), F.pmod(F.xxhash64("edge_id"), F.lit(salt)).cast("int")).otherwise(0)
-    asked = probe.filter("maybe").withColumn("h", F.xxhash64("id")).join(hot, "h", "left").select("edge_id", "side", "at", "id", spread.alias("salt"))
-    found = asked.join(salted, (F.col("id") == F.col("p_id")) & (F.col("salt") == F.col("p_salt")), "left")
+    asked = probe.filter("maybe").select("edge_id", "side", "at", "id")
+    found = salted_join(asked, parents, "id", "p_id", spread_by="edge_id", counted=refs, hot_share=hot_share, salt=salt)
 
     covers = F.exists("lives", lambda x: (x["seen_at"] <= F.col("at")) & (x["deleted_at"].isNull() | (x["deleted_at"] > F.col("at"))))
     ended = F.exists("lives", lambda x: x["deleted_at"] <= F.col("at"))
