@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.tables import load
-from . import fusion, neighbours, packing, splitting, tokens
+from . import fusion, neighbours, packing, spam, splitting, tokens
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -117,3 +117,16 @@ c AS (SELECT a.vec_id AS q, b.vec_id AS o, round(list_cosine_similarity(a.e, b.e
 k AS (SELECT q, o, cosine, row_number() OVER (PARTITION BY q ORDER BY cosine DESC, o) AS n FROM c)
 SELECT DISTINCT least(q, o) AS vec_a, greatest(q, o) AS vec_b FROM k WHERE n <= 5 AND cosine >= 0.93
 """
+
+
+# --- 10: spam pages -----------------------------------------------------------------------------
+
+
+@query
+def p10_pages(spark, folder):
+    return spam.spam_pages(load(spark, folder, "documents", "doc_id", "text", "url", "source")).select("doc_id", "total", F.round("spam", 3).alias("spam"))
+
+
+@query
+def p10_found(spark, folder):
+    return spam.spam_pages(load(spark, folder, "documents", "doc_id", "text", "url", "source")).select("doc_id")
