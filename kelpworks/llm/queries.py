@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.tables import load
-from . import fusion, neighbours, packing, spam, splitting, tokens
+from . import fusion, handwritten, neighbours, packing, spam, splitting, tokens
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -130,3 +130,16 @@ def p10_pages(spark, folder):
 @query
 def p10_found(spark, folder):
     return spam.spam_pages(load(spark, folder, "documents", "doc_id", "text", "url", "source")).select("doc_id")
+
+
+# --- 5: generated, minified, third-party and data files ------------------------------------------
+
+
+@query
+def p5_reasons(spark, folder):
+    return handwritten.not_handwritten(load(spark, folder, "files", "file_id", "path", "content"))
+
+
+@query
+def p5_found(spark, folder):
+    return p5_reasons(spark, folder).select("file_id")
