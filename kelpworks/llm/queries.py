@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.tables import load
-from . import fusion, handwritten, neighbours, packing, spam, splitting, tokens
+from . import fusion, handwritten, neighbours, packing, spam, splitting, syntax, tokens
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -143,3 +143,21 @@ def p5_reasons(spark, folder):
 @query
 def p5_found(spark, folder):
     return p5_reasons(spark, folder).select("file_id")
+
+
+# --- 2: files that do not parse -----------------------------------------------------------------
+
+
+@query
+def p2_errors(spark, folder):
+    return syntax.checked_files(load(spark, folder, "files", "file_id", "repo", "path", "content")).filter("NOT valid")
+
+
+@query
+def p2_found(spark, folder):
+    return p2_errors(spark, folder).select("file_id")
+
+
+@query
+def p2_rates(spark, folder):
+    return syntax.error_rates(syntax.checked_files(load(spark, folder, "files", "file_id", "repo", "path", "content")))
