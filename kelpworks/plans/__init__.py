@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("upkeep",)
+MODULES = ("upkeep", "text_queries")
 
 
 def _catalog():
