@@ -53,12 +53,16 @@ def changed_per_run(scans: DataFrame, runs: DataFrame, key: str = "path", versio
     third of all rows costs one partial aggregate and at most one row per run afterwards.
     """
     windows = run_windows(runs)
-    n = windows.count()  # one row per successful run, checked before it is broadcast
+    n, start = windows.agg(F.count(F.lit(1)), F.to_date(F.min("high"))).first()  # one row per successful run, checked before it is broadcast
     if n > max_runs:
         raise ValueError(f"{n} successful runs; raise max_runs to accept a broadcast of that size")
-    windows = F.broadcast(windows)
+    # Days make the range join an equi-join; what arrived before the first run's day counts to that day.
+    first_day = F.lit(start).cast("date")
+    days = F.explode(F.sequence(F.greatest(first_day, F.to_date(F.coalesce("low", F.lit(start).cast("timestamp")))), F.to_date("high")))
+    windows = F.broadcast(windows.withColumn("day", days))
     rows = scans.select(F.col(key).alias("k"), F.col(version).alias("v"), F.col(content).alias("c"), F.col(arrived).alias("a")).filter("k IS NOT NULL AND v IS NOT NULL AND c IS NOT NULL AND a IS NOT NULL")
-    reread = rows.join(windows, (F.col("a") <= F.col("high")) & (F.col("low").isNull() | (F.col("a") >= F.col("low"))), "inner").select("k", "v", "c", "a", "run_id", "seq", "prev_high")
+    rows = rows.withColumn("a_day", F.greatest(first_day, F.to_date("a")))
+    reread = rows.join(windows, (F.col("a_day") == F.col("day")) & (F.col("a") <= F.col("high")) & (F.col("low").isNull() | (F.col("a") >= F.col("low"))), "inner").select("k", "v", "c", "a", "run_id", "seq", "prev_high")
     # The ledger holds the pairs that were processed by an earlier run; only pairs in an overlap can meet it.
     ledger = reread.filter(F.col("prev_high").isNull() | (F.col("a") > F.col("prev_high"))).select("k", "v", F.col("seq").alias("done"))
     overlap = reread.filter(F.col("a") <= F.col("prev_high"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("upkeep", "text_queries", "retrieval_queries", "graph_queries")
+MODULES = ("upkeep", "text_queries", "retrieval_queries", "graph_queries", "locate_queries", "change_queries")
 
 
 def _catalog():
