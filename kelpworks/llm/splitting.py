@@ -148,9 +148,9 @@ def oversized(hits: DataFrame, nodes: DataFrame, files: DataFrame, limit: int =
 
     Sizes are tested before anything is shuffled, and of a file's text only the node's bytes leave the join.
     """
-    text = hits.select(F.col("hit_id").alias("item_id"), F.col("chunk_text").alias("t")).filter(F.octet_length("t") > limit).dropDuplicates(["item_id"])
+    text = hits.select(F.col("hit_id").alias("item_id"), F.col("chunk_text").alias("t")).filter((F.octet_length("t") > limit) & F.col("item_id").isNotNull()).dropDuplicates(["item_id"])
     one = text.select(F.lit("hit").alias("item_kind"), "item_id", F.encode("t", "utf-8").alias("data"))
-    ranges = nodes.select(F.col("id").alias("item_id"), F.col("file_id").alias("nf"), "byte_start", "byte_end").filter(f"byte_start >= 0 AND byte_end - byte_start > {limit}").dropDuplicates(["item_id"])
+    ranges = nodes.select(F.col("id").alias("item_id"), F.col("file_id").alias("nf"), "byte_start", "byte_end").filter(f"item_id IS NOT NULL AND byte_start >= 0 AND byte_end - byte_start > {limit}").dropDuplicates(["item_id"])
     bodies = files.select("file_id", "content").filter(F.octet_length("content") > limit).dropDuplicates(["file_id"]).select("file_id", F.encode("content", "utf-8").alias("body"))
     cut = F.expr("substring(body, cast(byte_start + 1 AS int), cast(byte_end - byte_start AS int))")
     two = ranges.join(bodies, F.col("nf") == F.col("file_id")).filter("byte_end <= octet_length(body)").select(F.lit("node").alias("item_kind"), "item_id", cut.alias("data"))
