@@ -124,7 +124,7 @@ class Engine:
             keep = path_filter(F.col("file"), include) if keep is None else keep & path_filter(F.col("file"), include)
         chunks = self._chunks()
         hits = R.hybrid(chunks, self.vectors, "chunk_id", query, self._vector(query), clamp(k, 1, 100), focus=None if focus is None else F.lit(focus), keep=keep)
-        spans = chunks.join(F.broadcast(hits), "chunk_id").select("file", "range_start", "range_end", T.truncate_lines(F.col("text")).alias("text"), "score", "source", "chunk_id")
+        spans = chunks.join(F.broadcast(hits.select("chunk_id", "score", "source")), "chunk_id").select("file", "range_start", "range_end", T.truncate_lines(F.col("text")).alias("text"), "score", "source", "chunk_id")
         return T.cap_total_lines(spans, [F.desc("score"), F.col("file"), F.col("chunk_id")])
 
     def _chunks(self) -> DataFrame:
@@ -177,15 +177,15 @@ class Engine:
             nodes = nodes.join(files.filter(F.col("path") == file).select("file_id"), "file_id", "left_semi")
         plan = locate_plan(query, path, self.vectors is not None)
         if plan == "structural_path":
-            return L.spans(L.resolve_locator(nodes, files, path, most), files, max_bytes).orderBy(F.desc("score"), "file", "byte_start")
+            return L.spans(L.resolve_locator(nodes, files, path, most), files, max_bytes, self._table("nodes")).orderBy(F.desc("score"), "file", "byte_start")
         placed = self._chunks().join(files.select("file_id", F.col("path").alias("_p")), F.col("file") == F.col("_p")).drop("_p")
         if plan == "structural_search":
             ids = L.structural_hits(nodes, query, most)
-            return L.spans(nodes.join(F.broadcast(ids), "id"), files, max_bytes).orderBy(F.desc("score"), "file", "byte_start")
+            return L.spans(nodes.join(F.broadcast(ids), "id"), files, max_bytes, self._table("nodes")).orderBy(F.desc("score"), "file", "byte_start")
         if plan == "scoped_semantic":
             return L.scoped(placed, self.vectors, L.resolve_locator(nodes, files, parse_locator(path), 1), query, self._vector(query), most)
         hits = L.hybrid_locate(nodes, placed, self.vectors, query, self._vector(query), most)
-        return L.spans(nodes.join(F.broadcast(hits.filter("node_id IS NOT NULL").select(F.col("node_id").alias("id"), "score")), "id"), files, max_bytes).orderBy(F.desc("score"), "file", "byte_start")
+        return L.spans(nodes.join(F.broadcast(hits.filter("node_id IS NOT NULL").select(F.col("node_id").alias("id"), "score")), "id"), files, max_bytes, self._table("nodes")).orderBy(F.desc("score"), "file", "byte_start")
 
     def read_file_range(self, file: str, start: int, end: int, most: int = 16_384) -> DataFrame:
         stop = min(end, start + most)

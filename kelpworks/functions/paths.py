@@ -54,11 +54,13 @@ def is_doc_file(path: Column) -> Column:
 
 
 def sqlite_glob(pattern: str) -> str:
-    """The regular expression of a GLOB in which * also crosses slashes; [...] is a set, [^...] its complement."""
+    """The regular expression of a GLOB in which * also crosses slashes; [...] is a set, [^...] its complement; an open [ matches nothing."""
     out, i = "^", 0
     while i < len(pattern):
         c = pattern[i]
         close = pattern.find("]", i + 2) if c == "[" else -1
+        if c == "[" and close < 0:
+            return "(?!)"
         if close > 0:
             out += "[" + pattern[i + 1 : close].replace("\\", "\\\\") + "]"
             i = close

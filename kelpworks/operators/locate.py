@@ -43,10 +43,13 @@ def structural_hits(nodes: DataFrame, query: str, most: int, keep: Column | None
     return top_k(bm25(nodes.withColumn("_text", text), "id", "_text", query, keep=keep), most, "id")
 
 
-def spans(nodes: DataFrame, files: DataFrame, max_bytes: int = 4096) -> DataFrame:
-    """Nodes (with score) as spans: content up to max_bytes and the node's end, and what they can be expanded to."""
+def spans(nodes: DataFrame, files: DataFrame, max_bytes: int = 4096, every: DataFrame | None = None) -> DataFrame:
+    """Nodes (with score) as spans: content up to max_bytes and the node's end, and what they can be expanded to.
+
+    Parents are looked up in `every`, by default among the nodes themselves.
+    """
     f = files.select(F.col("file_id").alias("f_id"), F.col("path").alias("file"), F.col("content").alias("body"), F.octet_length("content").alias("file_bytes"))
-    p = nodes.select(F.col("id").alias("p_id"), F.col("label").alias("p_label"), (F.col("byte_end") - F.col("byte_start")).alias("p_bytes"))
+    p = (nodes if every is None else every).select(F.col("id").alias("p_id"), F.col("label").alias("p_label"), (F.col("byte_end") - F.col("byte_start")).alias("p_bytes"))
     wide = F.col("byte_end") - F.col("byte_start") > max_bytes
     stop = F.when(wide, F.col("byte_start") + (max_bytes - len(ELLIPSIS))).otherwise(F.col("byte_end"))
     text = bytes_of(F.col("body"), F.col("byte_start"), F.least(stop, F.col("file_bytes")))

@@ -89,7 +89,7 @@ _BLANK = {
 _NAME = r"([A-Za-z_$][\w$]*)"
 _HEADS = {
     "rust": re.compile(
-        rf"^[ \t]*(?:pub(?:\([^)]*\))?\s+)?(?:(?:default|async|unsafe|const(?=\s+(?:async|unsafe|extern|fn)\b)|extern(?:\s*\"[^\"]*\")?)\s+)*(fn|struct|enum|trait|mod|const|static|type)\s+(?:mut\s+)?{_NAME}|^[ \t]*(?:unsafe\s+)?(impl)\b[^{{;]*|^[ \t]*(macro_rules)!\s*{_NAME}", re.M
+        rf"(?:^|(?<=[{{}};]))[ \t]*(?:pub(?:\([^)]*\))?\s+)?(?:(?:default|async|unsafe|const(?=\s+(?:async|unsafe|extern|fn)\b)|extern(?:\s*\"[^\"]*\")?)\s+)*(fn|struct|enum|trait|mod|const|static|type)\s+(?:mut\s+)?{_NAME}|(?:^|(?<=[{{}};]))[ \t]*(?:unsafe\s+)?(impl)\b[^{{;]*|^[ \t]*(macro_rules)!\s*{_NAME}", re.M
     ),
     "typescript": re.compile(
         rf"^[ \t]*(?:export\s+)?(?:default\s+)?(?:declare\s+)?(?:abstract\s+)?(?:(?:async\s+)?(function)\s*\*?|(class|interface|enum|type)|const\s+(enum))\s+{_NAME}|^[ \t]*(?:export\s+)?(const|let|var)\s+{_NAME}\s*(?::[^=\n]+)?=\s*(?:async\s*)?(?=function\b|\(|[\w$]+\s*=>)|^[ \t]+(?:(?:public|private|protected|static|async|readonly|override|get|set)\s+)*{_NAME}\s*\([^()]*(?:\([^()]*\)[^()]*)*\)\s*(?::[^{{;\n]+)?(?=\{{)",

@@ -277,6 +277,8 @@ def structural_nodes(files: DataFrame, max_bytes: int = MAX_ON_DEMAND) -> DataFr
         cols = [c.split()[0] for c in NODE_SCHEMA.split(", ")]
         for pdf in batches:
             out = [r for f, p, l, c in zip(pdf["file_id"], pdf["path"], pdf["language"], pdf["content"]) for r in nodes_of(l, c, f, p)]
-            yield pd.DataFrame(out, columns=cols).astype({"parent_id": "Int64"})
+            table = dict(zip(cols, zip(*out))) if out else {c: [] for c in cols}
+            table["parent_id"] = pd.array(list(table["parent_id"]), dtype="Int64")  # by way of floats large ids would change
+            yield pd.DataFrame(table)
 
     return rows.mapInPandas(run, NODE_SCHEMA)
