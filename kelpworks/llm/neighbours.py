@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from ..functions.skew import salted_join
 from ..session import cut
 
-SHARD = 16_384
+SHARD = 32_768
 DEGREE = 32
 BEAM = 64
 ALPHA = 1.2
