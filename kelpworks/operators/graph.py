@@ -92,10 +92,10 @@ def called_words(text: Column) -> Column:
     return F.array_distinct(F.regexp_extract_all(text, F.lit(f"({WORD})\\("), F.lit(1)))
 
 
-def mentions(symbols: DataFrame, chunks: DataFrame, called: bool = False) -> DataFrame:
-    """`symbol_id, file, word`: the words of the chunks that a symbol overlaps; an interval join within the file."""
+def mentions(symbols: DataFrame, chunks: DataFrame, targets: DataFrame, called: bool = False) -> DataFrame:
+    """`symbol_id, file, word`: the words of the chunks that a symbol overlaps, if a target of the file has that name."""
     words = chunks.select(F.col("file").alias("c_file"), F.col("range_start").alias("c_start"), F.col("range_end").alias("c_end"), F.explode((called_words if called else words_of)(F.col("text"))).alias("word"))
-    names = symbols.select("file", F.col("name").alias("word")).distinct()  # other words reach no symbol
+    names = targets.select("file", F.col("name").alias("word")).distinct()
     words = words.join(names.withColumnRenamed("file", "n_file"), (F.col("c_file") == F.col("n_file")) & (words["word"] == names["word"]), "left_semi")
     own = symbols.select("symbol_id", "file", "range_start", "range_end")
     overlap = (F.col("file") == F.col("c_file")) & (F.col("range_start") < F.col("c_end")) & (F.col("c_start") < F.col("range_end"))
@@ -107,7 +107,7 @@ def reference_edges(symbols: DataFrame, chunks: DataFrame) -> DataFrame:
     sources = symbols.filter(~F.lower("kind").isin("variable", "constant"))
 
     def edges(kind: str, called: bool, targets: DataFrame) -> DataFrame:
-        m = mentions(sources, chunks, called)
+        m = mentions(sources, chunks, targets, called)
         t = targets.select(F.col("symbol_id").alias("to_id"), F.col("file").alias("t_file"), "name")
         hit = (F.col("file") == F.col("t_file")) & (F.col("word") == F.col("name")) & (F.col("symbol_id") != F.col("to_id"))
         return m.join(t, hit).select(F.col("symbol_id").alias("from_id"), "to_id", F.lit(kind).alias("kind"), F.lit("Heuristic").alias("confidence"))

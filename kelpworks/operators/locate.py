@@ -55,7 +55,7 @@ def spans(nodes: DataFrame, files: DataFrame, max_bytes: int = 4096, every: Data
     text = bytes_of(F.col("body"), F.col("byte_start"), F.least(stop, F.col("file_bytes")))
     j = nodes.join(f, F.col("file_id") == F.col("f_id")).join(p, F.col("parent_id") == F.col("p_id"), "left")
     return j.select(
-        F.concat_ws(":", "file", "byte_start", "byte_end").alias("node_id"), "file", "byte_start", "byte_end", "line_start", "line_end", "kind", "path_joined",
+        "id", F.concat_ws(":", "file", "byte_start", "byte_end").alias("node_id"), "file", "byte_start", "byte_end", "line_start", "line_end", "kind", "path_joined",
         F.concat(text, F.when(wide, ELLIPSIS).otherwise("")).alias("content"), "score", wide.alias("truncated"), F.col("p_id").alias("parent_id"), F.col("p_label").alias("parent_label"), F.col("p_bytes").alias("parent_bytes"), "file_bytes",
     )
 

@@ -57,9 +57,14 @@ def total_matches(df: DataFrame, pattern: str, text: str = "content", regex: boo
     return df.agg(F.coalesce(F.sum(F.regexp_count(F.col(text), F.lit(p)).cast("long")), F.lit(0)).cast("long").alias("total"))
 
 
+def raw_bytes_of(text: Column, start: Column, end: Column) -> Column:
+    """The bytes [start, end) of a text."""
+    return F.substring(F.encode(text, "utf-8"), (start + 1).cast("int"), F.greatest(end - start, F.lit(0)).cast("int"))
+
+
 def bytes_of(text: Column, start: Column, end: Column) -> Column:
     """The text in bytes [start, end); a cut character becomes U+FFFD."""
-    return F.decode(F.substring(F.encode(text, "utf-8"), (start + 1).cast("int"), F.greatest(end - start, F.lit(0)).cast("int")), "utf-8")
+    return F.make_valid_utf8(raw_bytes_of(text, start, end).cast("string"))
 
 
 def line_range(text: Column, first: int, last: int) -> Column:

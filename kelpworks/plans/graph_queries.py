@@ -83,11 +83,11 @@ def import_neighbours(spark, folder):
     return G.import_neighbours(edges_view(spark, folder), changed)
 
 
-@query("find_definition", f"WITH {SYMBOLS}, {FILES}, x AS (SELECT min(name) AS name FROM s WHERE kind = 'class') SELECT symbol_id, file, CAST(1 + len(regexp_extract_all(decode(encode(content)[1 : least(range_start, strlen(content))]), chr(10))) AS INT) AS start_line FROM s JOIN f ON f.path = s.file, x WHERE s.name = x.name AND strlen(content) = len(content)")
+@query("find_definition", f"WITH {SYMBOLS}, {FILES}, x AS (SELECT min(name) AS name FROM s WHERE kind = 'class'), l AS (SELECT path, unnest(string_split(content, chr(10))) AS t, generate_subscripts(string_split(content, chr(10)), 1)::INT AS line FROM f WHERE content <> ''), b AS (SELECT path, CAST(coalesce(sum(strlen(t) + 1) OVER (PARTITION BY path ORDER BY line ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS at_ FROM l) SELECT symbol_id, file, CAST(count(*) AS INT) AS start_line FROM s JOIN b ON b.path = s.file, x WHERE s.name = x.name AND at_ <= range_start GROUP BY symbol_id, file")
 def find_definition(spark, folder):
     s = symbols_view(spark, folder)
     hit = s.filter(F.col("name") == _pick(s, "name", "kind = 'class'"))
-    files = files_view(spark, folder, "file_id", "path", "content").filter("octet_length(content) = length(content)")
+    files = files_view(spark, folder, "file_id", "path", "content").filter("content <> ''")
     return hit.join(files, F.col("file") == F.col("path")).select("symbol_id", "file", T.line_of_byte(F.col("content"), F.col("range_start")).alias("start_line"))
 
 

@@ -4,11 +4,13 @@ from __future__ import annotations
 
 import datetime
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import locate as L
 from ..operators import pack as P
 from ..operators import retrieval as R
+from ..operators.text import raw_bytes_of
 from ..sources import code, structural
 from ..sources.tables import load
 from .catalog import query
@@ -44,28 +46,31 @@ def imports_extract(spark, folder):
     return code.imports(files_view(spark, folder, "file_id", "path", "language", "content"))
 
 
-_MD = "l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS t, generate_subscripts(string_split(text, chr(10)), 1)::INT AS line FROM documents WHERE text IS NOT NULL AND NOT contains(text, '```') AND NOT contains(text, '~~~')), h AS (SELECT doc_id, line, len(regexp_extract(t, '^(#{1,6})[ ]', 1)) AS level, trim(regexp_extract(t, '^#{1,6}[ ](.*)$', 1)) AS title FROM l WHERE regexp_matches(t, '^#{1,6}[ ][^#]+$'))"
+_MD = "l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS t, generate_subscripts(string_split(text, chr(10)), 1)::INT AS line FROM documents WHERE text IS NOT NULL), g AS (SELECT *, sum(CASE WHEN starts_with(t, '```') THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY line ROWS UNBOUNDED PRECEDING) AS fences FROM l), h AS (SELECT doc_id, line, len(regexp_extract(t, '^(#{1,6})[ ]', 1)) AS level, trim(regexp_extract(t, '^#{1,6}[ ](.*)$', 1)) AS title FROM g WHERE fences % 2 = 0 AND regexp_matches(t, '^#{1,6}[ ][^#]+$'))"
 
 
 def _headings(spark, folder):
-    """A row per heading, with all headings of its document in `every`; nothing leaves the document's row."""
-    d = load(spark, folder, "documents", "doc_id", "text").filter("text IS NOT NULL AND NOT contains(text, '```') AND NOT contains(text, '~~~')")
-    lines = F.transform(F.split("text", "\n"), lambda t, i: F.struct((i + 1).alias("line"), t.alias("t")))
-    heads = F.filter(lines, lambda x: x["t"].rlike("^#{1,6}[ ][^#\n]+$"))
-    every = F.transform(heads, lambda x: F.struct(x["line"].alias("line"), F.length(F.regexp_extract(x["t"], "^(#{1,6})[ ]", 1)).alias("level"), F.trim(F.regexp_extract(x["t"], "^#{1,6}[ ](.*)$", 1)).alias("title")))
-    return d.select("doc_id", every.alias("every")).select("doc_id", "every", F.posexplode("every").alias("p", "h")).select("doc_id", "every", "p", "h.line", "h.level", "h.title")
+    """The headings outside fenced code; the windows are over one document's lines."""
+    d = load(spark, folder, "documents", "doc_id", "text").filter("text IS NOT NULL")
+    lines = d.select("doc_id", F.posexplode(F.split("text", "\n")).alias("p", "t")).filter(F.col("t").startswith("#") | F.col("t").startswith("```"))
+    w = Window.partitionBy("doc_id").orderBy("p").rowsBetween(Window.unboundedPreceding, 0)
+    outside = lines.withColumn("fences", F.sum(F.col("t").startswith("```").cast("int")).over(w)).filter("fences % 2 = 0")
+    heads = outside.filter(F.col("t").rlike(r"^#{1,6}[ ][^#\n]+\z"))
+    return heads.select("doc_id", (F.col("p") + 1).alias("line"), F.length(F.regexp_extract("t", "^(#{1,6})[ ]", 1)).alias("level"), F.trim(F.regexp_extract("t", r"^#{1,6}[ ]([^\n]*)", 1)).alias("title"))
 
 
 @query("md_sections", f"WITH {_MD} SELECT doc_id, line, CAST(level AS INT) AS level, title FROM h")
 def md_sections(spark, folder):
-    return _headings(spark, folder).select("doc_id", "line", "level", "title")
+    return _headings(spark, folder)
 
 
 @query("md_section_end", f"WITH {_MD} SELECT a.doc_id, a.line, (SELECT min(b.line) FROM h b WHERE b.doc_id = a.doc_id AND b.line > a.line AND b.level <= a.level) AS next_line FROM h a")
 def md_section_end(spark, folder):
-    later = F.slice("every", F.col("p") + 2, F.size("every"))
-    ends = F.filter(later, lambda x: x["level"] <= F.col("level"))
-    return _headings(spark, folder).select("doc_id", "line", F.get(ends, 0)["line"].alias("next_line"))
+    """The next heading of each level comes from six running minima, one per level, not from collected lists."""
+    after = Window.partitionBy("doc_id").orderBy("line").rowsBetween(1, Window.unboundedFollowing)
+    nexts = [F.min(F.when(F.col("level") <= k, F.col("line"))).over(after).alias(f"n{k}") for k in range(1, 7)]
+    h = _headings(spark, folder).select("doc_id", "line", "level", *nexts)
+    return h.select("doc_id", "line", F.array(*(F.col(f"n{k}") for k in range(1, 7)))[F.col("level") - 1].alias("next_line"))
 
 
 @query("node_by_path", f"WITH {NODES}, x AS (SELECT min(path_joined) AS p FROM n WHERE depth = 1) SELECT id, label FROM n, x WHERE path_joined = p ORDER BY file_id, depth, id LIMIT 1")
@@ -84,19 +89,22 @@ def locate_path_ranked(spark, folder):
     return L.ranked_by_path(nodes_view(spark, folder), "token_count", 10).select("id", "score")
 
 
-@query("locate_spans", f"WITH {NODES}, {FILES} SELECT n.id, decode(encode(content)[byte_start + 1 : CASE WHEN byte_end - byte_start > 200 THEN byte_start + 184 ELSE byte_end END]) || CASE WHEN byte_end - byte_start > 200 THEN chr(10) || '... (truncated)' ELSE '' END AS content, byte_end - byte_start > 200 AS truncated FROM n JOIN f USING (file_id) WHERE kind = 'TomlKey' AND byte_start >= 0 AND byte_end >= byte_start AND byte_end <= strlen(content) AND strlen(content) = len(content)")
+@query("locate_spans", f"WITH {NODES}, {FILES}, x AS (SELECT n.id, TRY(decode(encode(content)[byte_start + 1 : CASE WHEN byte_end - byte_start > 200 THEN byte_start + 184 ELSE byte_end END])) AS part, byte_end - byte_start > 200 AS truncated FROM n JOIN f USING (file_id) WHERE byte_start >= 0 AND byte_end >= byte_start AND byte_end <= strlen(content)) SELECT id, part || CASE WHEN truncated THEN chr(10) || '... (truncated)' ELSE '' END AS content, truncated FROM x WHERE part IS NOT NULL")
 def locate_spans(spark, folder):
-    n = nodes_view(spark, folder).filter("kind = 'TomlKey' AND byte_start >= 0 AND byte_end >= byte_start").withColumn("score", F.lit(1.0))
-    f = files_view(spark, folder, "file_id", "path", "content").filter("octet_length(content) = length(content)")
-    s = L.spans(n.join(f.select(F.col("file_id").alias("x"), F.octet_length("content").alias("len")), F.col("file_id") == F.col("x")).filter("byte_end <= len").drop("x", "len"), f, 200)
-    ids = n.select("id", "file_id", "byte_start", "byte_end", "label").join(f.select("file_id", "path"), "file_id").select("id", F.concat_ws(":", "path", "byte_start", "byte_end").alias("node_id"))
-    return s.join(ids, "node_id").select("id", "content", "truncated").distinct()
+    """The spans whose bytes are whole characters."""
+    n = nodes_view(spark, folder).filter("byte_start >= 0 AND byte_end >= byte_start").withColumn("score", F.lit(1.0))
+    f = files_view(spark, folder, "file_id", "path", "content")
+    stop = F.when(F.col("byte_end") - F.col("byte_start") > 200, F.col("byte_start") + 184).otherwise(F.col("byte_end"))
+    whole = F.is_valid_utf8(raw_bytes_of(F.col("body"), F.col("byte_start"), stop).cast("string"))
+    bodies = f.select(F.col("file_id").alias("x"), F.col("content").alias("body"))
+    fits = n.join(bodies, F.col("file_id") == F.col("x")).filter((F.col("byte_end") <= F.octet_length("body")) & whole).drop("x", "body")
+    return L.spans(fits, f, 200).select("id", "content", "truncated")
 
 
 @query("locate_hybrid_merge")
 def locate_hybrid_merge(spark, folder):
     nodes, files = nodes_view(spark, folder), files_view(spark, folder, "file_id", "path", "language", "content")
-    chunks = code.chunks(files.filter("language IN ('markdown', 'toml')"), 1024).join(files.select("file_id", F.col("path").alias("p")), F.col("file") == F.col("p")).drop("p")
+    chunks = code.chunks(files, 1024).join(files.select("file_id", F.col("path").alias("p")), F.col("file") == F.col("p")).drop("p")
     vectors = R.embed(chunks, "chunk_id", "text")
     return L.hybrid_locate(nodes, chunks, vectors, "token budget", [float(x) for x in R.hash_embedding(["token budget"])[0]], 10)
 

@@ -57,9 +57,6 @@ def upsert_edges_replace(spark, folder):
     return U.upsert_edges(e.filter(F.col("seen") < split), e.filter(F.col("seen") >= split)).select("from_id", "to_id", "kind")
 
 
-_ONE = "amber-anvil/app/budget/batch_9x/prune_header.rs"
-
-
 @query("replace_edges_one_file", f"WITH {EDGES}, x AS (SELECT min(from_file) AS p FROM e WHERE from_file <> '') SELECT DISTINCT from_id, to_id, kind FROM e, x WHERE from_file <> p AND to_file <> p")
 def replace_edges_one_file(spark, folder):
     e = edges_view(spark, folder).select("from_id", "to_id", "kind", "from_file", "to_file").distinct()
@@ -93,9 +90,9 @@ def coverage_ratio(spark, folder):
     return R.coverage(load(spark, folder, "semantic_hits", "chunk_id"), load(spark, folder, "vectors", "chunk_id")).withColumn("ratio", F.round("ratio", 6))
 
 
-@query("chunk_in_list", "SELECT DISTINCT h.chunk_id, h.chunk_text FROM semantic_hits h WHERE h.chunk_id IN (SELECT chunk_id FROM vectors WHERE vec_id % 10 = 0) AND h.chunk_text IS NOT NULL")
+@query("chunk_in_list", "SELECT DISTINCT h.chunk_id, h.chunk_text FROM semantic_hits h WHERE h.chunk_id IN (SELECT chunk_id FROM vectors WHERE model = 'kestrel-code-48') AND h.chunk_text IS NOT NULL")
 def chunk_in_list(spark, folder):
-    wanted = load(spark, folder, "vectors", "vec_id", "chunk_id").filter("vec_id % 10 = 0").select("chunk_id")
+    wanted = load(spark, folder, "vectors", "model", "chunk_id").filter("model = 'kestrel-code-48'").select("chunk_id")
     return load(spark, folder, "semantic_hits", "chunk_id", "chunk_text").filter("chunk_text IS NOT NULL").distinct().join(wanted, "chunk_id", "left_semi")
 
 
@@ -226,9 +223,9 @@ def rerank_focus(spark, folder):
     return _rounded(R.hybrid(_chunks(spark, folder), v, "doc_id", "memory log", _query_vector(spark, folder), 10, focus=F.lit("amber-anvil/docs/x"))).select("doc_id", "score", "source")
 
 
-@query("truncate_words", r"SELECT doc_id, array_to_string(list_slice(list_filter(regexp_split_to_array(text, '[ \t\r\n]+'), lambda x: x <> ''), 1, 20), ' ') AS text FROM documents WHERE text IS NOT NULL AND regexp_matches(text, '^[\x00-\x7f]*$')")
+@query("truncate_words", r"SELECT doc_id, array_to_string(list_slice(list_filter(regexp_split_to_array(text, '[ \t\r\n]+'), lambda x: x <> ''), 1, 20), ' ') AS text FROM documents WHERE text IS NOT NULL")
 def truncate_words(spark, folder):
-    return load(spark, folder, "documents", "doc_id", "text").filter(r"text IS NOT NULL AND text RLIKE '^[\\x00-\\x7f]*\\z'").select("doc_id", R.truncate_words(F.col("text"), 20).alias("text"))
+    return load(spark, folder, "documents", "doc_id", "text").filter("text IS NOT NULL").select("doc_id", R.truncate_words(F.col("text"), 20).alias("text"))
 
 
 @query("embed_texts")

@@ -125,19 +125,24 @@ def line_range_slice(spark, folder):
     return files_view(spark, folder, "file_id", "content").filter("content <> ''").select("file_id", T.line_range(F.col("content"), 3, 6).alias("slice"))
 
 
-@query("byte_to_line", f"WITH {FILES}, n AS (SELECT DISTINCT id, file_id, byte_start FROM structural_nodes WHERE byte_start >= 0) SELECT id, CAST(1 + len(regexp_extract_all(decode(encode(content)[1 : least(byte_start, strlen(content))]), chr(10))) AS INT) AS line FROM n JOIN f USING (file_id) WHERE content IS NOT NULL AND octet_length(encode(content)) = len(content)")
+_STARTS = "l AS (SELECT file_id, unnest(string_split(content, chr(10))) AS t, generate_subscripts(string_split(content, chr(10)), 1)::INT AS line FROM f WHERE content <> ''), b AS (SELECT file_id, line, CAST(coalesce(sum(strlen(t) + 1) OVER (PARTITION BY file_id ORDER BY line ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS at_ FROM l)"
+
+
+@query("byte_to_line", f"WITH {FILES}, n AS (SELECT DISTINCT id, file_id, byte_start FROM structural_nodes WHERE byte_start >= 0), {_STARTS} SELECT id, CAST(count(*) AS INT) AS line FROM n JOIN b USING (file_id) WHERE at_ <= byte_start GROUP BY id")
 def byte_to_line(spark, folder):
     nodes = load(spark, folder, "structural_nodes", "id", "file_id", "byte_start").filter("byte_start >= 0").distinct()
-    files = files_view(spark, folder, "file_id", "content").filter("content IS NOT NULL AND octet_length(content) = length(content)")
+    files = files_view(spark, folder, "file_id", "content").filter("content <> ''")
     return nodes.join(files, "file_id").select("id", T.line_of_byte(F.col("content"), F.col("byte_start")).alias("line"))
 
 
-@query("byte_range_text", f"WITH {FILES}, n AS (SELECT DISTINCT id, file_id, byte_start, byte_end FROM structural_nodes WHERE byte_start >= 0 AND byte_end > byte_start) SELECT id, decode(encode(content)[byte_start + 1 : least(byte_end, byte_start + 16384)]) AS slice, byte_end - byte_start > 16384 AS truncated FROM n JOIN f USING (file_id) WHERE byte_end <= strlen(content) AND strlen(content) = len(content)")
+@query("byte_range_text", f"WITH {FILES}, n AS (SELECT DISTINCT id, file_id, byte_start, byte_end FROM structural_nodes WHERE byte_start >= 0 AND byte_end > byte_start), x AS (SELECT id, TRY(decode(encode(content)[byte_start + 1 : least(byte_end, byte_start + 16384)])) AS slice, byte_end - byte_start > 16384 AS truncated FROM n JOIN f USING (file_id) WHERE byte_end <= strlen(content)) SELECT * FROM x WHERE slice IS NOT NULL")
 def byte_range_text(spark, folder):
+    """The ranges whose bytes are whole characters."""
     nodes = load(spark, folder, "structural_nodes", "id", "file_id", "byte_start", "byte_end").filter("byte_start >= 0 AND byte_end > byte_start").distinct()
-    files = files_view(spark, folder, "file_id", "content").filter("octet_length(content) = length(content)")
     end = F.least(F.col("byte_end"), F.col("byte_start") + 16384)
-    return nodes.join(files, "file_id").filter("byte_end <= octet_length(content)").select("id", T.bytes_of(F.col("content"), F.col("byte_start"), end).alias("slice"), (F.col("byte_end") - F.col("byte_start") > 16384).alias("truncated"))
+    j = nodes.join(files_view(spark, folder, "file_id", "content"), "file_id").filter("byte_end <= octet_length(content)")
+    whole = F.is_valid_utf8(T.raw_bytes_of(F.col("content"), F.col("byte_start"), end).cast("string"))
+    return j.filter(whole).select("id", T.bytes_of(F.col("content"), F.col("byte_start"), end).alias("slice"), (F.col("byte_end") - F.col("byte_start") > 16384).alias("truncated"))
 
 
 @query("line_start_bytes", f"WITH {FILES}, l AS (SELECT file_id, unnest(string_split(content, chr(10))) AS t, generate_subscripts(string_split(content, chr(10)), 1)::INT AS line FROM f WHERE content <> '') SELECT file_id, line, CAST(coalesce(sum(strlen(t) + 1) OVER (PARTITION BY file_id ORDER BY line ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS byte_start FROM l")

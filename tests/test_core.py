@@ -354,3 +354,11 @@ def test_pack(spark):
         K.fit_budget([("a", "b")] * 10, 100, 10)
     md = K.pack(files, T0, 2000, "markdown", "r", edges, True, True)
     assert md.included[:2] == ["src/lib.rs", "README.md"] and "```rust\n" in md.text
+
+
+def test_variables_can_be_referred_to(spark):
+    """A function that mentions a constant refers to it; a constant refers to nothing."""
+    s = values(spark, [("f::LIMIT::0", "LIMIT", "constant", "f", 0, 10), ("f::go::11", "go", "function", "f", 11, 40)], "symbol_id string, name string, kind string, file string, range_start long, range_end long")
+    c = values(spark, [("f", 0, 10, "LIMIT = go"), ("f", 11, 40, "def go(): return LIMIT(1)")], "file string, range_start long, range_end long, text string")
+    got = {(r["kind"], r["from_id"], r["to_id"]) for r in G.reference_edges(s, c).collect()}
+    assert got == {("References", "f::go::11", "f::LIMIT::0")}
