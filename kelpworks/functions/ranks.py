@@ -28,3 +28,21 @@ def group_ranks(df: DataFrame, group: list[str], order: list[Column], ties: bool
         on = on & c
     keep = [local_rank[c] for c in df.columns]
     return local_rank.join(upto, on, "inner").select(*keep, (F.col("_local") + F.col("_before")).alias(rank), upto[size])
+
+
+def running_max(df: DataFrame, group: list[str], order: list[Column], value: str, out: str = "running") -> DataFrame:
+    """Adds the greatest `value` of the group's rows up to each row in `order`, itself included (equal rows may count or not).
+
+    As in group_ranks, a large group lies in several range partitions; what earlier partitions hold of
+    the group comes from one row per group and partition.
+    """
+    ordered = cut(df.repartitionByRange(*group, *order).withColumn("_p", F.spark_partition_id()))
+    per = ordered.groupBy("_p", *group).agg(F.max(value).alias("_most"))
+    before = F.max("_most").over(Window.partitionBy(*group).orderBy("_p").rowsBetween(Window.unboundedPreceding, -1))
+    upto = per.select(F.col("_p").alias("_up"), *(F.col(g).alias(f"_u_{g}") for g in group), before.alias("_before"))
+    here = Window.partitionBy("_p", *group).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    local = ordered.withColumn("_local", F.max(value).over(here))
+    on = F.col("_p") == F.col("_up")
+    for g in group:
+        on = on & F.col(g).eqNullSafe(F.col(f"_u_{g}"))
+    return local.join(upto, on, "inner").select(*df.columns, F.greatest("_local", "_before").alias(out))

@@ -92,13 +92,19 @@ def called_words(text: Column) -> Column:
     return F.array_distinct(F.regexp_extract_all(text, F.lit(f"({WORD})\\("), F.lit(1)))
 
 
+def _bins(start: str, end: str, width: int = 4096) -> Column:
+    """A row per bin that a half-open range touches, so ranges of one file join within bins, not all with all."""
+    return F.explode(F.sequence(F.floor(F.col(start) / width), F.floor((F.col(end) - 1) / width)))
+
+
 def mentions(symbols: DataFrame, chunks: DataFrame, targets: DataFrame, called: bool = False) -> DataFrame:
     """`symbol_id, file, word`: the words of the chunks that a symbol overlaps, if a target of the file has that name."""
     words = chunks.select(F.col("file").alias("c_file"), F.col("range_start").alias("c_start"), F.col("range_end").alias("c_end"), F.explode((called_words if called else words_of)(F.col("text"))).alias("word"))
     names = targets.select("file", F.col("name").alias("word")).distinct()
     words = words.join(names.withColumnRenamed("file", "n_file"), (F.col("c_file") == F.col("n_file")) & (words["word"] == names["word"]), "left_semi")
-    own = symbols.select("symbol_id", "file", "range_start", "range_end")
-    overlap = (F.col("file") == F.col("c_file")) & (F.col("range_start") < F.col("c_end")) & (F.col("c_start") < F.col("range_end"))
+    own = symbols.select("symbol_id", "file", "range_start", "range_end").filter("range_end > range_start").withColumn("bin", _bins("range_start", "range_end"))
+    words = words.filter("c_end > c_start").withColumn("c_bin", _bins("c_start", "c_end"))
+    overlap = (F.col("file") == F.col("c_file")) & (F.col("bin") == F.col("c_bin")) & (F.col("range_start") < F.col("c_end")) & (F.col("c_start") < F.col("range_end"))
     return own.join(words, overlap).select("symbol_id", "file", "word").distinct()
 
 
@@ -168,9 +174,8 @@ def overlapping(a: DataFrame, b: DataFrame, key: str, width: int = 4096) -> Data
     Both sides are put into bins of `width`, which join by equality, so one file with very many
     intervals still spreads; a pair is kept in the first bin that both have.
     """
-    bins = lambda s, e: F.explode(F.sequence(F.floor(F.col(s) / width), F.floor((F.col(e) - 1) / width)))
-    left = a.filter("a_end > a_start").withColumn("bin", bins("a_start", "a_end"))
-    right = b.filter("b_end > b_start").withColumn("bin", bins("b_start", "b_end"))
+    left = a.filter("a_end > a_start").withColumn("bin", _bins("a_start", "a_end", width))
+    right = b.filter("b_end > b_start").withColumn("bin", _bins("b_start", "b_end", width))
     hit = left.join(right, [key, "bin"]).filter((F.col("a_start") < F.col("b_end")) & (F.col("b_start") < F.col("a_end")))
     return hit.filter(F.col("bin") == F.floor(F.greatest("a_start", "b_start") / width)).drop("bin")
 
@@ -188,11 +193,12 @@ def enclosing_smallest(points: DataFrame, nodes: DataFrame, width: int = 4096) -
 def nearest_parent(nodes: DataFrame) -> DataFrame:
     """`id, parent`: the narrowest other node of the file and family that contains the node's range and is less deep.
 
-    One partial aggregate over a join on the file; ties go to the later start and the larger id.
+    Nodes meet only in the bin where the inner one begins; ties go to the later start and the larger id.
     """
-    c = nodes.select("file_id", F.col("id").alias("id"), "byte_start", "byte_end", "depth")
+    c = nodes.select("file_id", F.col("id").alias("id"), "byte_start", "byte_end", "depth").withColumn("bin", F.floor(F.col("byte_start") / 4096))
     p = nodes.select("file_id", F.col("id").alias("p_id"), F.col("byte_start").alias("p_start"), F.col("byte_end").alias("p_end"), F.col("depth").alias("p_depth"))
+    p = p.filter("p_end >= p_start").withColumn("bin", F.explode(F.sequence(F.floor(F.col("p_start") / 4096), F.floor(F.col("p_end") / 4096))))
     inside = (F.col("p_id") != F.col("id")) & (F.col("p_start") <= F.col("byte_start")) & (F.col("p_end") >= F.col("byte_end")) & (F.col("p_depth") < F.col("depth"))
-    hit = c.join(p, "file_id").filter(inside)
+    hit = c.join(p, ["file_id", "bin"]).filter(inside)
     best = F.max(F.struct("p_depth", "p_start", "p_id"))
     return hit.groupBy("id").agg(best.alias("m")).select("id", F.col("m.p_id").alias("parent"))

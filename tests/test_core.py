@@ -10,7 +10,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from kelpworks.functions import paths as P
-from kelpworks.functions.ranks import group_ranks
+from kelpworks.functions.ranks import group_ranks, running_max
 from kelpworks.functions.skew import salted_join
 from kelpworks.operators import graph as G
 from kelpworks.operators import imports as I
@@ -106,8 +106,8 @@ def test_orphans_against_brute_force(spark):
     e = values(spark, [(*x, "x", 1) for x in edges], "edge_id long, from_id string, to_id string, observed_at timestamp_ntz, reason string, h int")
     s = values(spark, [(*x, 1) for x in lives], "symbol_id string, seen_at timestamp_ntz, deleted_at timestamp_ntz, lives int")
     x = values(spark, [("ext", 1), ("ext", 1)], "symbol_id string, p_id int")
-    for words in (None, 1):  # one word: nearly everything is filter-positive
-        got = orphan_references(e, s, x, words=words)
+    for words, most in ((None, 64), (1, 64), (None, 1), (1, 0)):  # one word: nearly everything is filter-positive
+        got = orphan_references(e, s, x, words=words, most_lives=most)
         assert {(r["edge_id"], r["side"], r["reason"]) for r in got.collect()} == want
         assert got.count() == len(want)
     assert orphan_counts(orphan_references(e, s, x)).agg(F.sum("n")).first()[0] == len(want)
@@ -133,6 +133,15 @@ def test_group_ranks(spark):
             assert r["rank"] == sum(key(p) <= key(me) for p in peers) and r["group_size"] == len(peers)
 
 
+def test_running_max(spark):
+    rng = random.Random(6)
+    rows = [(rng.choice(["hot", "hot", "b"]), i, rng.choice([None, rng.randint(0, 100)])) for i in range(300)]
+    got = {(r["g"], r["i"]): r["running"] for r in running_max(values(spark, rows, "g string, i long, v long"), ["g"], [F.col("i").asc()], "v").collect()}
+    for g, i, _ in rows:
+        seen = [v for h, j, v in rows if h == g and j <= i and v is not None]
+        assert got[g, i] == (max(seen) if seen else None)
+
+
 def test_salted_join(spark):
     many = values(spark, [("hot" if i % 3 else f"k{i % 40}", i) for i in range(900)], "k string, i long")
     one = values(spark, [("hot", 1), *((f"k{i}", i) for i in range(0, 40, 2))], "o string, w long")
