@@ -7,7 +7,7 @@ moves items between underfull containers (a move, one for one, two for one), eac
 of squared fills, until containers empty or nothing improves.
 
 Defined cases: null, empty texts and sizes of 0 are items of size 0, which lie in a container of their
-group without taking space; repeated keys are one item; ties go by key; an empty table gives no rows.
+group without taking space; repeated keys are one item, of the largest size given; ties go by key; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -119,13 +119,14 @@ def fill_containers(items: DataFrame, key: str, size: str, capacity: int = 4096,
     """
     items = items.select(F.col(key).cast("long").alias("item"), F.coalesce(F.col(size), F.lit(0)).cast("long").alias("n")).filter("item IS NOT NULL")
     groups = max(1, -(-(items.count() if expected is None else expected) // group_items))
+    items = items.groupBy("item").agg(F.max("n").alias("n"))  # repeated rows end on the map side, so groups stay as large as planned
     full = F.floor(F.col("n") / capacity)
     rest = F.col("n") - full * capacity
     count = F.when(F.col("n") <= capacity, 1).otherwise(full + (rest > 0).cast("int")).cast("int")
     keyed = items.withColumn("pieces", count).withColumn("g", F.pmod(F.xxhash64("item"), F.lit(groups)).cast("int"))
 
     def run(group: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.drop_duplicates("item").sort_values("item", kind="stable")
+        pdf = pdf.sort_values("item", kind="stable")
         out, left = [], []
         for item, n, pieces in zip(pdf["item"].tolist(), pdf["n"].tolist(), pdf["pieces"].tolist()):
             for p in range(pieces):
