@@ -58,8 +58,10 @@ def total_matches(df: DataFrame, pattern: str, text: str = "content", regex: boo
 
 
 def raw_bytes_of(text: Column, start: Column, end: Column) -> Column:
-    """The bytes [start, end) of a text."""
-    return F.substring(F.encode(text, "utf-8"), (start + 1).cast("int"), F.greatest(end - start, F.lit(0)).cast("int"))
+    """The bytes [start, end) of a text; what lies past its end is empty."""
+    size = F.octet_length(text)
+    first, stop = F.least(start, size), F.least(end, size)
+    return F.substring(F.encode(text, "utf-8"), (first + 1).cast("int"), F.greatest(stop - first, F.lit(0)).cast("int"))
 
 
 def bytes_of(text: Column, start: Column, end: Column) -> Column:

@@ -197,6 +197,8 @@ def test_bytes(spark):
     df = values(spark, [("aé\nb",)], "t string")
     r = df.select(T.bytes_of(F.col("t"), F.lit(1), F.lit(3)).alias("x"), T.line_of_byte(F.col("t"), F.lit(3)).alias("l3"), T.line_of_byte(F.col("t"), F.lit(4)).alias("l4"), T.line_of_byte(F.col("t"), F.lit(99)).alias("l99")).first()
     assert tuple(r) == ("é", 1, 2, 2)
+    far = df.select(T.bytes_of(F.col("t"), F.lit(1 << 40), F.lit(1 << 41)).alias("a"), T.bytes_of(F.col("t"), F.lit(3), F.lit(1 << 41)).alias("b"), T.bytes_of(F.col("t"), F.lit(0), F.lit(2)).alias("c")).first()
+    assert tuple(far) == ("", "\nb", "a\ufffd")
     assert [tuple(x) for x in T.line_starts(df.withColumn("k", F.lit(1)), ["k"], "t").collect()] == [(1, 1, 0), (1, 2, 4)]
 
 
