@@ -101,7 +101,8 @@ def _many_lives(refs: DataFrame, lives: DataFrame, many: DataFrame, words: int)
     bloom = F.broadcast(bloom_table(many, "p_id", words))
     close = F.col("bits").bitwiseAND(_mask(F.col("id"))) == _mask(F.col("id"))
     near = refs.withColumn("word", _word(F.col("id"), words)).join(bloom, "word").filter(close).select("edge_id", "side", "at", "id")
-    near = near.join(many.select(F.col("p_id").alias("id")), "id", "left_semi").dropDuplicates(["edge_id", "side", "at"])
+    # An inner join (ids are unique): a semi-join would be pushed below the filter and shuffle all references.
+    near = near.join(many.select(F.col("p_id").alias("id")), "id").dropDuplicates(["edge_id", "side", "at"])
     time = lives.schema["seen_at"].dataType
     far = F.lit("9999-12-31 00:00:00").cast(time)
     begun = lives.filter("seen_at IS NOT NULL").join(many.select("p_id"), "p_id", "left_semi")
