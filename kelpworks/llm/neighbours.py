@@ -30,6 +30,7 @@ DEGREE = 32
 BEAM = 64
 ALPHA = 1.2
 ENTRIES = 48
+MODELS = 100_000
 
 
 # --- the graph of one shard ---------------------------------------------------------------------
@@ -203,9 +204,9 @@ def _unit(raw: np.ndarray, kind=np.float32) -> np.ndarray:
 
 def shard_graphs(reps: DataFrame, shard_size: int = SHARD, degree: int = DEGREE, beam: int = BEAM, alpha: float = ALPHA) -> DataFrame:
     """`model, shard, shards, vectors binary, graph binary`, written to the shared folder once."""
-    # One row per model and dimension.
     counts = reps.groupBy("model").agg(F.ceil(F.count(F.lit(1)) / shard_size).cast("int").alias("shards"))
-    placed = reps.join(F.broadcast(counts), "model").withColumn("shard", F.pmod(F.xxhash64("vec_id"), F.col("shards")).cast("int"))
+    few = counts.limit(MODELS + 1).count() <= MODELS  # one row per model; more than that are joined by a shuffle
+    placed = reps.join(F.broadcast(counts) if few else counts, "model").withColumn("shard", F.pmod(F.xxhash64("vec_id"), F.col("shards")).cast("int"))
 
     def build(pdf: pd.DataFrame) -> pd.DataFrame:
         parts = []
