@@ -22,15 +22,18 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
-def run_windows(runs: DataFrame) -> DataFrame:
+def run_windows(runs: DataFrame, max_runs: int = 20_000) -> DataFrame:
     """`run_id, seq, low, high, prev_high` of each `ok` run, in order of started_at (then run_id).
 
     high is the run's start and prev_high that of the `ok` run before it. low is the start of the
     oldest run open at prev_high: one that began by then and had not finished. A killed run has no
-    end of its own; it counts as ended when the next run starts. The history is a table of one row per
-    run, so a window without partitions is safe here.
+    end of its own; it counts as ended when the next run starts. The history has one row per run; its size
+    is checked against max_runs, so a window over all of it and its broadcast are safe.
     """
-    h = Window.orderBy("started_at", "run_id")
+    n = runs.count()
+    if n > max_runs:
+        raise ValueError(f"{n} runs; raise max_runs to accept a history of that size")
+    h = Window.partitionBy(F.lit(0)).orderBy("started_at", "run_id")
     runs = runs.select("run_id", "started_at", "finished_at", "status").filter("run_id IS NOT NULL AND started_at IS NOT NULL").dropDuplicates(["run_id"])
     closed = runs.withColumn("closed_at", F.coalesce("finished_at", F.lead("started_at").over(h)))
     ok = (
@@ -52,10 +55,8 @@ def changed_per_run(scans: DataFrame, runs: DataFrame, key: str = "path", versio
     left is reduced to the latest version per run and key before anything is compared, so a key with a
     third of all rows costs one partial aggregate and at most one row per run afterwards.
     """
-    windows = run_windows(runs)
-    n, start = windows.agg(F.count(F.lit(1)), F.to_date(F.min("high"))).first()  # one row per successful run, checked before it is broadcast
-    if n > max_runs:
-        raise ValueError(f"{n} successful runs; raise max_runs to accept a broadcast of that size")
+    windows = run_windows(runs, max_runs)
+    start = windows.agg(F.to_date(F.min("high"))).first()[0]
     # Days make the range join an equi-join; what arrived before the first run's day counts to that day.
     first_day = F.lit(start).cast("date")
     days = F.explode(F.sequence(F.greatest(first_day, F.to_date(F.coalesce("low", F.lit(start).cast("timestamp")))), F.to_date("high")))
