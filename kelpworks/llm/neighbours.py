@@ -1,16 +1,17 @@
 """Most similar vectors for every vector, by robust-pruned directed graphs.
 
-Exact copies are one class, represented by the smallest id, so a group of copies of any size is one
-vector of the index. The representatives of a model are spread over shards by a hash. For each shard a
+Vectors of one direction (copies, and copies of another length) are one class, represented by the
+smallest id, so a group of any size is one vector of the index. The representatives of a model are spread over shards by a hash. For each shard a
 directed graph is built: a greedy search over the graph so far proposes neighbours for a batch of
 vectors, pruning keeps a neighbour only if no kept one is nearer to it by the factor alpha, edges are
 made mutual and pruned again. Then every shard's vectors search every shard's graph with a beam; the
-found candidates get exact cosines, and each vector keeps the best of all shards. Blocks of vectors meet
+found candidates and the first ids of their classes get exact cosines, and each vector keeps the best of all shards. Blocks of vectors meet
 graphs (shards x shards pairs per model), never pairs of rows.
 
 Defined cases: null, empty, too short, too long, all-zero embeddings and those with null, NaN or
 infinite elements are not usable and have no neighbours; repeated rows are one vector; equal cosines
-(to 9 places) go by the smaller id; an empty table gives no rows; further columns are ignored.
+(to 9 places) go by the smaller id; of a class of more than k + 1 vectors, which differ from each other only
+as rounding does, vectors outside it are given those with the smallest ids; an empty table gives no rows; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -19,6 +20,7 @@ import io
 
 import numpy as np
 import pandas as pd
+import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -31,6 +33,9 @@ BEAM = 64
 ALPHA = 1.2
 ENTRIES = 48
 MODELS = 100_000
+#: Unit vectors in one cell differ by up to CELL, those of two linked cells by NOISE in each of MARKS projections: float
+#: rounding of a rescaled vector moves it by 1.2e-7 at most, and at 3e-5 the cosine is still 1 to 9 places.
+CELL, NOISE, MARKS, BIN = 4e-6, 2.5e-7, 6, 1e-4
 
 
 # --- the graph of one shard ---------------------------------------------------------------------
@@ -202,19 +207,63 @@ def _unit(raw: np.ndarray, kind=np.float32) -> np.ndarray:
     return (x / np.linalg.norm(x, axis=1, keepdims=True)).astype(kind)
 
 
-def shard_graphs(reps: DataFrame, shard_size: int = SHARD, degree: int = DEGREE, beam: int = BEAM, alpha: float = ALPHA) -> DataFrame:
-    """`model, shard, shards, vectors binary, graph binary`, written to the shared folder once."""
-    counts = reps.groupBy("model").agg(F.ceil(F.count(F.lit(1)) / shard_size).cast("int").alias("shards"))
+def _direction(embedding: pd.Series) -> pd.DataFrame:
+    """The cell of a grid over unit vectors, and projections on fixed directions."""
+    cells, marks = np.empty(len(embedding), object), np.empty(len(embedding), object)
+    sizes = embedding.map(len).to_numpy()
+    for size in np.unique(sizes):
+        at = np.flatnonzero(sizes == size)
+        unit = _unit(np.stack(embedding.iloc[at].to_numpy()), np.float64)
+        axes = np.random.default_rng(int(size)).normal(size=(size, MARKS))
+        grid = np.rint(unit * (size**0.5 / CELL)).astype(np.int64)
+        cells[at] = [xxhash.xxh128_hexdigest(g.tobytes()) for g in grid]
+        for i, m in zip(at, unit @ (axes / np.linalg.norm(axes, axis=0))):
+            marks[i] = m
+    return pd.DataFrame({"cell": cells, "marks": marks})
+
+
+def with_cells(rows: DataFrame) -> DataFrame:
+    """Adds `cell`, which most vectors of one direction and model share, and `marks`."""
+    d = rows.withColumn("d", F.pandas_udf(_direction, "cell string, marks array<double>")("embedding"))
+    return d.select(*rows.columns, F.concat_ws(":", F.xxhash64("model"), "d.cell").alias("cell"), F.col("d.marks").alias("marks"))
+
+
+def linked_cells(cells: DataFrame) -> DataFrame:
+    """`cell, class`: cells (`model, vec_id, cell, marks`) which rounding parted have one class, the smallest vec_id.
+
+    A cell's first vector meets others only in its bins of two of the projections.
+    """
+    own = lambda i: F.floor(F.col("marks")[i] / BIN)
+    around = lambda i: F.explode(F.array_distinct(F.array(F.floor((F.col("marks")[i] - NOISE) / BIN), F.floor((F.col("marks")[i] + NOISE) / BIN))))
+    a = cells.select(F.col("model").alias("a_model"), F.col("vec_id").alias("first"), F.col("marks").alias("a_marks"), "marks", around(0).alias("a0")).withColumn("a1", around(1)).drop("marks")
+    b = cells.select("model", "vec_id", "marks", own(0).alias("b0"), own(1).alias("b1"))
+    close = [F.abs(F.col("marks")[i] - F.col("a_marks")[i]) <= NOISE for i in range(MARKS)]
+    met = a.join(b, (F.col("a_model") == F.col("model")) & (F.col("a0") == F.col("b0")) & (F.col("a1") == F.col("b1"))).filter(F.col("first") < F.col("vec_id"))
+    for c in close:
+        met = met.filter(c)
+    links = met.groupBy("vec_id").agg(F.min("first").alias("first"))
+    return cells.select("vec_id", "cell").join(links, "vec_id", "left").select("cell", F.coalesce("first", "vec_id").alias("class"))
+
+
+def shard_graphs(firsts: DataFrame, shard_size: int = SHARD, degree: int = DEGREE, beam: int = BEAM, alpha: float = ALPHA) -> DataFrame:
+    """`model, shard, shards, vectors binary, graph binary`, written to the shared folder once.
+
+    firsts has `model, rep, vec_id, embedding`; the graph is over the reps, their other vectors lie beside it.
+    """
+    counts = firsts.filter("vec_id = rep").groupBy("model").agg(F.ceil(F.count(F.lit(1)) / shard_size).cast("int").alias("shards"))
     few = counts.limit(MODELS + 1).count() <= MODELS  # one row per model; more than that are joined by a shuffle
-    placed = reps.join(F.broadcast(counts) if few else counts, "model").withColumn("shard", F.pmod(F.xxhash64("vec_id"), F.col("shards")).cast("int"))
+    placed = firsts.join(F.broadcast(counts) if few else counts, "model").withColumn("shard", F.pmod(F.xxhash64("rep"), F.col("shards")).cast("int"))
 
     def build(pdf: pd.DataFrame) -> pd.DataFrame:
         parts = []
         pdf = pdf.sort_values("vec_id")
+        more, pdf = pdf[pdf["vec_id"] != pdf["rep"]], pdf[pdf["vec_id"] == pdf["rep"]]
         pdf = pdf.iloc[np.random.default_rng(len(pdf)).permutation(len(pdf))]
         ids, raw = pdf["vec_id"].to_numpy(np.int64), np.stack(pdf["embedding"].to_numpy()).astype(np.float32)
         graph, entries = build_graph(_unit(raw), degree, beam, alpha)
-        parts.append((pdf["model"].iloc[0], int(pdf["shard"].iloc[0]), int(pdf["shards"].iloc[0]), _pack(ids=ids, raw=raw), _pack(graph=graph, entries=entries)))
+        more_of = pd.Series(np.arange(len(ids)), ids)[more["rep"]].to_numpy(np.int32)
+        more_raw = np.stack(more["embedding"].to_numpy()).astype(np.float32) if len(more) else raw[:0]
+        parts.append((pdf["model"].iloc[0], int(pdf["shard"].iloc[0]), int(pdf["shards"].iloc[0]), _pack(ids=ids, raw=raw, more_ids=more["vec_id"].to_numpy(np.int64), more_raw=more_raw, more_of=more_of), _pack(graph=graph, entries=entries)))
         return pd.DataFrame(parts, columns=["model", "shard", "shards", "vectors", "graph"])
 
     return cut(placed.groupBy("model", "shard").applyInPandas(build, "model string, shard int, shards int, vectors binary, graph binary"))
@@ -234,8 +283,12 @@ def search_shards(shards: DataFrame, k: int, min_cosine: float = -2.0, beam: int
         same = int(left["a"].iloc[0]) == int(left["b"].iloc[0])
         graph, entries, ids = g["graph"], g["entries"], x["ids"]
         unit, exact = _unit(x["raw"]), _unit(x["raw"], np.float64)
-        asked = np.flatnonzero(q["ids"] % every == 0)
-        qid, qraw = q["ids"][asked], q["raw"][asked]
+        q_ids, q_raw, q_of = np.r_[q["ids"], q["more_ids"]], np.concatenate([q["raw"], q["more_raw"]]), np.r_[np.arange(len(q["ids"])), q["more_of"]]
+        asked = np.flatnonzero(q_ids % every == 0)
+        qid, qraw, asked = q_ids[asked], q_raw[asked], q_of[asked]
+        more, more_ids = _unit(x["more_raw"], np.float64) if len(x["more_ids"]) else exact[:0], x["more_ids"]
+        by = np.argsort(x["more_of"], kind="stable")
+        begin, count = np.searchsorted(x["more_of"][by], np.arange(len(ids))), np.bincount(x["more_of"], minlength=len(ids))
         out = []
         for at in range(0, len(qid), 1024):
             mine, raw = qid[at : at + 1024], qraw[at : at + 1024]
@@ -243,12 +296,20 @@ def search_shards(shards: DataFrame, k: int, min_cosine: float = -2.0, beam: int
             near, _ = beam_search(unit, graph, entries, _unit(raw), beam, starts)
             near = near[:, : max(4 * k, 24)]
             cos = np.matmul(exact[near], _unit(raw, np.float64)[:, :, None])[:, :, 0].clip(-1, 1)
-            cos[(near < 0) | (ids[near] == mine[:, None])] = -np.inf
-            order = np.lexsort((ids[near], -np.round(cos, 9)), axis=1)[:, :k]
-            near, cos = np.take_along_axis(near, order, 1), np.take_along_axis(cos, order, 1)
-            keep = cos >= max(min_cosine, -1.5)
-            r = np.nonzero(keep)[0]
-            out.append(pd.DataFrame({"query": mine[r], "found": ids[near[keep]], "cosine": cos[keep]}))
+            r, c = np.nonzero(near >= 0)
+            found, cos = ids[near[r, c]], cos[r, c]
+            n = count[near[r, c]]
+            if n.any():  # the other vectors of the found classes
+                m_r, m = np.repeat(r, n), by[np.repeat(begin[near[r, c]] - np.r_[0, np.cumsum(n)[:-1]], n) + np.arange(n.sum())]
+                unit_q = _unit(raw, np.float64)
+                m_cos = [np.einsum("ij,ij->i", more[m[a : a + 16384]], unit_q[m_r[a : a + 16384]]).clip(-1, 1) for a in range(0, len(m), 16384)]
+                r, found, cos = np.r_[r, m_r], np.r_[found, more_ids[m]], np.concatenate([cos, *m_cos])
+            keep = (found != mine[r]) & (cos >= max(min_cosine, -1.5))
+            r, found, cos = r[keep], found[keep], cos[keep]
+            order = np.lexsort((found, -np.round(cos, 9), r))
+            r, found, cos = r[order], found[order], cos[order]
+            best = np.arange(len(r)) - np.searchsorted(r, r) < k
+            out.append(pd.DataFrame({"query": mine[r[best]], "found": found[best], "cosine": cos[best]}))
         return pd.concat(out) if out else pd.DataFrame({"query": pd.Series(dtype="int64"), "found": pd.Series(dtype="int64"), "cosine": pd.Series(dtype="float64")})
 
     every_shard = F.explode(F.sequence(F.lit(0), F.col("shards") - 1))
@@ -259,27 +320,32 @@ def search_shards(shards: DataFrame, k: int, min_cosine: float = -2.0, beam: int
 
 def most_similar(vectors: DataFrame, k: int = 5, min_cosine: float = -2.0, every: int = 1, shard_size: int = SHARD, beam: int = BEAM) -> DataFrame:
     """`vec_id, rank, other, cosine`: the k most similar vectors of the same model, of those at min_cosine or more."""
-    rows = usable(vectors).withColumn("class", F.concat_ws(":", F.xxhash64("model", "embedding"), F.xxhash64(F.lit(1), "embedding", "model")))
-    rows = rows.select("model", "vec_id", "embedding", "class")
-    # The k + 1 smallest ids of each class; the limit is applied before the shuffle, so a huge class stays small.
+    rows = with_cells(usable(vectors))
+    # The k + 1 smallest ids of each cell; the limit is applied before the shuffle, so a huge cell stays small.
+    in_cell = Window.partitionBy("cell").orderBy("vec_id")
+    starts = cut(rows.withColumn("n", F.row_number().over(in_cell)).filter(f"n <= {k + 1}"))
+    classes = cut(linked_cells(starts.filter("n = 1").select("model", "vec_id", "cell", "marks")))
     in_class = Window.partitionBy("class").orderBy("vec_id")
-    firsts = cut(rows.withColumn("n", F.row_number().over(in_class)).filter(f"n <= {k + 1}"))
-    reps = firsts.filter("n = 1").select("model", "vec_id", "embedding")
-    hits = search_shards(shard_graphs(reps, shard_size, beam=beam), k + 1, min_cosine, beam)
+    ranked = starts.select("model", "vec_id", "embedding", "cell").join(classes, "cell").withColumn("n", F.row_number().over(in_class)).filter(f"n <= {k + 1}")
+    firsts = cut(ranked.withColumn("rep", F.min("vec_id").over(Window.partitionBy("class"))).select("model", "class", "rep", "n", "vec_id", "embedding"))
+    hits = search_shards(shard_graphs(firsts.select("model", "rep", "vec_id", "embedding"), shard_size, beam=beam), k + 1, min_cosine, beam)
+    # Candidates of a first vector: those found in each shard and the first ids of its class.
     members = firsts.select("class", F.col("vec_id").alias("member"))
-    rep_class = firsts.filter("n = 1").select(F.col("vec_id").alias("rep"), F.col("class").alias("rep_class"))
-    # Candidates of a class: its own first ids and those of the classes found, at most (k + 1)^2 per shard.
-    best = Window.partitionBy("query").orderBy(F.desc("cosine"), "found")
-    near = hits.withColumn("cosine", F.round("cosine", 9)).withColumn("n", F.row_number().over(best)).filter(f"n <= {k + 1}").drop("n")
-    near = near.join(rep_class.withColumnsRenamed({"rep": "found", "rep_class": "found_class"}), "found").join(members, F.col("found_class") == F.col("class")).select("query", "member", "cosine")
-    near = near.join(rep_class, F.col("query") == F.col("rep")).select("rep_class", "member", "cosine")
-    own = members.select(F.col("class").alias("rep_class"), "member", F.lit(1.0).alias("cosine"))
-    pick = Window.partitionBy("rep_class").orderBy(F.desc("cosine"), "member")
-    lists = near.unionByName(own).withColumn("n", F.row_number().over(pick)).filter(f"n <= {k + 1}").groupBy("rep_class").agg(F.array_sort(F.collect_list(F.struct("n", "member", "cosine"))).alias("near"))
-    asked = rows.select("vec_id", "class").filter(F.col("vec_id") % every == 0)
-    joined = salted_join(asked, lists, "class", "rep_class", spread_by="vec_id", how="inner")
-    others = F.slice(F.filter("near", lambda x: x["member"] != F.col("vec_id")), 1, k)
-    return joined.select("vec_id", F.posexplode(others).alias("p", "x")).select("vec_id", (F.col("p") + 1).alias("rank"), F.col("x.member").alias("other"), F.col("x.cosine").alias("cosine")).filter(F.col("cosine") >= min_cosine)
+    own = firsts.select("class", F.col("vec_id").alias("query")).join(members, "class").filter("query <> member").select("query", "member", F.lit(1.0).alias("cosine"))
+    near = hits.select("query", F.col("found").alias("member"), F.round("cosine", 9).alias("cosine")).unionByName(own).groupBy("query", "member").agg(F.max("cosine").alias("cosine"))
+    pick = Window.partitionBy("query").orderBy(F.desc("cosine"), "member")
+    best = cut(near.withColumn("n", F.row_number().over(pick)).filter(f"n <= {k}"))
+    mine = best.filter(F.col("query") % every == 0).select(F.col("query").alias("vec_id"), F.col("n").alias("rank"), F.col("member").alias("other"), "cosine")
+    # The others are in classes of more than k + 1: theirs are the class's first ids, or those found for the first vector with cosine 1, too.
+    full = firsts.filter(f"n = {k + 1}").select("class", "rep")
+    ones = members.join(full, "class").select("class", "member").unionByName(full.join(best.filter("cosine = 1"), F.col("query") == F.col("rep")).select("class", "member")).distinct()
+    lists = ones.groupBy("class").agg(F.slice(F.array_sort(F.collect_list("member")), 1, k).alias("near"))
+    known = members.join(full, "class").groupBy("class").agg(F.collect_list("member").alias("firsts"))
+    by_cell = classes.withColumnRenamed("cell", "at_cell").join(lists, "class").join(known, "class").select("at_cell", "near", "firsts")
+    asked = rows.select("vec_id", "cell").filter(F.col("vec_id") % every == 0)
+    joined = salted_join(asked, by_cell, "cell", "at_cell", spread_by="vec_id", how="inner").filter(~F.array_contains("firsts", F.col("vec_id")))
+    rest = joined.select("vec_id", F.posexplode(F.slice(F.filter("near", lambda x: x != F.col("vec_id")), 1, k)).alias("p", "other")).select("vec_id", (F.col("p") + 1).alias("rank"), "other", F.lit(1.0).alias("cosine"))
+    return mine.unionByName(rest).filter(F.col("cosine") >= min_cosine)
 
 
 def close_pairs(similar: DataFrame) -> DataFrame:

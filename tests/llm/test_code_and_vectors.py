@@ -167,6 +167,25 @@ def test_recall_and_copies(spark):
     assert neighbours.most_similar(df.limit(0)).count() == 0
 
 
+def test_rescaled_vectors_are_one_direction(spark):
+    """A group of one direction and many norms: ties go by the smaller id for its members and for vectors near it."""
+    rng = np.random.default_rng(3)
+    base = rng.normal(size=(600, 24)).astype(np.float32)
+    twos = [(1000 + i, base[7] * np.float32(2.0) ** (i % 40 - 20)) for i in range(300)]  # exactly one direction
+    any_ = [(2000 + i, base[9] * np.float32(rng.uniform(0.01, 90))) for i in range(300)]  # up to float rounding
+    near = [(3000 + i, (base[7] + rng.normal(size=24) * 0.05).astype(np.float32)) for i in range(20)]
+    few = [(4000 + i, base[20 + i % 30] * np.float32(rng.uniform(0.1, 9))) for i in range(60)]
+    vectors = [*enumerate(base), *twos, *any_, *near, *few]
+    df = spark.createDataFrame([(i, "m", x.tolist(), 24) for i, x in vectors], "vec_id long, model string, embedding array<float>, dimension int")
+    got = neighbours.most_similar(df, 5, shard_size=400).collect()
+    pairs, want = {(r["vec_id"], r["other"]) for r in got}, brute([(i, x.astype(float)) for i, x in vectors], 5)
+    # A vector outside the second group, but nearest to it, may be given any of its members.
+    sure = lambda ps: {(a, b) for a, b in ps if a in {7, 9} or a >= 1000}
+    assert sure(pairs) == sure(want)
+    assert len(pairs & want) / len(want) > 0.9 and len(pairs) == len(want) == 5 * len(vectors)
+    assert sorted(r["rank"] for r in got if r["vec_id"] == 1200) == [1, 2, 3, 4, 5]
+
+
 # --- the queries --------------------------------------------------------------------------------
 
 
