@@ -108,13 +108,10 @@ def page_evidence(text: str | None, often: int = 3, width: int = 5) -> tuple[int
         letters = sum(map(len, words)) or 1
         said = sum(len(w) for w in words if counts[w] >= often) / letters
         sure += n * said
-        if said < 1:
-            runs = [words[i : i + width] for i in range(max(1, len(words) - width + 1))]
-            for r in runs:
-                h = _hash(" ".join(r))
-                shingles[h] = shingles.get(h, 0.0) + n * (1 - said) / len(runs)
-        else:
-            shingles.setdefault(_hash(" ".join(words[:width])), 0.0)
+        runs = [words[i : i + width] for i in range(max(1, len(words) - width + 1))]
+        for r in runs:  # those of a unit that is sure add nothing here, but count for the other hosts
+            h = _hash(" ".join(r))
+            shingles[h] = shingles.get(h, 0.0) + n * (1 - said) / len(runs)
     return total, sure, possible, shingles
 
 

@@ -214,6 +214,16 @@ def test_replicated_phrases_decide(spark):
     assert spam.spam_pages(many).count() == 6
 
 
+def test_all_phrases_of_stuffed_lines_count(spark):
+    """Other hosts carry the phrases only in the middle of lines whose words are all said again and again."""
+    names = [f"{chr(97 + i // 26)}{chr(97 + i % 26)}q" for i in range(60)]
+    rare = "\n".join(" ".join(names[i : i + 5]) for i in range(0, 60, 5))
+    stuffed = " ".join(["cheap tool sale now online", *names] * 4)
+    rows = [(1, rare, "https://a.example/")] + [(10 + i, stuffed, f"https://h{i}.example/") for i in range(5)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, url string").withColumn("source", F.lit(None).cast("string"))
+    assert sorted(r["doc_id"] for r in spam.spam_pages(df).collect()) == [1, 10, 11, 12, 13, 14]
+
+
 def test_very_long_text():
     total, sure, possible, shingles = spam.page_evidence("cheap tool " * 100_000)
     assert sure > 0.9 * total and len(shingles) < 10
