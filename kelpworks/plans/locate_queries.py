@@ -91,14 +91,26 @@ def locate_path_ranked(spark, folder):
 
 @query("locate_spans", f"WITH {NODES}, {FILES}, x AS (SELECT n.id, TRY(decode(encode(content)[byte_start + 1 : CASE WHEN byte_end - byte_start > 200 THEN byte_start + 184 ELSE byte_end END])) AS part, byte_end - byte_start > 200 AS truncated FROM n JOIN f USING (file_id) WHERE byte_start >= 0 AND byte_end >= byte_start AND byte_end <= strlen(content)) SELECT id, part || CASE WHEN truncated THEN chr(10) || '... (truncated)' ELSE '' END AS content, truncated FROM x WHERE part IS NOT NULL")
 def locate_spans(spark, folder):
-    """The spans whose bytes are whole characters."""
-    n = nodes_view(spark, folder).filter("byte_start >= 0 AND byte_end >= byte_start").withColumn("score", F.lit(1.0))
-    f = files_view(spark, folder, "file_id", "path", "content")
+    """The spans whose bytes are whole characters, as the SQL has no others; locate_spans_all has every span."""
+    n, f = _ranged_nodes(spark, folder)
     stop = F.when(F.col("byte_end") - F.col("byte_start") > 200, F.col("byte_start") + 184).otherwise(F.col("byte_end"))
     whole = F.is_valid_utf8(raw_bytes_of(F.col("body"), F.col("byte_start"), stop).cast("string"))
+    return L.spans(n.filter(whole).drop("body"), f, 200).select("id", "content", "truncated")
+
+
+@query("locate_spans_all")
+def locate_spans_all(spark, folder):
+    """Every span within its file; a cut character becomes U+FFFD, which DuckDB's decode cannot say."""
+    n, f = _ranged_nodes(spark, folder)
+    return L.spans(n.drop("body"), f, 200).select("id", "content", "truncated")
+
+
+def _ranged_nodes(spark, folder):
+    """The nodes whose range lies within their file, with its text as body, and the files."""
+    n = nodes_view(spark, folder).filter("byte_start >= 0 AND byte_end >= byte_start").withColumn("score", F.lit(1.0))
+    f = files_view(spark, folder, "file_id", "path", "content")
     bodies = f.select(F.col("file_id").alias("x"), F.col("content").alias("body"))
-    fits = n.join(bodies, F.col("file_id") == F.col("x")).filter((F.col("byte_end") <= F.octet_length("body")) & whole).drop("x", "body")
-    return L.spans(fits, f, 200).select("id", "content", "truncated")
+    return n.join(bodies, F.col("file_id") == F.col("x")).filter(F.col("byte_end") <= F.octet_length("body")).drop("x"), f
 
 
 @query("locate_hybrid_merge")

@@ -137,12 +137,26 @@ def byte_to_line(spark, folder):
 
 @query("byte_range_text", f"WITH {FILES}, n AS (SELECT DISTINCT id, file_id, byte_start, byte_end FROM structural_nodes WHERE byte_start >= 0 AND byte_end > byte_start), x AS (SELECT id, TRY(decode(encode(content)[byte_start + 1 : least(byte_end, byte_start + 16384)])) AS slice, byte_end - byte_start > 16384 AS truncated FROM n JOIN f USING (file_id) WHERE byte_end <= strlen(content)) SELECT * FROM x WHERE slice IS NOT NULL")
 def byte_range_text(spark, folder):
-    """The ranges whose bytes are whole characters."""
+    """The ranges whose bytes are whole characters, as the SQL has no others; byte_range_text_all has every range."""
+    j, end = _byte_ranges(spark, folder)
+    whole = F.is_valid_utf8(T.raw_bytes_of(F.col("content"), F.col("byte_start"), end).cast("string"))
+    return _range_text(j.filter(whole), end)
+
+
+@query("byte_range_text_all")
+def byte_range_text_all(spark, folder):
+    """Every range within its file; a cut character becomes U+FFFD, which DuckDB's decode cannot say."""
+    return _range_text(*_byte_ranges(spark, folder))
+
+
+def _byte_ranges(spark, folder):
     nodes = load(spark, folder, "structural_nodes", "id", "file_id", "byte_start", "byte_end").filter("byte_start >= 0 AND byte_end > byte_start").distinct()
     end = F.least(F.col("byte_end"), F.col("byte_start") + 16384)
-    j = nodes.join(files_view(spark, folder, "file_id", "content"), "file_id").filter("byte_end <= octet_length(content)")
-    whole = F.is_valid_utf8(T.raw_bytes_of(F.col("content"), F.col("byte_start"), end).cast("string"))
-    return j.filter(whole).select("id", T.bytes_of(F.col("content"), F.col("byte_start"), end).alias("slice"), (F.col("byte_end") - F.col("byte_start") > 16384).alias("truncated"))
+    return nodes.join(files_view(spark, folder, "file_id", "content"), "file_id").filter("byte_end <= octet_length(content)"), end
+
+
+def _range_text(ranges, end):
+    return ranges.select("id", T.bytes_of(F.col("content"), F.col("byte_start"), end).alias("slice"), (F.col("byte_end") - F.col("byte_start") > 16384).alias("truncated"))
 
 
 @query("line_start_bytes", f"WITH {FILES}, l AS (SELECT file_id, unnest(string_split(content, chr(10))) AS t, generate_subscripts(string_split(content, chr(10)), 1)::INT AS line FROM f WHERE content <> '') SELECT file_id, line, CAST(coalesce(sum(strlen(t) + 1) OVER (PARTITION BY file_id ORDER BY line ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS byte_start FROM l")

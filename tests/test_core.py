@@ -373,3 +373,22 @@ def test_variables_can_be_referred_to(spark):
     c = values(spark, [("f", 0, 10, "LIMIT = go"), ("f", 11, 40, "def go(): return LIMIT(1)")], "file string, range_start long, range_end long, text string")
     got = {(r["kind"], r["from_id"], r["to_id"]) for r in G.reference_edges(s, c).collect()}
     assert got == {("References", "f::go::11", "f::LIMIT::0")}
+
+
+def test_spans_that_cut_a_character_are_kept(spark, tmp_path):
+    """Every node within its file has its bytes; only where they cut a character U+FFFD stands for it."""
+    from kelpworks.plans import all_queries
+
+    texts = {1: "é" * 9000, 2: "a" + "é" * 9000, 3: "aé\u4e2d" * 6000}
+    ranges = [(f, a, b) for f in texts for a, b in ((0, 10), (1, 9), (0, 200), (0, 201), (1, 400), (0, 17000), (1, 17001), (5, 5), (3, 40000))]
+    nodes = [(i, f, "k", f"n{i}", f"n{i}", a, b, 1, 1, None, 0) for i, (f, a, b) in enumerate(ranges)]
+    spark.createDataFrame(nodes, "id long, file_id long, kind string, label string, path_joined string, byte_start int, byte_end int, line_start int, line_end int, parent_id long, depth int").write.parquet(f"{tmp_path}/structural_nodes.parquet")
+    spark.createDataFrame([(f, f"p{f}.txt", t) for f, t in texts.items()], "file_id long, path string, content string").write.parquet(f"{tmp_path}/files.parquet")
+    inside = {i: (texts[f].encode(), a, b) for i, (f, a, b) in enumerate(ranges) if b <= len(texts[f].encode())}
+    shown = lambda raw: raw.decode("utf-8", "replace")
+    spans = {r["id"]: (r["content"], r["truncated"]) for r in all_queries()["locate_spans_all"](spark, str(tmp_path)).collect()}
+    assert spans == {i: (shown(t[a : a + 184]) + "\n... (truncated)", True) if b - a > 200 else (shown(t[a:b]), False) for i, (t, a, b) in inside.items()}
+    texts_ = {r["id"]: (r["slice"], r["truncated"]) for r in all_queries()["byte_range_text_all"](spark, str(tmp_path)).collect()}
+    assert texts_ == {i: (shown(t[a : min(b, a + 16384)]), b - a > 16384) for i, (t, a, b) in inside.items() if b > a}
+    cut = [i for i, (t, a, b) in inside.items() if "\ufffd" in spans[i][0]]
+    assert cut and not {r["id"] for r in all_queries()["locate_spans"](spark, str(tmp_path)).collect()} & set(cut)
