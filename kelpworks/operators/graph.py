@@ -11,6 +11,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import cut
+
 _ID = r"^(.*)::(.*)::(\d+)$"
 WORD = r"[A-Za-z_][A-Za-z0-9_]*"
 
@@ -148,21 +150,27 @@ def build_edges(symbols: DataFrame, chunks: DataFrame, imports: DataFrame) -> Da
 # --- outlines -----------------------------------------------------------------------------------
 
 
-def outline(symbols: DataFrame, max_depth: int = 6) -> DataFrame:
-    """`symbol_id, name, parent, depth, path`: each symbol below its parents of the same file, flat.
+def outline(symbols: DataFrame, max_depth: int | None = None) -> DataFrame:
+    """`symbol_id, name, file, parent, depth, path`: each symbol below its parents of the same file, flat.
 
-    A parent that is not in the file makes its child a root. One join per level; levels are few.
+    A parent that is not in the file makes its child a root. One join per level, until a level is empty or
+    max_depth is reached. A symbol is not put below itself; a cycle that no root leads to has no place.
     """
     s = symbols.select("symbol_id", "name", "file", "parent_id")
     p = s.select(F.col("symbol_id").alias("p_id"), F.col("file").alias("p_file"))
-    s = s.join(p, (F.col("parent_id") == F.col("p_id")) & (F.col("file") == F.col("p_file")), "left").select("symbol_id", "name", "file", F.col("p_id").alias("parent"))
-    level = s.filter("parent IS NULL").select("symbol_id", "name", "file", "parent", F.lit(0).alias("depth"), F.col("name").alias("path"))
-    out = level
-    for _ in range(max_depth):
-        up = level.select(F.col("symbol_id").alias("u_id"), (F.col("depth") + 1).alias("depth"), F.col("path").alias("u_path"))
-        level = s.join(up, F.col("parent") == F.col("u_id")).select("symbol_id", "name", "file", "parent", "depth", F.concat_ws("/", "u_path", "name").alias("path"))
-        out = out.unionByName(level)
-    return out
+    s = cut(s.join(p, (F.col("parent_id") == F.col("p_id")) & (F.col("file") == F.col("p_file")), "left").select("symbol_id", "name", "file", F.col("p_id").alias("parent")))
+    level = s.filter("parent IS NULL").select("symbol_id", "name", "file", "parent", F.lit(0).alias("depth"), F.col("name").alias("path"), F.array("symbol_id").alias("above"))
+    out, depth = level, 0
+    while max_depth is None or depth < max_depth:
+        up = level.select(F.col("symbol_id").alias("u_id"), (F.col("depth") + 1).alias("depth"), F.col("path").alias("u_path"), F.col("above").alias("u_above"))
+        below = s.join(up, F.col("parent") == F.col("u_id")).filter(~F.coalesce(F.array_contains("u_above", F.col("symbol_id")), F.lit(False)))
+        level = cut(below.select("symbol_id", "name", "file", "parent", "depth", F.concat_ws("/", "u_path", "name").alias("path"), F.concat("u_above", F.array("symbol_id")).alias("above")))
+        if level.isEmpty():
+            break
+        out, depth = out.unionByName(level), depth + 1
+        if depth % 32 == 0:  # else the plan of a very deep tree grows by a union a level
+            out = cut(out)
+    return out.drop("above")
 
 
 # --- intervals ----------------------------------------------------------------------------------

@@ -392,3 +392,12 @@ def test_spans_that_cut_a_character_are_kept(spark, tmp_path):
     assert texts_ == {i: (shown(t[a : min(b, a + 16384)]), b - a > 16384) for i, (t, a, b) in inside.items() if b > a}
     cut = [i for i, (t, a, b) in inside.items() if "\ufffd" in spans[i][0]]
     assert cut and not {r["id"] for r in all_queries()["locate_spans"](spark, str(tmp_path)).collect()} & set(cut)
+
+
+def test_outline_has_every_level(spark):
+    """A chain of 40 levels comes out whole; symbols that are above themselves end it."""
+    chain = [(f"c{i}", f"n{i}", "f", f"c{i - 1}" if i else None) for i in range(40)]
+    loop = [("a", "a", "g", None), ("a", "a", "g", "b"), ("b", "b", "g", "a"), ("x", "x", "g", "y"), ("y", "y", "g", "x")]
+    rows = G.outline(values(spark, chain + loop, "symbol_id string, name string, file string, parent_id string")).collect()
+    assert {(r["symbol_id"], r["depth"], r["path"]) for r in rows if r["file"] == "f"} == {(f"c{i}", i, "/".join(f"n{k}" for k in range(i + 1))) for i in range(40)}
+    assert {(r["symbol_id"], r["depth"], r["path"]) for r in rows if r["file"] == "g"} == {("a", 0, "a"), ("b", 1, "a/b")}
