@@ -133,6 +133,13 @@ def test_not_handwritten(spark):
     assert handwritten.not_handwritten(df.limit(0)).count() == 0
 
 
+def test_short_copies_count(spark):
+    """A one-line copy is a copy; files of comments only have no tokens to share."""
+    rows = [(1, "a/vendor/x/index.js", "export * from './y';\n"), (2, "b/src/index.js", "// y\nexport * from './y';\n"), (3, "b/src/z.js", "export * from './z';\n"), (4, "a/vendor/x/c.js", "// c\n"), (5, "b/src/d.js", "// d\n")]
+    got = {r["file_id"]: r["reason"] for r in handwritten.not_handwritten(spark.createDataFrame(rows, "file_id long, path string, content string")).collect()}
+    assert got == {1: "third-party", 2: "copy", 4: "third-party"}
+
+
 def test_long_file_is_read_to_its_end():
     text = OTHER + "# filler line with words\n" * 20_000 + "x = 1\n"
     assert handwritten.profile("r/a.py", text)[1] != handwritten.profile("r/a.py", text + "y = 2\n")[1]
