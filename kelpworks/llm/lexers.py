@@ -628,7 +628,7 @@ class _Python:
             else:
                 p += 1
         self.at = p + len(quote)
-        yield "STRING", at
+        yield "BYTES" if "b" in prefix else "STRING", at
 
     def pieces(self, quote: str, raw: bool, spec: bool):
         """The text and fields of an f-string up to its end, or of a format specification up to its brace."""

@@ -145,6 +145,82 @@ def test_long_file_is_read_to_its_end():
     assert handwritten.profile("r/a.py", text)[1] != handwritten.profile("r/a.py", text + "y = 2\n")[1]
 
 
+NOT_PYTHON = [
+    'try:\n    pass\nexcept ValueError, e:\n    pass\n',
+    'f(a=1, 2)\n',
+    'def f(a=1, b): pass\n',
+    '1 + not y\n',
+    'x = y := 0\n',
+    "'x' b'y'\n",
+    'x := 1\n',
+    'f(**a, *b)\n',
+    'f(**a, b)\n',
+    'def f(*): pass\n',
+    'def f(*, **k): pass\n',
+    'def f(**k, a): pass\n',
+    'def f(/, a): pass\n',
+    'def f(a, *b, *c): pass\n',
+    'lambda a=1, b: 0\n',
+    'a == not b\n',
+    '[x for x in y if z := 1]\n',
+    'f(x for x in y, 1)\n',
+    'def f() -> a, b: pass\n',
+    'return x := 1\n',
+    'try:\n    pass\nexcept*:\n    pass\n',
+    '-not x\n',
+]
+PYTHON = [
+    'try:\n    pass\nexcept (A, B) as e:\n    pass\nexcept:\n    pass\n',
+    'try:\n    pass\nexcept* A:\n    pass\n',
+    'f(1, *a, b=2, *c, **d, e=3, **g)\n',
+    'f(a:=1, 2, x=not y)\n',
+    'def f(a, b: int = 1, /, c=2, *d: int, e, g=1, **h): pass\n',
+    'def f(a, /, b, c=1, *, d): pass\n',
+    'def f(a, /): pass\n',
+    'def f(*, a): pass\n',
+    'def f(a=1, /, b=2,): pass\n',
+    'lambda a, /, b=1, *c, d, **e: 0\n',
+    'lambda *a, b=1: 0\n',
+    'lambda: 0\n',
+    'not a == b and not c or not not d\n',
+    '(y := f(x))\n',
+    '[y := 1, *a]\n',
+    'while x := f(): pass\n',
+    'a[b:=1]\n',
+    'a[1:2, *b]\n',
+    "b'x' b'y'\n'x' f'y{z}' 'q'\n",
+    'x = a if not b else not c\n',
+    "{**a, 'b': not c}\n",
+    'a not in b is not c\n',
+    'await_ = 1\nx = -a ** -b\n',
+    '[x for x in y if not z if w or v]\n',
+    'f(x for x in y)\n',
+    'def f() -> list[int]: pass\n',
+    'match x, y:\n    case 1, 2: pass\n',
+    "match x:\n    case b'a': pass\n",
+    'class A(B, metaclass=C, **k): pass\n',
+    'a < b + c | d\n',
+    "print(*a, sep='')\n",
+    'x: int = yield_\n',
+    'def g():\n    x = yield 1\n    return *a, b\n',
+    'f(**a)\n',
+    'f(a, **b,)\n',
+    'x = lambda a: not a\n',
+    "assert not x, 'y'\n",
+]
+
+
+def test_python_agrees_with_ast():
+    """Order of parameters and arguments, the places of 'not' and ':=', handlers, bytes beside text."""
+    for text in NOT_PYTHON:
+        with pytest.raises(SyntaxError):
+            ast.parse(text)
+        assert lexers.check_python(text) is not None, text
+    for text in PYTHON:
+        ast.parse(text)
+        assert lexers.check_python(text) is None, text
+
+
 # --- neighbours ---------------------------------------------------------------------------------
 
 
