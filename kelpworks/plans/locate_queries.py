@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import datetime
 
+import pandas as pd
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -73,6 +74,19 @@ def md_section_end(spark, folder):
     return h.select("doc_id", "line", F.array(*(F.col(f"n{k}") for k in range(1, 7)))[F.col("level") - 1].alias("next_line"))
 
 
+@query("md_sections_all")
+def md_sections_all(spark, folder):
+    """Every heading that the Markdown parser knows (also setext, indented and closed ones; none in ``` or ~~~ fences) and the next of its level or above."""
+
+    def run(batches):
+        for pdf in batches:
+            rows = [(d, *h) for d, t in zip(pdf["doc_id"], pdf["text"]) for h in structural.markdown_headings(t)]
+            yield pd.DataFrame({"doc_id": pd.Series([r[0] for r in rows], dtype="int64"), "line": pd.Series([r[1] for r in rows], dtype="int32"), "level": pd.Series([r[2] for r in rows], dtype="int32"), "title": pd.Series([r[3] for r in rows], dtype="object"), "next_line": pd.array([r[4] for r in rows], dtype="Int32")})
+
+    d = load(spark, folder, "documents", "doc_id", "text").filter("doc_id IS NOT NULL AND text IS NOT NULL")
+    return d.mapInPandas(run, "doc_id long, line int, level int, title string, next_line int")
+
+
 @query("node_by_path", f"WITH {NODES}, x AS (SELECT min(path_joined) AS p FROM n WHERE depth = 1) SELECT id, label FROM n, x WHERE path_joined = p ORDER BY file_id, depth, id LIMIT 1")
 def node_by_path(spark, folder):
     n = nodes_view(spark, folder)

@@ -249,6 +249,23 @@ def parse_markdown(text: str) -> list[Node]:
 PARSERS = {"json": parse_json, "yaml": parse_yaml, "toml": parse_toml, "csv": parse_csv, "markdown": parse_markdown}
 
 
+def markdown_headings(text: str) -> list[tuple[int, int, str, int | None]]:
+    """(line, level, title, line of the next heading of the same or a higher level) of the sections."""
+    starts = [start for _, start, _ in _lines(text)]
+    out: list[tuple[int, int, str, int | None]] = []
+    open_: list[int] = []
+    for kind, title, _, start, _, _, level in parse_markdown(text):
+        if kind != "MdSection":
+            continue
+        line = bisect.bisect_right(starts, start)
+        while open_ and out[open_[-1]][1] >= level:
+            i = open_.pop()
+            out[i] = (*out[i][:3], line)
+        open_.append(len(out))
+        out.append((line, level, title, None))
+    return out
+
+
 def node_id(path: str, kind: str, node_path: tuple, start: int) -> int:
     """A positive id from file, kind, path and place, so equal headings of one file differ."""
     import xxhash

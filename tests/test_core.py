@@ -401,3 +401,13 @@ def test_outline_has_every_level(spark):
     rows = G.outline(values(spark, chain + loop, "symbol_id string, name string, file string, parent_id string")).collect()
     assert {(r["symbol_id"], r["depth"], r["path"]) for r in rows if r["file"] == "f"} == {(f"c{i}", i, "/".join(f"n{k}" for k in range(i + 1))) for i in range(40)}
     assert {(r["symbol_id"], r["depth"], r["path"]) for r in rows if r["file"] == "g"} == {("a", 0, "a"), ("b", 1, "a/b")}
+
+
+def test_markdown_headings_of_every_form(spark, tmp_path):
+    """Titles with '#', indented, closed and setext headings count; lines in both kinds of fences do not."""
+    from kelpworks.plans import all_queries
+
+    text = "# A é\n\n## Issue #12\n~~~\n# no\n~~~\n  ## Indented ##\n```\n# no\n```\nSetext\n======\n\nSub\n---\n\n### C\n"
+    values(spark, [(1, text), (2, None), (3, "plain")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = sorted(tuple(r) for r in all_queries()["md_sections_all"](spark, str(tmp_path)).collect())
+    assert got == [(1, 1, 1, "A é", 11), (1, 3, 2, "Issue #12", 7), (1, 7, 2, "Indented", 11), (1, 11, 1, "Setext", None), (1, 14, 2, "Sub", None), (1, 17, 3, "C", None)]
