@@ -1,7 +1,11 @@
 """File trees as tables, honouring ignore files.
 
 `FileTree` is a Python data source: the listing is one partition per top folder, so folders are read in parallel on
-executors that share the storage. `scan_folder` is the plain form over Spark's binary reader, for stores without ignore files.
+executors that share the storage. `scan_folder` is the plain form without ignore rules, on local folders and object stores.
+
+Defined cases: hidden files and folders, files over MAX_BYTES (a fixed value of the engine this follows) and links that
+leave the root are no files of the tree; a folder that cannot be listed has no files; a file that cannot be read has a
+row without hash and content, one that is no UTF-8 a row without content.
 """
 
 from __future__ import annotations
@@ -57,11 +61,21 @@ def inside(path: str, root: str) -> bool:
     return real == top or real.startswith(top + os.sep)
 
 
-def walk(root: str, below: str = "", recurse: bool = True, extensions: tuple[str, ...] = ()):
+def _names(folder: str) -> list[str]:
+    """What is in a folder and not hidden; nothing if it cannot be listed."""
+    try:
+        return sorted(n for n in os.listdir(folder) if not n.startswith("."))
+    except OSError:
+        return []
+
+
+def walk(root: str, below: str = "", recurse: bool = True, extensions: tuple[str, ...] = (), ignore: bool = True):
     """(relative path, absolute path) of the regular files that are not hidden, ignored, too large or outside the root."""
 
     def rules_of(folder: str) -> list:
         out = []
+        if not ignore:
+            return out
         for name in IGNORE_FILES:
             p = os.path.join(root, folder, name)
             if os.path.isfile(p):
@@ -71,9 +85,7 @@ def walk(root: str, below: str = "", recurse: bool = True, extensions: tuple[str
 
     def visit(folder: str, rules: list):
         rules = [*rules, (folder, rules_of(folder))]
-        for name in sorted(os.listdir(os.path.join(root, folder))):
-            if name.startswith("."):
-                continue
+        for name in _names(os.path.join(root, folder)):
             rel = f"{folder}/{name}" if folder else name
             full = os.path.join(root, rel)
             is_dir = os.path.isdir(full)
@@ -103,29 +115,32 @@ class _Reader(DataSourceReader):
     def __init__(self, options: dict):
         self.root = options["path"].removeprefix("file://")
         self.extensions = tuple(e.strip().lower() for e in options.get("extensions", "").split(",") if e.strip())
+        self.ignore = options.get("ignore", "true").lower() != "false"
 
     def partitions(self):
         rules = []
-        for name in IGNORE_FILES:
+        for name in IGNORE_FILES if self.ignore else ():
             p = os.path.join(self.root, name)
             if os.path.isfile(p):
                 with open(p, encoding="utf-8", errors="replace") as f:
                     rules += [r for r in map(ignore_rule, f) if r]
-        tops = [d for d in sorted(os.listdir(self.root)) if not d.startswith(".") and os.path.isdir(os.path.join(self.root, d)) and not os.path.islink(os.path.join(self.root, d)) and not is_ignored([("", rules)], d, True)]
+        tops = [d for d in _names(self.root) if os.path.isdir(os.path.join(self.root, d)) and not os.path.islink(os.path.join(self.root, d)) and not is_ignored([("", rules)], d, True)]
         return [_Folder("", False), *(_Folder(d, True) for d in tops)]
 
     def read(self, partition):
-        for rel, full in walk(self.root, partition.below, partition.recurse, self.extensions):
-            with open(full, "rb") as f:
-                data = f.read()
+        for rel, full in walk(self.root, partition.below, partition.recurse, self.extensions, self.ignore):
             stat = os.stat(full)
             try:
-                text = data.decode("utf-8")
+                with open(full, "rb") as f:
+                    data = f.read()
+                digest, size, text = hashlib.sha256(data).hexdigest(), len(data), data.decode("utf-8")
             except UnicodeDecodeError:
                 text = None
+            except OSError:
+                digest, size, text = None, stat.st_size, None
             name = rel.rsplit("/", 1)[-1]
             ext = name.rsplit(".", 1)[-1] if "." in name[1:] else ""
-            yield rel, hashlib.sha256(data).hexdigest(), LANGUAGE_OF_EXTENSION.get(ext), len(data), datetime.datetime.fromtimestamp(stat.st_mtime, datetime.timezone.utc), text
+            yield rel, digest, LANGUAGE_OF_EXTENSION.get(ext), size, datetime.datetime.fromtimestamp(stat.st_mtime, datetime.timezone.utc), text
 
 
 class FileTree(DataSource):
@@ -142,21 +157,34 @@ class FileTree(DataSource):
         return _Reader(self.options)
 
 
-def read_tree(spark: SparkSession, root: str, extensions: str = "") -> DataFrame:
-    spark.dataSource.register(FileTree)
-    df = spark.read.format("filetree").option("extensions", extensions).load(root)
+def _with_id(df: DataFrame) -> DataFrame:
     return df.withColumn("file_id", F.expr("xxhash64(path) & 9223372036854775807"))
 
 
+def read_tree(spark: SparkSession, root: str, extensions: str = "", ignore: bool = True) -> DataFrame:
+    spark.dataSource.register(FileTree)
+    return _with_id(spark.read.format("filetree").option("extensions", extensions).option("ignore", str(ignore).lower()).load(root))
+
+
 def scan_folder(spark: SparkSession, root: str, extensions: list[str] | None = None) -> DataFrame:
-    """The same columns from Spark's own reader, without ignore rules."""
+    """The same columns without ignore rules.
+
+    A local folder may hold links, so it is listed by the same careful walk; object stores, which have none, are read
+    by Spark's own reader.
+    """
+    scheme = re.match(r"([a-z][a-z0-9+.-]*)://", root)
+    if scheme is None or scheme.group(1) == "file":
+        return read_tree(spark, root, ",".join(extensions or []), ignore=False)
+    from ..functions.paths import language_of
+
     reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
     if extensions:
         reader = reader.option("pathGlobFilter", "*.{" + ",".join(extensions) + "}")
-    base = root.rstrip("/") + "/"
-    files = reader.load(root).filter(F.col("length") <= MAX_BYTES)
-    from ..functions.paths import language_of
-
-    rel = F.substring_index(F.col("path"), base, -1)
-    out = files.select(rel.alias("path"), F.sha2("content", 256).alias("hash"), F.col("length").alias("size"), F.col("modificationTime").alias("modified"), F.when(F.is_valid_utf8(F.col("content").cast("string")), F.col("content").cast("string")).alias("content"))
-    return out.withColumn("language", language_of(F.col("path"))).withColumn("file_id", F.expr("xxhash64(path) & 9223372036854775807"))
+    rel = F.substring_index(F.col("path"), root.rstrip("/") + "/", -1)
+    text = F.col("content").cast("string")
+    files = reader.load(root).filter(F.col("length") <= MAX_BYTES).filter(~rel.rlike(r"(^|/)\."))
+    out = files.select(
+        rel.alias("path"), F.sha2("content", 256).alias("hash"), language_of(rel).alias("language"), F.col("length").alias("size"), F.col("modificationTime").alias("modified"),
+        F.when(F.is_valid_utf8(text), text).alias("content"),
+    )
+    return _with_id(out)

@@ -34,7 +34,11 @@ def root(tmp_path_factory):
         (r / p).write_text(text)
     (r / ".gitignore").write_text("skip/\n*.log\n!keep.log\n# note\n")
     (r / "big.rs").write_bytes(b"x" * (walker.MAX_BYTES + 1))
-    os.symlink("/etc", r / "src" / "out")
+    outside = tmp_path_factory.mktemp("outside")
+    (outside / "secret.rs").write_text("fn secret() {}\n")
+    os.symlink(outside, r / "src" / "out")
+    os.symlink(outside / "secret.rs", r / "src" / "linked.rs")
+    os.symlink(r / "src", r / "src" / "loop")
     return str(r)
 
 
@@ -55,7 +59,8 @@ def test_walk(spark, root):
     assert by["src/main.rs"]["language"] == "rust" and by["src/main.rs"]["size"] == len(FILES["src/main.rs"]) and by["logs/keep.log"]["language"] is None
     assert [r["path"] for r in walker.read_tree(spark, root, "rs").collect()] == ["src/main.rs", "src/util.rs"]
     plain = {r["path"]: r["hash"] for r in walker.scan_folder(spark, root, ["rs"]).collect()}
-    assert plain["src/util.rs"] == by["src/util.rs"]["hash"]
+    assert sorted(plain) == ["skip/me.rs", "src/main.rs", "src/util.rs"] and plain["src/util.rs"] == by["src/util.rs"]["hash"]
+    assert not [p for p, _ in walker.walk(root, ignore=False) if "secret" in p or "linked" in p or "loop" in p or p.startswith(".")]
 
 
 def test_ignore_rules():
