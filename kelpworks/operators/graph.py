@@ -99,29 +99,28 @@ def _bins(start: str, end: str, width: int = 4096) -> Column:
     return F.explode(F.sequence(F.floor(F.col(start) / width), F.floor((F.col(end) - 1) / width)))
 
 
-def mentions(symbols: DataFrame, chunks: DataFrame, targets: DataFrame, called: bool = False) -> DataFrame:
-    """`symbol_id, file, word`: the words of the chunks that a symbol overlaps, if a target of the file has that name."""
-    words = chunks.select(F.col("file").alias("c_file"), F.col("range_start").alias("c_start"), F.col("range_end").alias("c_end"), F.explode((called_words if called else words_of)(F.col("text"))).alias("word"))
-    names = targets.select("file", F.col("name").alias("word")).distinct()
-    words = words.join(names.withColumnRenamed("file", "n_file"), (F.col("c_file") == F.col("n_file")) & (words["word"] == names["word"]), "left_semi")
-    own = symbols.select("symbol_id", "file", "range_start", "range_end").filter("range_end > range_start").withColumn("bin", _bins("range_start", "range_end"))
-    words = words.filter("c_end > c_start").withColumn("c_bin", _bins("c_start", "c_end"))
-    overlap = (F.col("file") == F.col("c_file")) & (F.col("bin") == F.col("c_bin")) & (F.col("range_start") < F.col("c_end")) & (F.col("c_start") < F.col("range_end"))
-    return own.join(words, overlap).select("symbol_id", "file", "word").distinct()
+def mentioned_words(text: Column) -> Column:
+    """The distinct identifiers of a text; one that is called somewhere also comes with its parenthesis."""
+    return F.array_distinct(F.regexp_extract_all(text, F.lit(WORD + r"\(?"), F.lit(0)))
 
 
 def reference_edges(symbols: DataFrame, chunks: DataFrame) -> DataFrame:
-    """References and calls within a file: a symbol mentions another one's name."""
-    sources = symbols.filter(~F.lower("kind").isin("variable", "constant"))
+    """References and calls within a file: a symbol overlaps a chunk that says (calls) the name of another symbol of the file.
 
-    def edges(kind: str, called: bool, targets: DataFrame) -> DataFrame:
-        m = mentions(sources, chunks, targets, called)
-        t = targets.select(F.col("symbol_id").alias("to_id"), F.col("file").alias("t_file"), "name")
-        hit = (F.col("file") == F.col("t_file")) & (F.col("word") == F.col("name")) & (F.col("symbol_id") != F.col("to_id"))
-        return m.join(t, hit).select(F.col("symbol_id").alias("from_id"), "to_id", F.lit(kind).alias("kind"), F.lit("Heuristic").alias("confidence"))
-
-    functions = symbols.filter(F.lower("kind").isin("function", "method"))
-    return edges("References", False, symbols).unionByName(edges("Calls", True, functions))
+    The words of the chunks are cut once, meet the symbols of their name first, so most of them end there, and then
+    the symbols around them, within bins of offsets.
+    """
+    word = F.explode(mentioned_words(F.col("text")))
+    said = chunks.filter("range_end > range_start").select(F.col("file").alias("c_file"), F.col("range_start").alias("c_start"), F.col("range_end").alias("c_end"), word.alias("said"))
+    said = said.withColumn("called", F.col("said").endswith("(")).withColumn("word", F.rtrim("said", F.lit("(")))
+    targets = symbols.select(F.col("symbol_id").alias("to_id"), F.col("file").alias("t_file"), "name", F.lower("kind").isin("function", "method").alias("callable"))
+    said = said.join(targets, (F.col("c_file") == F.col("t_file")) & (F.col("word") == F.col("name"))).select("c_file", "c_start", "c_end", "to_id", (F.col("called") & F.col("callable")).alias("calls"))
+    said = said.withColumn("c_bin", _bins("c_start", "c_end"))
+    own = symbols.filter(~F.lower("kind").isin("variable", "constant") & (F.col("range_end") > F.col("range_start"))).select(F.col("symbol_id").alias("from_id"), "file", "range_start", "range_end", _bins("range_start", "range_end").alias("bin"))
+    overlap = (F.col("file") == F.col("c_file")) & (F.col("bin") == F.col("c_bin")) & (F.col("range_start") < F.col("c_end")) & (F.col("c_start") < F.col("range_end")) & (F.col("from_id") != F.col("to_id"))
+    met = own.join(said, overlap).groupBy("from_id", "to_id").agg(F.max("calls").alias("calls"))
+    kinds = F.when(F.col("calls"), F.array(F.lit("References"), F.lit("Calls"))).otherwise(F.array(F.lit("References")))
+    return met.select("from_id", "to_id", F.explode(kinds).alias("kind"), F.lit("Heuristic").alias("confidence"))
 
 
 def define_edges(symbols: DataFrame) -> DataFrame:
@@ -147,6 +146,25 @@ def build_edges(symbols: DataFrame, chunks: DataFrame, imports: DataFrame) -> Da
     return reduce(lambda a, b: a.unionByName(b), every).dropDuplicates(["from_id", "to_id", "kind"])
 
 
+def refresh_edges(old: DataFrame, symbols: DataFrame, chunks: DataFrame, imports: DataFrame, changed: DataFrame) -> DataFrame:
+    """The edges (with parts) after the files of `changed` (file) changed, as build_edges would give them.
+
+    symbols, chunks and imports (file, target_file, items) are those of all present files. An edge depends on the
+    files of its two ends only: those with an end in a changed file go, and what the changed files define and
+    mention, what they import, and what others import from them is built anew.
+    """
+    c = changed.select(F.col("file").alias("_c")).distinct()
+    of = lambda df, key, how="left_semi": df.join(c, F.col(key) == F.col("_c"), how)
+    known = imports.filter("target_file IS NOT NULL").select("file", "target_file", "items")
+    near = of(known, "file").unionByName(of(of(known, "file", "left_anti"), "target_file"))
+    ends = near.select("file").union(near.select("target_file")).distinct()
+    own = of(symbols, "file")
+    fresh = [define_edges(own), reference_edges(own, of(chunks, "file")), import_edges(symbols.join(ends, "file", "left_semi"), near)]
+    fresh = with_parts(reduce(lambda a, b: a.unionByName(b), fresh))
+    kept = of(of(old, "from_file", "left_anti"), "to_file", "left_anti")
+    return kept.unionByName(fresh.select(*kept.columns)).dropDuplicates(["from_id", "to_id", "kind"])
+
+
 # --- outlines -----------------------------------------------------------------------------------
 
 

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import re
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, LongType
 
 HEAD_LINES, TAIL_LINES = 40, 20
 MAX_SPAN_LINES, MAX_TOTAL_LINES = 80, 400
@@ -84,15 +86,45 @@ def line_of_byte(text: Column, at: Column) -> Column:
     return F.regexp_count(F.decode(raw, "iso-8859-1"), F.lit("\n")).cast("int") + 1
 
 
+@F.pandas_udf(ArrayType(LongType()))
+def _starts(texts: pd.Series) -> pd.Series:
+    def one(t):
+        data = np.frombuffer((t or "").encode("utf-8", "surrogatepass"), np.uint8)
+        return np.concatenate([[0], np.flatnonzero(data == 10) + 1])
+
+    return texts.map(one)
+
+
+def start_bytes(text: Column) -> Column:
+    """The byte at which each line of a text begins, in time linear in the text; lines end with LF."""
+    return _starts(text)
+
+
 def line_starts(df: DataFrame, keys: list[str], text: str = "content") -> DataFrame:
-    """`keys, line, byte_start`: the prefix sums of the lines' bytes, folded within each row."""
-    parts = F.split(F.col(text), "\n")
-    init = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<bigint>").alias("starts"))
-    fold = F.aggregate(parts, init, lambda acc, x: F.struct((acc["at"] + F.octet_length(x) + 1).cast("long").alias("at"), F.concat(acc["starts"], F.array(acc["at"])).alias("starts")))
-    rows = df.filter(F.col(text).isNotNull() & (F.col(text) != "")).select(*keys, F.posexplode(fold["starts"]).alias("p", "byte_start"))
+    """`keys, line, byte_start` of each line, without a shuffle."""
+    rows = df.filter(F.col(text).isNotNull() & (F.col(text) != "")).select(*keys, F.posexplode(start_bytes(F.col(text))).alias("p", "byte_start"))
     return rows.select(*keys, (F.col("p") + 1).alias("line"), "byte_start")
 
 
+def byte_lines(points: DataFrame, files: DataFrame, key: str = "file_id", text: str = "content", width: int = 4096) -> DataFrame:
+    """`point_id, line`: the line that holds byte `at` of each point (point_id, key, at); past the end it is the last line.
+
+    Line starts and points meet in bins of bytes; a bin without a start of its own is given the last one before it, so
+    a file's text is read once, however many points it has.
+    """
+    f = files.filter(F.col(text).isNotNull() & (F.col(text) != "")).select(F.col(key).alias("_f"), start_bytes(F.col(text)).alias("_s"))
+    rows = f.select("_f", F.posexplode("_s").alias("_p", "_at"), F.get("_s", F.col("_p") + 1).alias("_next"), (F.size("_s") - 1).alias("_last"))
+    first = F.floor(F.col("_at") / width)
+    # The last line reaches to the end of the text and beyond; points there are clipped to its start.
+    until = F.when(F.col("_next").isNull(), first).otherwise(F.floor((F.col("_next") - 1) / width))
+    spans = rows.select("_f", (F.col("_p") + 1).alias("line"), "_at", "_next", F.explode(F.sequence(first, until)).alias("_bin"))
+    ends = f.select("_f", F.get("_s", F.size("_s") - 1).alias("_end"))
+    p = points.select("point_id", F.col(key).alias("_k"), "at").join(ends, F.col("_k") == F.col("_f")).select("point_id", "_k", F.least("at", "_end").alias("_x"))
+    p = p.withColumn("_b", F.floor(F.col("_x") / width))
+    hit = (F.col("_k") == F.col("_f")) & (F.col("_b") == F.col("_bin")) & (F.col("_at") <= F.col("_x")) & (F.col("_next").isNull() | (F.col("_x") < F.col("_next")))
+    return p.join(spans, hit).select("point_id", "line")
+
+
 def truncate_lines(text: Column, cap: int = MAX_SPAN_LINES) -> Column:
     """The text, or its first 40 and last 20 lines around a note of how many are left out."""
     parts = F.split(text, "\n")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import datetime
+
 from pyspark.sql import functions as F
 
 from ..operators import graph as G
@@ -96,11 +98,9 @@ _LINE_CHUNKS = "l AS (SELECT path, unnest(string_split(content, chr(10))) AS t,
 
 
 def _line_chunks(spark, folder):
-    files = files_view(spark, folder, "file_id", "path", "content")
-    starts = T.line_starts(files, ["path"]).select("path", "line", "byte_start")
-    parts = files.filter("content <> ''").select("path", F.posexplode(F.split("content", "\n")).alias("p", "text"))
-    j = parts.join(starts.withColumnRenamed("path", "s_path"), (F.col("path") == F.col("s_path")) & (F.col("p") + 1 == F.col("line")))
-    return j.select(F.col("path").alias("file"), F.col("byte_start").alias("range_start"), (F.col("byte_start") + F.octet_length("text") + 1).alias("range_end"), "text")
+    files = files_view(spark, folder, "file_id", "path", "content").filter("content <> ''")
+    lines = files.select("path", F.explode(F.arrays_zip(F.split("content", "\n").alias("t"), T.start_bytes(F.col("content")).alias("s"))).alias("l"))
+    return lines.select(F.col("path").alias("file"), F.col("l.s").alias("range_start"), (F.col("l.s") + F.octet_length("l.t") + 1).alias("range_end"), F.col("l.t").alias("text"))
 
 
 @query("word_index", f"WITH {FILES}, w AS (SELECT DISTINCT file_id, unnest(regexp_extract_all(content, '[A-Za-z_][A-Za-z0-9_]*')) AS word FROM f) SELECT word, count(*) AS files FROM w GROUP BY word")
@@ -132,16 +132,46 @@ def call_edges(spark, folder):
     return e.filter("kind = 'Calls'").select("from_id", "to_id").distinct()
 
 
-@query("import_edges", f"WITH {EDGES}, {SYMBOLS}, i AS (SELECT DISTINCT from_file AS file, to_file AS target_file, to_name AS item FROM e WHERE kind = 'Imports' AND from_file <> '' AND to_file <> ''), t AS (SELECT file, name, arg_min(symbol_id, (range_start, symbol_id)) AS to_id FROM s GROUP BY ALL), p AS (SELECT DISTINCT s.symbol_id AS from_id, t.to_id FROM i JOIN t ON i.target_file = t.file AND i.item = t.name JOIN s ON s.file = i.file) SELECT from_id, to_id, 'Imports' AS kind FROM p UNION SELECT to_id, from_id, 'ImportedBy' FROM p")
+_ITEMS = "i AS (SELECT DISTINCT from_file AS file, to_file AS target_file, to_name AS item FROM e WHERE kind = 'Imports' AND from_file <> '' AND to_file <> ''), t AS (SELECT file, name, arg_min(symbol_id, (range_start, symbol_id)) AS to_id FROM s GROUP BY ALL), p AS (SELECT DISTINCT s.symbol_id AS from_id, t.to_id FROM i JOIN t ON i.target_file = t.file AND i.item = t.name JOIN s ON s.file = i.file)"
+
+
+def _items(spark, folder):
+    e = edges_view(spark, folder).filter("kind = 'Imports' AND from_file <> '' AND to_file <> ''")
+    return e.select(F.col("from_file").alias("file"), F.col("to_file").alias("target_file"), F.array("to_name").alias("items")).distinct()
+
+
+@query("import_edges", f"WITH {EDGES}, {SYMBOLS}, {_ITEMS} SELECT from_id, to_id, 'Imports' AS kind FROM p UNION SELECT to_id, from_id, 'ImportedBy' FROM p")
 def import_edges(spark, folder):
-    i = edges_view(spark, folder).filter("kind = 'Imports' AND from_file <> '' AND to_file <> ''").select(F.col("from_file").alias("file"), F.col("to_file").alias("target_file"), F.array("to_name").alias("items"))
-    return G.import_edges(symbols_view(spark, folder), i).select("from_id", "to_id", "kind").distinct()
+    return G.import_edges(symbols_view(spark, folder), _items(spark, folder)).select("from_id", "to_id", "kind").distinct()
+
+
+# One scan of the words for both kinds: a call is an occurrence with a parenthesis.
+_BUILT = (
+    f"WITH {SYMBOLS}, {FILES}, {EDGES}, {_LINE_CHUNKS}, {_ITEMS}, src AS (SELECT * FROM s WHERE lower(kind) NOT IN ('variable', 'constant')),"
+    " w AS (SELECT DISTINCT file, s0, e0, unnest(regexp_extract_all(text, '[A-Za-z_][A-Za-z0-9_]*\\(?')) AS said FROM c),"
+    " m AS (SELECT DISTINCT src.symbol_id, src.file, rtrim(said, '(') AS word, suffix(said, '(') AS called FROM src JOIN w ON src.file = w.file AND src.range_start < w.e0 AND w.s0 < src.range_end WHERE src.range_end > src.range_start),"
+    " x AS (SELECT m.symbol_id AS from_id, q.symbol_id AS to_id, bool_or(called AND lower(q.kind) IN ('function', 'method')) AS calls FROM m JOIN s q ON q.file = m.file AND q.name = m.word AND q.symbol_id <> m.symbol_id GROUP BY ALL)"
+    " SELECT symbol_id AS from_id, symbol_id AS to_id, 'Defines' AS kind, 'Resolved' AS confidence FROM s"
+    " UNION SELECT from_id, to_id, 'References', 'Heuristic' FROM x UNION SELECT from_id, to_id, 'Calls', 'Heuristic' FROM x WHERE calls"
+    " UNION SELECT from_id, to_id, 'Imports', 'Heuristic' FROM p UNION SELECT to_id, from_id, 'ImportedBy', 'Heuristic' FROM p"
+)
 
 
-@query("edges_build")
+@query("edges_build", _BUILT)
 def edges_build(spark, folder):
-    i = edges_view(spark, folder).filter("kind = 'Imports' AND from_file <> '' AND to_file <> ''").select(F.col("from_file").alias("file"), F.col("to_file").alias("target_file"), F.array("to_name").alias("items"))
-    return G.build_edges(symbols_view(spark, folder), _line_chunks(spark, folder), i)
+    return G.build_edges(symbols_view(spark, folder), _line_chunks(spark, folder), _items(spark, folder))
+
+
+@query("refresh_edges", _BUILT)
+def refresh_edges(spark, folder):
+    """The index of 10 March 2031 brought up to date: every file with a symbol that came or went since is refreshed."""
+    seen = load(spark, folder, "symbols", "symbol_id", "name", "kind", "file", "range_start", "range_end", "signature", "parent_id", "seen_at", "deleted_at")
+    split = F.lit(datetime.datetime(2031, 3, 10))
+    then = seen.filter((F.col("seen_at") < split) & (F.col("deleted_at").isNull() | (F.col("deleted_at") >= split))).drop("seen_at", "deleted_at").distinct()
+    changed = seen.filter((F.col("seen_at") >= split) | (F.col("deleted_at") >= split)).select("file").distinct()
+    chunks, items = _line_chunks(spark, folder), _items(spark, folder)
+    old = G.with_parts(G.build_edges(then, chunks, items))
+    return G.refresh_edges(old, symbols_view(spark, folder), chunks, items, changed).select("from_id", "to_id", "kind", "confidence")
 
 
 @query("outline_tree", f"WITH RECURSIVE {SYMBOLS}, p AS (SELECT s.symbol_id, s.name, q.symbol_id AS parent FROM s LEFT JOIN s q ON q.symbol_id = s.parent_id AND q.file = s.file), r AS (SELECT symbol_id, name, 0 AS depth, name AS path FROM p WHERE parent IS NULL UNION ALL SELECT p.symbol_id, p.name, depth + 1, path || '/' || p.name FROM p JOIN r ON p.parent = r.symbol_id) SELECT symbol_id, CAST(depth AS INT) AS depth, path FROM r")

@@ -131,8 +131,8 @@ _STARTS = "l AS (SELECT file_id, unnest(string_split(content, chr(10))) AS t, ge
 @query("byte_to_line", f"WITH {FILES}, n AS (SELECT DISTINCT id, file_id, byte_start FROM structural_nodes WHERE byte_start >= 0), {_STARTS} SELECT id, CAST(count(*) AS INT) AS line FROM n JOIN b USING (file_id) WHERE at_ <= byte_start GROUP BY id")
 def byte_to_line(spark, folder):
     nodes = load(spark, folder, "structural_nodes", "id", "file_id", "byte_start").filter("byte_start >= 0").distinct()
-    files = files_view(spark, folder, "file_id", "content").filter("content <> ''")
-    return nodes.join(files, "file_id").select("id", T.line_of_byte(F.col("content"), F.col("byte_start")).alias("line"))
+    points = nodes.select(F.col("id").alias("point_id"), "file_id", F.col("byte_start").alias("at"))
+    return T.byte_lines(points, files_view(spark, folder, "file_id", "content")).withColumnRenamed("point_id", "id")
 
 
 @query("byte_range_text", f"WITH {FILES}, n AS (SELECT DISTINCT id, file_id, byte_start, byte_end FROM structural_nodes WHERE byte_start >= 0 AND byte_end > byte_start), x AS (SELECT id, TRY(decode(encode(content)[byte_start + 1 : least(byte_end, byte_start + 16384)])) AS slice, byte_end - byte_start > 16384 AS truncated FROM n JOIN f USING (file_id) WHERE byte_end <= strlen(content)) SELECT * FROM x WHERE slice IS NOT NULL")

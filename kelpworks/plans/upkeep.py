@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
-from ..operators.increments import changed_per_run, run_windows
+from ..operators.increments import IncrementLedger, changed_per_run, replay, run_windows
 from ..operators.orphans import orphan_counts, orphan_references
 from ..sources.tables import load
+from ..session import shared_dir
 from .catalog import query
 
 _CHANGED = """
@@ -30,7 +33,23 @@ def p3_counts(spark, folder):
     return p3_found(spark, folder).groupBy("run_id").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("p3_windows")
+@query("p3_ledger", _CHANGED + "SELECT run_id, path FROM changed WHERE before IS NULL OR before <> hash")
+def p3_ledger(spark, folder):
+    """p3_found by live runs: every run of the history takes its records, the failed and killed ones in vain."""
+    ledger = IncrementLedger(spark, f"{shared_dir(spark)}/ledger-{uuid.uuid4().hex}", compact_every=8)
+    return replay(ledger, load(spark, folder, "file_scans"), load(spark, folder, "index_runs")).select("run_id", "path")
+
+
+@query(
+    "p3_windows",
+    """
+WITH r AS (SELECT DISTINCT run_id, started_at, finished_at, status FROM index_runs),
+c AS (SELECT *, coalesce(finished_at, lead(started_at) OVER (ORDER BY started_at, run_id)) AS closed FROM r),
+k AS (SELECT run_id, row_number() OVER w AS seq, started_at AS high, lag(started_at) OVER w AS prev_high FROM c WHERE status = 'ok' WINDOW w AS (ORDER BY started_at, run_id))
+SELECT k.run_id, CAST(k.seq AS INT) AS seq, k.high, k.prev_high, coalesce(min(c.started_at), k.prev_high) AS low
+FROM k LEFT JOIN c ON c.started_at <= k.prev_high AND (c.closed IS NULL OR c.closed >= k.prev_high) GROUP BY k.run_id, k.seq, k.high, k.prev_high
+""",
+)
 def p3_windows(spark, folder):
     return run_windows(load(spark, folder, "index_runs"))
 

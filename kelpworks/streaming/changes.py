@@ -88,18 +88,26 @@ def reindex_stream(changes: DataFrame, refresh: Callable[[DataFrame, int], None]
     return changes.writeStream.foreachBatch(handle).option("checkpointLocation", checkpoint).trigger(processingTime=every).start()
 
 
-def poll_stream(spark: SparkSession, snapshot: Callable[[], DataFrame], store, on_changes: Callable[[DataFrame], None], checkpoint: str, every: str = POLL) -> StreamingQuery:
-    """Compares a fresh snapshot with the stored one at each tick; `store` is a SnapshotStore, table `polled`."""
+def poll_once(snapshot: Callable[[], DataFrame], store, on_changes: Callable[[DataFrame], None], version: int, table: str = "polled", keep: int = 4) -> None:
+    """Stores a snapshot as `version` and reports how it differs from the stored version before it.
+
+    The listing is evaluated once, as it is written, so a change during a tick is in this report or in the next. A
+    tick that is repeated after a failure finds its version stored and reports the same difference again.
+    """
+    store.write(table, snapshot(), version)
+    older = [v for v in store.versions(table) if v < version]
+    now = store.read(table, version)
+    on_changes(snapshot_diff(store.read(table, older[-1]) if older else now.limit(0), now))
+    store.drop_before(table, keep)
 
-    def tick(_: DataFrame, batch_id: int) -> None:
-        now = snapshot()
-        before = store.read("polled")
-        changes = snapshot_diff(before if before is not None else now.limit(0), now)
-        on_changes(changes)
-        store.write("polled", now, batch_id)
 
+def poll_stream(spark: SparkSession, snapshot: Callable[[], DataFrame], store, on_changes: Callable[[DataFrame], None], checkpoint: str, every: str = POLL) -> StreamingQuery:
+    """Compares a fresh snapshot with the stored one at each tick; `store` is a SnapshotStore, table `polled`.
+
+    on_changes gets each difference at least once; it must be idempotent.
+    """
     source = spark.readStream.format("rate").option("rowsPerSecond", 1).load()
-    return source.writeStream.foreachBatch(tick).option("checkpointLocation", checkpoint).trigger(processingTime=every).start()
+    return source.writeStream.foreachBatch(lambda _, batch_id: poll_once(snapshot, store, on_changes, batch_id)).option("checkpointLocation", checkpoint).trigger(processingTime=every).start()
 
 
 # --- incremental refresh ------------------------------------------------------------------------
@@ -109,52 +117,43 @@ def refresh_index(tables: dict[str, DataFrame], changes: DataFrame, current: Dat
     """The next state of `files, nodes, symbols, chunks, imports, edges` after changes (path, change).
 
     current has the present files (path, hash, language, size, modified, content, file_id). Files that were removed
-    vanish from every table; created and modified ones are read anew; edges are rebuilt for them and
-    for files one import away in either direction, and only for those.
+    vanish from every table; created and modified ones are read anew. Edges are rebuilt for them and for the
+    imports between them and others, in either direction; the result is that of build_index over `current`.
     """
     from ..operators import graph as G
-    from ..operators import imports as I
     from ..operators.upserts import delete_files
-    from ..sources import code, structural
 
     paths = changes.select("path").distinct()
     fresh = current.join(changes.filter("change <> 'removed'").select("path").distinct(), "path", "left_semi").select(*tables["files"].columns)
     old = {k: tables[k] for k in ("nodes", "symbols", "chunks", "imports")}
     left = delete_files(paths, tables["files"], **old)
     out = {"files": left["files"].unionByName(fresh)}
-    parsed = {"nodes": structural.structural_nodes(fresh), "symbols": code.symbols(fresh), "chunks": code.chunks(fresh), "imports": code.imports(fresh)}
-    for name, df in parsed.items():
+    for name, df in parsed_tables(fresh).items():
         out[name] = left[name].unionByName(df.select(*left[name].columns))
-    changed = paths.select(F.col("path").alias("file"))
-    affected = changed.unionByName(G.import_neighbours(tables["edges"], changed)).distinct()
-    resolved = resolve_imports(out["imports"], I)
-    near = lambda df, col="file": df.join(affected.select(F.col("file").alias("_a")), F.col(col) == F.col("_a"), "left_semi")
-    # Targets of imports may lie in files that are not affected, so all symbols can be targets; sources are affected files.
-    imports = G.import_edges(out["symbols"], near(resolved))
-    local = G.define_edges(near(out["symbols"])).unionByName(G.reference_edges(near(out["symbols"]), near(out["chunks"])))
-    rebuilt = G.with_parts(local.unionByName(imports).dropDuplicates(["from_id", "to_id", "kind"]))
-    gone = affected.select(F.col("file").alias("_a"))
-    kept = tables["edges"].join(gone, F.col("from_file") == F.col("_a"), "left_anti").join(gone, F.col("to_file") == F.col("_a"), "left_anti")
-    out["edges"] = kept.unionByName(rebuilt.select(*kept.columns)).dropDuplicates(["from_id", "to_id", "kind"])
+    out["edges"] = G.refresh_edges(tables["edges"], out["symbols"], out["chunks"], out["imports"], paths.select(F.col("path").alias("file")))
     return out
 
 
-def resolve_imports(imports: DataFrame, rules=None) -> DataFrame:
-    """`file, target_file, items` of import statements (file, language, raw)."""
+def resolve_imports(imports: DataFrame) -> DataFrame:
+    """Import statements (file, language, raw) with `target_file` and `items`."""
     from ..operators import imports as I
 
-    rules = rules or I
     raw = F.col("raw")
-    parsed = F.when(F.col("language") == "rust", rules.rust_use(raw)).when(F.col("language") == "typescript", rules.ts_import(raw)).when(F.col("language") == "python", rules.py_import(raw))
+    parsed = F.when(F.col("language") == "rust", I.rust_use(raw)).when(F.col("language") == "typescript", I.ts_import(raw)).when(F.col("language") == "python", I.py_import(raw))
     p = imports.withColumn("p", parsed)
-    return p.select("file", rules.resolve(F.col("language"), F.col("file"), raw, F.col("p.module_path")).alias("target_file"), F.col("p.items").alias("items"))
+    return p.select(*imports.columns, I.resolve(F.col("language"), F.col("file"), raw, F.col("p.module_path")).alias("target_file"), F.col("p.items").alias("items"))
+
+
+def parsed_tables(files: DataFrame) -> dict[str, DataFrame]:
+    """What is read from the texts of files alone: `nodes, symbols, chunks, imports`."""
+    from ..sources import code, structural
+
+    return {"nodes": structural.structural_nodes(files), "symbols": code.symbols(files), "chunks": code.chunks(files), "imports": resolve_imports(code.imports(files))}
 
 
 def build_index(files: DataFrame) -> dict[str, DataFrame]:
     """All tables from the files, as refresh_index keeps them."""
     from ..operators import graph as G
-    from ..sources import code, structural
 
-    symbols, chunks, imports = code.symbols(files), code.chunks(files), code.imports(files)
-    edges = G.with_parts(G.build_edges(symbols, chunks, resolve_imports(imports)))
-    return {"files": files, "nodes": structural.structural_nodes(files), "symbols": symbols, "chunks": chunks, "imports": imports, "edges": edges}
+    t = parsed_tables(files)
+    return {"files": files, **t, "edges": G.with_parts(G.build_edges(t["symbols"], t["chunks"], t["imports"]))}

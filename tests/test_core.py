@@ -19,7 +19,7 @@ from kelpworks.operators import retrieval as R
 from kelpworks.operators import routing
 from kelpworks.operators import text as T
 from kelpworks.operators import upserts as U
-from kelpworks.operators.increments import IncrementLedger, changed_per_run
+from kelpworks.operators.increments import IncrementLedger, changed_per_run, run_windows
 from kelpworks.operators.orphans import orphan_counts, orphan_references
 from kelpworks.sources import code, structural
 
@@ -64,6 +64,15 @@ def test_changes_of_each_run(spark, seed):
     assert changed_per_run(s.limit(0), r).count() == 0 and changed_per_run(s, r.limit(0)).count() == 0
 
 
+def test_run_windows_of_any_length(spark):
+    """The distributed order of a long history gives the windows of the order in one task."""
+    runs = [(i, at(7 * i % 50), None if i % 4 == 1 else at(7 * i % 50 + i % 30), "ok" if i % 3 else "killed") for i in range(40)]
+    r = values(spark, runs, "run_id long, started_at timestamp_ntz, finished_at timestamp_ntz, status string")
+    a, b = (sorted(map(tuple, run_windows(r, n).collect())) for n in (100_000, 0))
+    ok = sorted((s, i) for i, s, _, st_ in runs if st_ == "ok")
+    assert a == b and [x[0] for x in sorted(a, key=lambda x: x[1])] == [i for _, i in ok]
+
+
 def test_ledger_survives_failed_runs(spark, tmp_path):
     ledger = IncrementLedger(spark, f"file://{tmp_path}/ledger")
     schema = "scan_id long, path string, hash string, arrived_at timestamp_ntz"
@@ -411,3 +420,34 @@ def test_markdown_headings_of_every_form(spark, tmp_path):
     values(spark, [(1, text), (2, None), (3, "plain")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     got = sorted(tuple(r) for r in all_queries()["md_sections_all"](spark, str(tmp_path)).collect())
     assert got == [(1, 1, 1, "A é", 11), (1, 3, 2, "Issue #12", 7), (1, 7, 2, "Indented", 11), (1, 11, 1, "Setext", None), (1, 14, 2, "Sub", None), (1, 17, 3, "C", None)]
+
+
+def test_ledger_takes_late_rows_once(spark, tmp_path):
+    """Rows that become visible after their arrival are met by the reread, each pair is processed once, whatever is compacted."""
+    ledger = IncrementLedger(spark, f"file://{tmp_path}/ledger", compact_every=2)
+    rng = random.Random(5)
+    rows = [(i, rng.choice("abcdef"), rng.choice(["x", "y", "z"]), at(rng.randint(0, 60)), rng.choice([0, 0, 4, 9])) for i in range(300)]
+    seen, state, last = [], {}, 0
+    for run in range(1, 8):
+        now, low = at(10 * run), at(10 * last - 10)  # what was open at the last success began up to ten hours before it
+        visible = [r[:4] for r in rows if r[3] + datetime.timedelta(hours=r[4]) <= now]
+        got = ledger.pending(values(spark, visible, "scan_id long, path string, hash string, arrived_at timestamp_ntz"), low, now)
+        if run in (2, 5):
+            continue  # the run dies
+        todo = {r[0]: r for r in visible if r[3] >= low} if run > 1 else {r[0]: r for r in visible}
+        fresh = [r for i, r in todo.items() if i not in set(seen)]
+        before = dict(state)
+        for r in sorted(fresh, key=lambda r: (r[3], r[0])):
+            if r[1] not in state or (r[3], r[0]) > state[r[1]][0]:
+                state[r[1]] = ((r[3], r[0]), r[2])
+        want = {p for p, (_, c) in state.items() if p not in before or before[p][1] != c}
+        rows_got = got.collect()
+        assert {r["path"] for r in rows_got} == {r[1] for r in fresh}
+        assert {r["path"] for r in rows_got if r["changed"]} == want
+        seen, last = seen + [r[0] for r in fresh], run
+        ledger.commit(run, got, low)
+        ledger.commit(run, got, low)
+    assert len(seen) == len(set(seen)) and set(seen) == {r[0] for r in rows}
+    assert ledger.state().count() == 6 and list(ledger.committed()) == [1, 3, 4, 6, 7]
+    with pytest.raises(ValueError):
+        ledger.commit(7, ledger.pending(values(spark, [], "scan_id long, path string, hash string, arrived_at timestamp_ntz"), at(0), at(80)))

@@ -174,6 +174,35 @@ def test_refresh(spark, engine):
     assert out["edges"].count() == out["edges"].dropDuplicates(["from_id", "to_id", "kind"]).count()
 
 
+def test_refresh_is_a_rebuild(spark):
+    """m imports n, n imports c: a refresh after any change of one of them gives the tables of a whole rebuild."""
+    text = {
+        "src/m.rs": "use crate::n::{two};\n\nfn one() {\n    two();\n}\n",
+        "src/n.rs": "use crate::c::{three};\nuse crate::later::{four};\n\npub fn two() {\n    three();\n}\n",
+        "src/c.rs": "pub fn three() {}\n",
+    }
+    steps = {
+        "target": ({"src/c.rs": "fn other() {}\n\npub fn three() {\n    other();\n}\n"}, [("src/c.rs", "modified")]),
+        "created": ({"src/later.rs": "pub fn four() {}\n"}, [("src/later.rs", "created")]),
+        "removed": ({"src/c.rs": None}, [("src/c.rs", "removed")]),
+        "middle": ({"src/n.rs": "pub fn two() {}\n"}, [("src/n.rs", "modified")]),
+    }
+
+    def files(texts):
+        rows = [(p, str(hash(t)), "rust", len(t), t, i) for i, (p, t) in enumerate(sorted(texts.items()))]
+        return spark.createDataFrame(rows, "path string, hash string, language string, size long, content string, file_id long")
+
+    rows_of = lambda df: sorted(tuple(str(r[c]) for c in sorted(df.columns) if c != "file_id") for r in df.collect())
+    before = C.build_index(files(text))
+    assert {("Imports", "one", "two"), ("ImportedBy", "two", "one"), ("Imports", "two", "three")} <= {(r["kind"], r["from_name"], r["to_name"]) for r in before["edges"].collect()}
+    for new, events in steps.values():
+        now = files({p: t for p, t in (text | new).items() if t is not None})
+        got = C.refresh_index(before, spark.createDataFrame(events, "path string, change string"), now)
+        want = C.build_index(now)
+        for table in ("edges", "symbols", "chunks", "imports"):
+            assert rows_of(got[table]) == rows_of(want[table])
+
+
 def test_stale_nodes(spark, engine):
     t = engine.tables
     indexed = t["files"].select("file_id", F.when(F.col("path") == "config/app.json", "old").otherwise(F.col("hash")).alias("hash"))
@@ -216,6 +245,29 @@ def test_polling(spark, tmp_path):
     assert got[0] == [("a", "created")] and got[1] == []
 
 
+def test_polling_reports_every_change(spark, tmp_path):
+    """The listing changes at each look; what is reported leads from nothing to the last stored state, also after a failure."""
+    store, looks, got, fail = SnapshotStore(spark, f"file://{tmp_path}/p"), [0], [], [True]
+
+    def listing():
+        looks[0] += 1
+        return spark.createDataFrame([(f"f{i}", datetime.datetime(2031, 1, 1), 1) for i in range(looks[0])], "path string, modified timestamp, size long")
+
+    def report(changes):
+        rows = [tuple(r) for r in changes.collect()]
+        if fail[0] and len(got) == 1:
+            fail[0] = False
+            raise RuntimeError("the receiver is down")
+        got.append(rows)
+
+    for i in range(3):
+        try:
+            C.poll_once(listing, store, report, i)
+        except RuntimeError:
+            C.poll_once(listing, store, report, i)
+    assert sorted(p for rows in got for p, c in rows if c == "created") == sorted(r["path"] for r in store.read("polled").collect())
+
+
 def test_rate(spark):
     t0 = datetime.datetime(2031, 1, 1)
     rows = [("x", t0 + datetime.timedelta(seconds=s)) for s in [0, 1, 59, 60, 61, 200]]
