@@ -1,12 +1,18 @@
 """Keyword-stuffed and link-list pages.
 
-A page is cut into units (lines, and the sentences and cells in them). Fenced code, code-like units,
-data and sentences, which hold several different function words (one, if they end as
-sentences do), are writing. What remains is list
-evidence: links that nothing describes, shop tags, and keyword phrases. A phrase counts as spam by the
-share of it that is said again and again in the page, or if its shingles (five words; the whole phrase if
-it is shorter) are found on `min_hosts` other hosts too, which is counted over all pages. A page is
-flagged if more than half of its characters are such evidence.
+Phrases of list-like text are counted by the distinct hosts that say them, over all pages; a page is spam if most of
+its characters are list-like text stitched from phrases that other hosts say, too, joined with the density of its list:
+links that nothing describes, and phrases that the page itself says again and again.
+
+1. Every page is cut into parts: lines, and the sentences and cells in them. Of each word is counted how often it stands in
+   parts that have the shape of a sentence, and how often elsewhere (headings, cells, lists, tags). Words of which nearly all
+   are in sentences, on most groups of hosts, are sentence words: no list of words of any language is given.
+2. A part is writing if it has enough sentence words or, where the corpus knows too few of its words, the shape of a
+   sentence; fenced code, code-like parts and data are writing, too. What is left is links and keyword parts.
+3. Keyword parts are cut into phrases at list marks. A phrase of up to five words is a shingle; a longer run gives its
+   shingles of five and of three words. (phrase, host) pairs of all pages are reduced to hosts per phrase.
+4. A keyword part counts by the share of its words that lie in a shingle said on more than `min_hosts` hosts or that the
+   page says `often` times or more.
 
 Defined cases: null, empty and blank texts are not flagged; a page without a host (null url and source)
 is a host of its own; repeated keys are one page per text; ties do not occur; further columns are ignored.
@@ -17,6 +23,7 @@ from __future__ import annotations
 import re
 from collections import Counter
 
+import numpy as np
 import pandas as pd
 import xxhash
 from pyspark.sql import DataFrame
@@ -25,116 +32,217 @@ from pyspark.sql import functions as F
 from ..functions.skew import salted_join
 from ..session import cut
 
-#: Words that sentences need and keyword phrases do without (en, de, fr, es). Words that shops
-#: put into phrases (for, top, no; für; pour, sans, pas, de; para, sin, en) are left out.
-FUNCTION_WORDS = frozenset(
-    """a about after again all also an and any are as at be because been before between both but by can could did do does each every from
-    had has have he her here his how i if in into is it its just may more most must my nobody not nothing now of on once only or other our over please
-    run same she should since so some still such than that the their them then there these they this those through to too under unless until up us was
-    we were what when where which while who why will with would yet you your
-    aber alle als also am an auch auf aus bei beim bis da damit dann das dass dem den der des die diese doch durch ein eine einen einer es
-    gilt hat haben ich im in ist jede jetzt kann kein mehr mit nach nicht nichts noch nur ob oder ohne sehr seit sich sie sind so sobald
-    über um und uns unter vom von vor wann warum was weil wenn wer werden wie wir wird wo zu zum zur darf
-    au aux avant avec ce cela ces cette comme dans des donc du elle est et être il ils ici je la le les leur lors mais ne ni nous
-    on ont ou où par pendant peut plus pourquoi quand que qui rien sa se ses si son sont sur tout un une vers vous y maintenant depuis encore
-    ahora al algo aquí así aún cada casi como con cual cuando del desde donde el ella es esta este hasta hay la las le lo los más me mi
-    muy nada ni nos o otra otro pero por porque que quién qué se si sigue sobre son su sus también todo todavía una uno y ya
-    """.split()
-)
+GROUPS = 8
 _FENCE = re.compile(r"(?:```|~~~).*?(?:```|~~~|\Z)", re.S)
 _HTML_LINK = re.compile(r"<a\s[^>]*>(.*?)(?:</a>|$)", re.I)
 _MD_LINK = re.compile(r"!?\[([^\]]*)\]\((?:https?:|www\.)[^)\s]*\)?")
 _URL = re.compile(r"(?:https?://|www\.)[^\s<>|\"')\]]+")
+_BREAK = re.compile(r"<br\s*/?>", re.I)
 _TAG = re.compile(r"<[^>]{1,200}>")
-_SENTENCE = re.compile(r"(?<=[.!?])\s+|[|。！？]")
+_PART = re.compile(r"(?<=[.!?])\s+|(?<=[。！？])|\|")
 _WORD = re.compile(r"[^\W\d_][^\W_]*(?:['’-][^\W\d_]+)*")
-_KANA = re.compile(r"[぀-ゟ]")
+#: Scripts that do not part words by blanks: their words are taken character by character.
+_UNSPACED = re.compile(r"[฀-໿က-႟ក-៿぀-ヿ㐀-䶿一-鿿豈-﫿]")
+_ENDS = ".!?。！？…।"
+_HASHTAG = re.compile(r"(?<!\S)#[^\W\d]\w*")
 _CODE = re.compile(r"`|==|->|=>|\w_\w|\w\(|[{};]\s*$|^\s*[\w.\"-]+\s*[:=]\s*\S+\s*$|\d{4}-\d\d-\d\dT|^\s*(?://|--|\$ )|\w=\w")
 _SHOP = re.compile(r"[$€£¥]\s?\d|\d\s?[€£¥]|-\d+\s?%|★|☆")
 _NUMBER = re.compile(r"\d")
+_LIST_MARK = re.compile(r"[,;/|>#*•·()\[\]★☆$€£¥%!?]+|\.(?:\s|$)|\s[-–—]\s|(?<!\w)v?\d[\d.]*(?!\w)")
 
 
 def _hash(text: str) -> int:
     return xxhash.xxh64_intdigest(text) - (1 << 63)
 
 
-def units(text: str) -> tuple[int, int, list[tuple[list[str], int]]]:
-    """(characters, characters of undescribed links and tags, keyword units as (words, characters))."""
-    total = links = 0
-    keywords = []
+def words_of(text: str) -> list[str]:
+    """Lower-case words; characters where the script has no blanks."""
+    out = []
+    for w in _WORD.findall(text):
+        if _UNSPACED.search(w):
+            out += w
+        else:
+            out.append(w.lower())
+    return out
+
+
+def _shaped(part: str, words: list[str]) -> bool:
+    """Whether a part has the shape of a sentence: five words or more, most of them different, and an end."""
+    return len(words) >= 5 and part.rstrip(" \t\r\"'”’)»")[-1:] in _ENDS and 2 * len(set(words)) > len(words)
+
+
+def parts(text: str):
+    """Yields (kind, text, characters, words, links of its line) of each part (fence, tags, shop, code, data or words), and after each line's parts the line."""
     for code in _FENCE.findall(text):
-        total += len(code)
+        yield "fence", code, len(code), [], 0
     for line in _FENCE.sub("\n", text).split("\n"):
         size = len(line.strip())
         if not size:
             continue
-        total += size
         linked = "http" in line or "www." in line or "<a " in line
-        rest = line
+        rest = _BREAK.sub("|", line)
         if linked:
-            rest = _URL.sub(" ", _MD_LINK.sub(r" \1 ", _HTML_LINK.sub(r" \1 ", rest)))
-            rest = _TAG.sub(" ", rest)
-        found, prose = [], 0
-        for part in _SENTENCE.split(rest):
+            rest = _TAG.sub(" ", _URL.sub(" ", _MD_LINK.sub(r" \1 ", _HTML_LINK.sub(r" \1 ", rest))))
+        linked = len(_URL.findall(line)) or int(linked)
+        for part in _PART.split(rest):
             n = len(part.strip())
             if not n:
                 continue
-            words = [w.lower() for w in _WORD.findall(part)]
-            if len({w for w in words if w in FUNCTION_WORDS}) >= (1 if part.rstrip()[-1] in ".!?" else 2) or len(_KANA.findall(part)) >= 3:
-                prose += n
-            elif _SHOP.search(part):
-                found.append((words, n))
+            tags = sum(map(len, _HASHTAG.findall(part)))
+            if 2 * tags > n:
+                yield "tags", part, n, words_of(part.replace("_", " ")), linked
+                continue
+            words = words_of(part)
+            if _SHOP.search(part):
+                yield "shop", part, n, words, linked
             elif not linked and _CODE.search(part):
-                prose += n
+                yield "code", part, n, words, linked
             elif not words or len(_NUMBER.findall(part)) * 2 > n:
-                continue  # numbers, rules and marks are neither
+                yield "data", part, n, words, linked
             else:
-                found.append((words, n))
-        if linked and not prose:
-            links += size - sum(n for _, n in found)
-        keywords += found
-    return total, links, keywords
-
-
-def page_evidence(text: str | None, often: int = 3, width: int = 5) -> tuple[int, float, float, dict[int, float]]:
-    """(characters, sure spam, possible spam, what each phrase shingle would add if it is replicated)."""
+                yield "words", part, n, words, linked
+        yield "line", "", size, [], linked
+
+
+def sentence_counts(texts) -> dict[int, list[int]]:
+    """Hash of each word -> [in parts shaped as sentences, in all parts of words, pages]."""
+    out: dict[int, list[int]] = {}
+    for text in texts:
+        inside, every = Counter(), Counter()
+        for kind, part, _, words, _ in parts(text or ""):
+            if kind in ("words", "tags", "shop"):
+                every.update(words)
+                if kind == "words" and _shaped(part, words):
+                    inside.update(words)
+        for w, n in every.items():
+            row = out.setdefault(_hash(w), [0, 0, 0])
+            row[0] += inside[w]
+            row[1] += n
+            row[2] += 1
+    return out
+
+
+def _listed(part: str, words: list[str]) -> bool:
+    """Whether a part is a list by its marks: six or more short entries, half of whose words come again."""
+    entries = sum(part.count(m) for m in ",;/>•·、，；") + 1
+    return entries >= 6 and len(words) <= 4 * entries and 2 * len(set(words)) <= len(words) + entries
+
+
+class Lexicon:
+    """The common words of a corpus: those of sentences, and the others."""
+
+    def __init__(self, sentence: set[int], other: set[int]):
+        self.sentence, self.other = sentence, other
+
+    def is_writing(self, part: str, words: list[str]) -> bool:
+        if _listed(part, words):
+            return False
+        marks = [_hash(w) for w in words]
+        good = sum(m in self.sentence for m in marks)
+        known = good + sum(m in self.other for m in marks)
+        if 2 * known > len(marks):
+            return len({m for m in marks if m in self.sentence}) >= 2 and 3 * good >= len(marks)
+        return _shaped(part, words)
+
+
+def page_evidence(text: str | None, lexicon: Lexicon = Lexicon(set(), set()), often: int = 3, width: int = 5, short: int = 3) -> tuple[int, float, float, dict[tuple[int, ...], list[float]]]:
+    """(characters, sure, possible, what words add by the shingles that they lie in).
+
+    sure are the characters of bare links and of what the page repeats, possible those of all links and keyword parts. A
+    word's value is [characters, those of them that are not sure]; it counts if one of its shingles is replicated.
+    """
     if not text or not text.strip():
         return 0, 0.0, 0.0, {}
-    total, links, keywords = units(text)
-    counts = Counter(w for words, _ in keywords for w in words)
-    sure, possible, shingles = float(links), float(links), {}
-    for words, n in keywords:
+    total = links = prose = named = told = 0
+    found: list[tuple[int, list[list[str]]]] = []
+    for kind, part, n, words, linked in parts(text):
+        if kind == "fence":
+            total += n
+        elif kind == "line":
+            total += n
+            # A sentence describes one link of its line; the others are bare, with their share of the line.
+            links += (n - named - prose) * max(0, linked - told) / linked if linked else 0
+            prose = named = told = 0
+        elif kind == "code" or (kind == "words" and lexicon.is_writing(part, words)):
+            prose += n
+            told += 1
+        elif kind != "data":
+            named += n
+            found.append((n, [p for p in (words_of(x.replace("_", " ")) for x in _LIST_MARK.split(part)) if p]))
+    said = Counter(w for _, phrases in found for p in phrases for w in p)
+    sure, possible, adds = float(links), float(links), {}
+    for n, phrases in found:
+        per = n / max(1, sum(len(w) for p in phrases for w in p))
         possible += n
-        letters = sum(map(len, words)) or 1
-        said = sum(len(w) for w in words if counts[w] >= often) / letters
-        sure += n * said
-        runs = [words[i : i + width] for i in range(max(1, len(words) - width + 1))]
-        for r in runs:  # those of a unit that is sure add nothing here, but count for the other hosts
-            h = _hash(" ".join(r))
-            shingles[h] = shingles.get(h, 0.0) + n * (1 - said) / len(runs)
-    return total, sure, possible, shingles
-
-
-def spam_pages(docs: DataFrame, min_hosts: int = 3, share: float = 0.5) -> DataFrame:
-    """`doc_id, total, spam`: the flagged pages and how many of their characters are evidence."""
+        for p in phrases:
+            mine: list[list[int]] = [[] for _ in p]
+            for k in (width, short) if len(p) > width else (len(p),):
+                for i in range(len(p) - k + 1):
+                    h = _hash(" ".join(p[i : i + k]))
+                    for j in range(i, i + k):
+                        mine[j].append(h)
+            for w, own in zip(p, mine):
+                v = adds.setdefault(tuple(sorted(set(own))), [0.0, 0.0])
+                v[0] += per * len(w)
+                if said[w] >= often:
+                    sure += per * len(w)
+                else:
+                    v[1] += per * len(w)
+    return total, sure, possible, adds
+
+
+def lexicon_of(pages: DataFrame, common: float = 1e-4, least: int = 3, share: float = 0.9) -> Lexicon:
+    """The words of at least `least` pages and one in 1 / common, from all pages.
+
+    A word is one of sentences if that holds for `share` of its uses in most of the groups of hosts that say it, so one
+    host, however large, decides in one group only. There are at most (words per page) / common such words.
+    """
+
+    def run(batches):
+        for pdf in batches:
+            for g, texts in pdf.groupby("g")["text"]:
+                c = sentence_counts(texts)
+                yield pd.DataFrame({"w": np.fromiter(c, np.int64, len(c)), "g": int(g), "s": [v[0] for v in c.values()], "n": [v[1] for v in c.values()], "p": [v[2] for v in c.values()]})
+
+    grouped = pages.select("text", F.pmod(F.xxhash64("host"), F.lit(GROUPS)).cast("int").alias("g"))
+    counts = grouped.mapInPandas(run, "w long, g int, s long, n long, p long")
+    in_group = lambda c, g: F.sum(F.when(F.col("g") == g, F.col(c)).otherwise(0))
+    sums = counts.groupBy("w").agg(F.sum("p").alias("pages"), *(in_group(c, g).alias(f"{c}{g}") for c in "sn" for g in range(GROUPS)))
+    has = sum((F.col(f"n{g}") > 0).cast("int") for g in range(GROUPS))
+    good = sum(((F.col(f"n{g}") > 0) & (F.col(f"s{g}") >= share * F.col(f"n{g}"))).cast("int") for g in range(GROUPS))
+    least = max(least, int(common * pages.count()))
+    rows = sums.filter(F.col("pages") >= least).select("w", (2 * good > has).alias("sentence")).toPandas()
+    return Lexicon(set(rows.loc[rows["sentence"], "w"].tolist()), set(rows.loc[~rows["sentence"], "w"].tolist()))
+
+
+def spam_pages(docs: DataFrame, min_hosts: int = 3, share: float = 0.5, often: int = 3) -> DataFrame:
+    """`doc_id, total, spam, by_hosts`: the flagged pages, how many of their characters are evidence, and how many of them are phrases of other hosts."""
+    spark = docs.sparkSession
     host = F.coalesce(F.nullif(F.lower(F.regexp_extract("url", r"^[a-zA-Z]+://([^/?#]+)", 1)), F.lit("")), F.col("source"), F.concat(F.lit("doc:"), F.col("doc_id")))
     pages = docs.select("doc_id", host.alias("host"), "text").filter("doc_id IS NOT NULL AND text IS NOT NULL AND text <> ''")
+    shared = spark.sparkContext.broadcast(lexicon_of(pages))
 
     def run(batches):
         for pdf in batches:
-            rows = [(d, h, *page_evidence(t)) for d, h, t in zip(pdf["doc_id"], pdf["host"], pdf["text"])]
-            yield pd.DataFrame({
-                "doc_id": [r[0] for r in rows], "host": [r[1] for r in rows], "total": [r[2] for r in rows], "sure": [r[3] for r in rows], "possible": [r[4] for r in rows],
-                "phrases": [list(r[5]) for r in rows], "adds": [list(r[5].values()) for r in rows],
-            })
-
-    seen = cut(pages.mapInPandas(run, "doc_id long, host string, total long, sure double, possible double, phrases array<long>, adds array<double>"))
+            out = []
+            for d, h, t in zip(pdf["doc_id"], pdf["host"], pdf["text"]):
+                total, sure, possible, adds = page_evidence(t, shared.value, often)
+                phrases = list({s for own in adds for s in own})
+                ask = possible > share * total  # only pages that could be flagged ask; all pages tell what they say
+                out.append((d, h, total, sure, ask, phrases, [list(k) for k in adds] if ask else [], [v[0] for v in adds.values()] if ask else [], [v[1] for v in adds.values()] if ask else []))
+            yield pd.DataFrame(out, columns=["doc_id", "host", "total", "sure", "ask", "phrases", "lies_in", "chars", "unsure"])
+
+    schema = "doc_id long, host string, total long, sure double, ask boolean, phrases array<long>, lies_in array<array<long>>, chars array<double>, unsure array<double>"
+    seen = cut(pages.mapInPandas(run, schema))
     # Distinct hosts of each phrase, over all pages: one row per phrase and host leaves the map side.
     on_hosts = seen.select(F.xxhash64("host").alias("host"), F.explode("phrases").alias("p")).groupBy("p", "host").agg(F.lit(1).alias("one"))
     spread = on_hosts.groupBy("p").agg(F.count("one").alias("hosts")).filter(F.col("hosts") > min_hosts).select(F.col("p").alias("spread_p"))
-    open_ = seen.filter((F.col("possible") > share * F.col("total")) & (F.col("sure") <= share * F.col("total")))
-    asked = open_.select("doc_id", "total", "sure", F.explode(F.arrays_zip("phrases", "adds")).alias("x")).select("doc_id", "total", "sure", F.col("x.phrases").alias("p"), F.col("x.adds").alias("add"))
-    added = salted_join(asked, spread, "p", "spread_p", spread_by="doc_id").groupBy("doc_id", "total", "sure").agg(F.sum(F.when(F.col("spread_p").isNotNull(), F.col("add")).otherwise(0.0)).alias("more"))
-    late = added.select("doc_id", "total", (F.col("sure") + F.col("more")).alias("spam"))
-    plain = seen.filter(F.col("sure") > share * F.col("total")).select("doc_id", "total", F.col("sure").alias("spam"))
-    return plain.unionByName(late).filter(F.col("spam") > share * F.col("total")).dropDuplicates(["doc_id"])
+    open_ = seen.filter("ask")
+    asked = open_.select("doc_id", F.explode("phrases").alias("p"))
+    known = salted_join(asked, spread, "p", "spread_p", spread_by="doc_id", how="inner").groupBy(F.col("doc_id").alias("k_id")).agg(F.collect_set("p").alias("known"))
+    joined = open_.drop("phrases", "host").join(known, F.col("doc_id") == F.col("k_id"), "left")
+    at = F.arrays_zip("lies_in", "chars", "unsure")
+    replicated = F.filter(at, lambda x: F.arrays_overlap(x["lies_in"], F.coalesce("known", F.array().cast("array<bigint>"))))
+    add = lambda field: F.aggregate(replicated, F.lit(0.0), lambda acc, x: acc + x[field])
+    judged = joined.select("doc_id", "total", (F.col("sure") + add("unsure")).alias("spam"), add("chars").alias("by_hosts"))
+    return judged.filter(F.col("spam") > share * F.col("total")).dropDuplicates(["doc_id"])

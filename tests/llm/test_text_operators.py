@@ -203,6 +203,28 @@ def test_spam_pages(spark):
     assert spam.spam_pages(df.limit(0)).count() == 0
 
 
+def test_writing_of_any_language_is_no_spam(spark):
+    """No list of words is given: pages of languages that the corpus hardly has are judged by the shape of sentences."""
+    ru = "Индекс строится один раз при запуске сервера. Затем файлы проверяются по очереди, и изменённые строки читаются снова. "
+    it = "L'indice viene costruito una sola volta. Poi i file vengono letti in ordine, e le righe cambiate sono lette di nuovo. "
+    zh = "索引在服务启动时只建立一次。之后系统会按顺序检查文件，并且重新读取已经改变的行。"
+    rows = [(i, t * n, f"https://h{i}.example/") for i, (t, n) in enumerate([(ru, 1), (ru, 2), (it, 2), (zh, 1), (zh, 4), (ru, 30)])]
+    rows += [(90, "免费下载 便宜软件 免费下载 便宜工具 免费下载 便宜软件 " * 6, "https://z.example/")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, url string").withColumn("source", F.lit(None).cast("string"))
+    assert [r["doc_id"] for r in spam.spam_pages(df).collect()] == [90]
+
+
+def test_tags_and_hosts(spark):
+    """Tags joined by underscores are phrases; a page of phrases that it says once is judged by the hosts that say them."""
+    tags = " ".join(f"#cheap_{a}_{b}" for a in ("csv", "yaml", "log") for b in ("reader", "parser", "viewer"))
+    once = ["fast row sorter", "red lamp sale", "blue chair outlet", "green desk bargain", "white shelf deals"]
+    rows = [(1, tags, "https://t.example/"), (2, "; ".join(once), "https://a.example/"), (3, "; ".join(f"{p} here" for p in once), "https://b.example/")]
+    rows += [(10 + i, f"{p}, {p}, {p}, {p}", f"https://h{j}.example/{i}") for i, (p, j) in enumerate(itertools.product(once, range(5)))]
+    df = spark.createDataFrame(rows, "doc_id long, text string, url string").withColumn("source", F.lit(None).cast("string"))
+    got = {r["doc_id"]: r for r in spam.spam_pages(df).collect()}
+    assert 1 in got and 2 in got and 3 not in got and got[2]["by_hosts"] > 0.5 * got[2]["total"]
+
+
 def test_replicated_phrases_decide(spark):
     """A list of phrases that hardly repeat in the page is spam only where other hosts carry them, too."""
     words = ["amber", "birch", "cedar", "delta", "ember", "flint", "grove", "heron"]
