@@ -34,18 +34,21 @@ from ..session import cut
 
 GROUPS = 8
 _FENCE = re.compile(r"(?:```|~~~).*?(?:```|~~~|\Z)", re.S)
-_HTML_LINK = re.compile(r"<a\s[^>]*>(.*?)(?:</a>|$)", re.I)
+_HTML_LINK = re.compile(r"<a\s[^>]*>(.*?)(?:</a>|$)")
 _MD_LINK = re.compile(r"!?\[([^\]]*)\]\((?:https?:|www\.)[^)\s]*\)?")
-_URL = re.compile(r"(?:https?://|www\.)[^\s<>|\"')\]]+")
-_BREAK = re.compile(r"<br\s*/?>", re.I)
+_URL = re.compile(r"(?:https?://|www\.)[^\s<>|\x01\"')\]]+")
+_BREAK = re.compile(r"<br\s*/?>")
 _TAG = re.compile(r"<[^>]{1,200}>")
-_PART = re.compile(r"(?<=[.!?])\s+|(?<=[。！？])|\|")
-_WORD = re.compile(r"[^\W\d_][^\W_]*(?:['’-][^\W\d_]+)*")
+#: Where parts end within a line.
+_PART_ENDS = ((". ", ".\x01"), ("! ", "!\x01"), ("? ", "?\x01"), ("。", "。\x01"), ("！", "！\x01"), ("？", "？\x01"), ("|", "\x01"))
+_WORD = re.compile(r"[^\W\d_][^\W_]*")
 #: Scripts that do not part words by blanks: their words are taken character by character.
-_UNSPACED = re.compile(r"[฀-໿က-႟ក-៿぀-ヿ㐀-䶿一-鿿豈-﫿]")
+_UNSPACED = re.compile(r"[฀-໿က-႟ក-៿぀-ヿ㐀-䶿一-鿿豈-﫿]")
 _ENDS = ".!?。！？…।"
 _HASHTAG = re.compile(r"(?<!\S)#[^\W\d]\w*")
-_CODE = re.compile(r"`|==|->|=>|\w_\w|\w\(|[{};]\s*$|^\s*[\w.\"-]+\s*[:=]\s*\S+\s*$|\d{4}-\d\d-\d\dT|^\s*(?://|--|\$ )|\w=\w")
+_MARKED = re.compile(r"[`=>_({};:/$-]")  # no part without such a mark is code
+_CODE = re.compile(r"`|==|->|=>|\w_\w|\w\(|[{};]\s*$|^\s*[\w.\"-]+\s*[:=]\s*\S+\s*$|\d{4}-\d\d-\d\dt|^\s*(?://|--|\$ )|\w=\w")
+_PRICED = re.compile(r"[$€£¥%★☆]")  # nor is one without such a mark a shop tag
 _SHOP = re.compile(r"[$€£¥]\s?\d|\d\s?[€£¥]|-\d+\s?%|★|☆")
 _NUMBER = re.compile(r"\d")
 _LIST_MARK = re.compile(r"[,;/|>#*•·()\[\]★☆$€£¥%!?]+|\.(?:\s|$)|\s[-–—]\s|(?<!\w)v?\d[\d.]*(?!\w)")
@@ -55,14 +58,17 @@ def _hash(text: str) -> int:
     return xxhash.xxh64_intdigest(text) - (1 << 63)
 
 
-def words_of(text: str) -> list[str]:
-    """Lower-case words; characters where the script has no blanks."""
+def words_of(text: str, unspaced: bool = True) -> list[str]:
+    """The words of a text in lower case; characters where the script has no blanks."""
+    words = _WORD.findall(text)
+    if not unspaced:
+        return words
     out = []
-    for w in _WORD.findall(text):
+    for w in words:
         if _UNSPACED.search(w):
             out += w
         else:
-            out.append(w.lower())
+            out.append(w)
     return out
 
 
@@ -72,32 +78,43 @@ def _shaped(part: str, words: list[str]) -> bool:
 
 
 def parts(text: str):
-    """Yields (kind, text, characters, words, links of its line) of each part (fence, tags, shop, code, data or words), and after each line's parts the line."""
-    for code in _FENCE.findall(text):
-        yield "fence", code, len(code), [], 0
-    for line in _FENCE.sub("\n", text).split("\n"):
-        size = len(line.strip())
+    """Yields (kind, text, characters, words, links of its line) of each part (fence, tags, shop, code, data or words), and after each line's parts the line.
+
+    The parts are in lower case.
+    """
+    text = text.lower()
+    unspaced = _UNSPACED.search(text) is not None
+    if "```" in text or "~~~" in text:
+        for code in _FENCE.findall(text):
+            yield "fence", code, len(code), [], 0
+        text = _FENCE.sub("\n", text)
+    for mark, ended in _PART_ENDS:
+        text = text.replace(mark, ended)
+    for line in text.split("\n"):
+        line = line.strip(" \t\r\x01")
+        size = len(line)
         if not size:
             continue
-        linked = "http" in line or "www." in line or "<a " in line
-        rest = _BREAK.sub("|", line)
-        if linked:
+        rest, linked = line, 0
+        if "<br" in line:
+            rest = _BREAK.sub("\x01", rest)
+        if "http" in line or "www." in line or "<a " in line:
+            linked = len(_URL.findall(line)) or 1
             rest = _TAG.sub(" ", _URL.sub(" ", _MD_LINK.sub(r" \1 ", _HTML_LINK.sub(r" \1 ", rest))))
-        linked = len(_URL.findall(line)) or int(linked)
-        for part in _PART.split(rest):
-            n = len(part.strip())
+        for part in rest.split("\x01"):
+            part = part.strip()
+            n = len(part)
             if not n:
                 continue
-            tags = sum(map(len, _HASHTAG.findall(part)))
-            if 2 * tags > n:
-                yield "tags", part, n, words_of(part.replace("_", " ")), linked
+            if "#" in part and 2 * sum(map(len, _HASHTAG.findall(part))) > n:
+                yield "tags", part, n, words_of(part.replace("_", " "), unspaced), linked
                 continue
-            words = words_of(part)
-            if _SHOP.search(part):
+            words = words_of(part, unspaced)
+            if _PRICED.search(part) and _SHOP.search(part):
                 yield "shop", part, n, words, linked
-            elif not linked and _CODE.search(part):
+            elif not linked and _MARKED.search(part) and _CODE.search(part):
                 yield "code", part, n, words, linked
-            elif not words or len(_NUMBER.findall(part)) * 2 > n:
+            elif not words or (2 * sum(map(len, words)) < n and len(_NUMBER.findall(part)) * 2 > n):
                 yield "data", part, n, words, linked
             else:
                 yield "words", part, n, words, linked
@@ -106,42 +123,54 @@ def parts(text: str):
 
 def sentence_counts(texts) -> dict[int, list[int]]:
     """Hash of each word -> [in parts shaped as sentences, in all parts of words, pages]."""
-    out: dict[int, list[int]] = {}
+    inside, every, pages = Counter(), Counter(), Counter()
     for text in texts:
-        inside, every = Counter(), Counter()
+        mine = []
         for kind, part, _, words, _ in parts(text or ""):
-            if kind in ("words", "tags", "shop"):
+            if kind == "words" and _shaped(part, words):
+                inside.update(words)
+                mine += words
+            elif kind in ("words", "tags", "shop"):
                 every.update(words)
-                if kind == "words" and _shaped(part, words):
-                    inside.update(words)
-        for w, n in every.items():
-            row = out.setdefault(_hash(w), [0, 0, 0])
-            row[0] += inside[w]
-            row[1] += n
-            row[2] += 1
-    return out
+                mine += words
+        pages.update(set(mine))
+    return {_hash(w): [inside[w], inside[w] + every[w], n] for w, n in pages.items()}
+
+
+_ENTRIES = ",;/>•·、，；"
 
 
 def _listed(part: str, words: list[str]) -> bool:
     """Whether a part is a list by its marks: six or more short entries, half of whose words come again."""
-    entries = sum(part.count(m) for m in ",;/>•·、，；") + 1
+    if len(words) < 6:
+        return False
+    entries = sum(map(part.count, _ENTRIES)) + 1
     return entries >= 6 and len(words) <= 4 * entries and 2 * len(set(words)) <= len(words) + entries
 
 
-class Lexicon:
-    """The common words of a corpus: those of sentences, and the others."""
+class Lexicon(dict):
+    """The common words of a corpus: 1 for those of sentences, 0 for the others, -1 for words that are not common."""
 
     def __init__(self, sentence: set[int], other: set[int]):
         self.sentence, self.other = sentence, other
 
+    def __missing__(self, word: str) -> int:
+        h = _hash(word)
+        kind = 1 if h in self.sentence else 0 if h in self.other else -1
+        if len(self) < 1 << 20:  # a memory of what was looked up
+            self[word] = kind
+        return kind
+
+    def __reduce__(self):
+        return Lexicon, (self.sentence, self.other)
+
     def is_writing(self, part: str, words: list[str]) -> bool:
         if _listed(part, words):
             return False
-        marks = [_hash(w) for w in words]
-        good = sum(m in self.sentence for m in marks)
-        known = good + sum(m in self.other for m in marks)
-        if 2 * known > len(marks):
-            return len({m for m in marks if m in self.sentence}) >= 2 and 3 * good >= len(marks)
+        kinds = list(map(self.__getitem__, words))
+        good, rare = kinds.count(1), kinds.count(-1)
+        if 2 * rare < len(kinds):
+            return 3 * good >= len(kinds) and len({w for w, k in zip(words, kinds) if k == 1}) >= 2
         return _shaped(part, words)
 
 
@@ -169,6 +198,8 @@ def page_evidence(text: str | None, lexicon: Lexicon = Lexicon(set(), set()), of
         elif kind != "data":
             named += n
             found.append((n, [p for p in (words_of(x.replace("_", " ")) for x in _LIST_MARK.split(part)) if p]))
+    if not found:
+        return total, float(links), float(links), {}
     said = Counter(w for _, phrases in found for p in phrases for w in p)
     sure, possible, adds = float(links), float(links), {}
     for n, phrases in found:
