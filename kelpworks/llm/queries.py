@@ -137,7 +137,7 @@ def p10_found(spark, folder):
 
 @query
 def p5_reasons(spark, folder):
-    return handwritten.not_handwritten(load(spark, folder, "files", "file_id", "path", "content"))
+    return handwritten.not_handwritten(load(spark, folder, "files", "file_id", "repo", "path", "content"))
 
 
 @query

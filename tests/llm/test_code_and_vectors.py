@@ -133,6 +133,30 @@ def test_not_handwritten(spark):
     assert handwritten.not_handwritten(df.limit(0)).count() == 0
 
 
+def test_comments_by_language():
+    """// divides in Python and # is private in JavaScript; neither hides what follows."""
+    mark = lambda p, t: handwritten.profile(p, t)[1]
+    assert mark("r/a.py", "x = a // b\n") != mark("r/a.py", "x = a // (b * 7)\n") and mark("r/a.py", "x = a # b\n") == mark("r/a.py", "x = a # c\n")
+    assert mark("r/a.js", "this.#x = 1\n") != mark("r/a.js", "this.#y = 1\n") and mark("r/a.js", "a // b\n") == mark("r/a.js", "a // c\n")
+    assert mark("r/a.md", "see http://a\n") != mark("r/a.md", "see http://b\n")
+    rows = ",".join(f'{{"id": {i}, "at": {i * 0.7:.2f}}}' for i in range(90))
+    assert handwritten.profile("r/a.rs", f'pub const ROWS: &str = r#"[{rows}]"#;\n')[0] == ("data", "literals")
+
+
+def test_edited_copies_share_rules(spark):
+    """A vendored file with a changed token is found in another repository; files that share common lines are not."""
+    words = "parse fold scan merge route split align emit store fetch".split()
+    rng = random.Random(4)
+    body = lambda k: "".join(f"def {rng.choice(words)}_{rng.choice(words)}{k}(rows, depth={rng.randint(2, 99)}):\n    total = {rng.choice(words)}(rows[{'abcdefghijk'[i]}{k}] + depth)\n    return total.{rng.choice(words)}(depth, {rng.choice(words)}{chr(97 + i)}{k}x)\n\n" for i in range(8))
+    texts = [body(chr(97 + k) * 3) for k in range(26)]
+    library = texts[0]
+    rows = [(1, "a", "a/vendor/lib/x.py", library), (2, "b", "b/src/x.py", library.replace("rows[c", "lines[c", 1)), (3, "b", "b/src/y.py", library)]
+    rows += [(10 + i, "c", f"c/src/f{i}.py", t) for i, t in enumerate(texts[1:])]
+    df = spark.createDataFrame(rows, "file_id long, repo string, path string, content string")
+    got = {r["file_id"]: (r["reason"], r["evidence"]) for r in handwritten.not_handwritten(df).collect()}
+    assert got == {1: ("third-party", "folder"), 2: ("copy", "rules"), 3: ("copy", "rules")}
+
+
 def test_short_copies_count(spark):
     """A one-line copy is a copy; files of comments only have no tokens to share."""
     rows = [(1, "a/vendor/x/index.js", "export * from './y';\n"), (2, "b/src/index.js", "// y\nexport * from './y';\n"), (3, "b/src/z.js", "export * from './z';\n"), (4, "a/vendor/x/c.js", "// c\n"), (5, "b/src/d.js", "// d\n")]
