@@ -1,12 +1,15 @@
 """Most similar vectors for every vector, by robust-pruned directed graphs.
 
 Vectors of one direction (copies, and copies of another length) are one class, represented by the
-smallest id, so a group of any size is one vector of the index. The representatives of a model are spread over shards by a hash. For each shard a
-directed graph is built: a greedy search over the graph so far proposes neighbours for a batch of
+smallest id, so a group of any size is one vector of the index. A model of more vectors than a shard holds is cut into
+cells around centres, which are fitted on a sample of about `SAMPLE` vectors; every vector is counted and placed. Runs of
+neighbouring cells make the shards, and a cell that is larger than a shard is spread over several by a hash.
+
+For each shard a directed graph is built: a greedy search over the graph so far proposes neighbours for a batch of
 vectors, pruning keeps a neighbour only if no kept one is nearer to it by the factor alpha, edges are
-made mutual and pruned again. Then every shard's vectors search every shard's graph with a beam; the
-found candidates and the first ids of their classes get exact cosines, and each vector keeps the best of all shards. Blocks of vectors meet
-graphs (shards x shards pairs per model), never pairs of rows.
+made mutual and pruned again. Then every vector searches, with a beam, the shards that hold its `PROBES` nearest cells; the
+found candidates and the first ids of their classes get exact cosines, and each vector keeps the best of all its shards. So
+the work grows with the vectors, not with vectors x shards, and each shard's index is sent to its queries about once.
 
 Defined cases: null, empty, too short, too long, all-zero embeddings and those with null, NaN or
 infinite elements are not usable and have no neighbours; repeated rows are one vector; equal cosines
@@ -28,11 +31,19 @@ from ..functions.skew import salted_join
 from ..session import cut
 
 SHARD = 32_768
-DEGREE = 32
+DEGREE = 24
 BEAM = 64
+BUILD_BEAM = 40
 ALPHA = 1.2
 ENTRIES = 48
-MODELS = 100_000
+#: Cells of a full shard, those that a vector's search goes to, and vectors that it goes on to reach.
+CELLS, PROBES, REACH = 64, 12, 512
+#: Vectors of a model that its centres are fitted on, and the most centres of a model.
+SAMPLE, MOST_CELLS = 32_768, 4_096
+#: Models of several shards whose centres are broadcast, and the numbers in all those centres together; beyond that, shards are larger runs of fewer cells.
+MODELS, CENTRE_FLOATS = 100_000, 1 << 24
+#: Bytes of vectors that meet an index in one task.
+BLOCK = 1 << 27
 #: Unit vectors in one cell differ by up to CELL, those of two linked cells by NOISE in each of MARKS projections: float
 #: rounding of a rescaled vector moves it by 1.2e-7 at most, and at 3e-5 the cosine is still 1 to 9 places.
 CELL, NOISE, MARKS, BIN = 4e-6, 2.5e-7, 6, 1e-4
@@ -41,7 +52,7 @@ CELL, NOISE, MARKS, BIN = 4e-6, 2.5e-7, 6, 1e-4
 # --- the graph of one shard ---------------------------------------------------------------------
 
 
-def beam_search(unit: np.ndarray, graph: np.ndarray, entries: np.ndarray, queries: np.ndarray, beam: int = BEAM, starts: np.ndarray | None = None, width: int = 4) -> tuple[np.ndarray, np.ndarray]:
+def beam_search(unit: np.ndarray, graph: np.ndarray, entries: np.ndarray, queries: np.ndarray, beam: int = BEAM, starts: np.ndarray | None = None, width: int = 8) -> tuple[np.ndarray, np.ndarray]:
     """(ids, cosines) of the beam of each query, best first; -1 pads. All queries advance together.
 
     graph holds -1 where a vector has fewer neighbours. starts adds one entry per query (-1: none).
@@ -106,16 +117,15 @@ def beam_search(unit: np.ndarray, graph: np.ndarray, entries: np.ndarray, querie
 
 
 def robust_prune(unit: np.ndarray, points: np.ndarray, cand: np.ndarray, degree: int = DEGREE, alpha: float = ALPHA) -> np.ndarray:
-    """For each point, at most `degree` of its candidates (-1: none), nearest first and spread in direction."""
+    """For each point, at most `degree` of its nearest 2 * degree candidates (-1: none), nearest first and spread in direction."""
     own = np.where(cand == points[:, None], -1, cand)
     own.sort(axis=1)
     own[:, 1:][own[:, 1:] == own[:, :-1]] = -1
-    vec = unit[own]
-    dist = 2 - 2 * np.matmul(vec, unit[points][:, :, None])[:, :, 0]
+    dist = 2 - 2 * np.matmul(unit[own], unit[points][:, :, None])[:, :, 0]
     dist[own < 0] = np.inf
-    order = np.argsort(dist, axis=1, kind="stable")
+    order = np.argsort(dist, axis=1, kind="stable")[:, : 2 * degree]
     own, dist = np.take_along_axis(own, order, 1), np.take_along_axis(dist, order, 1)
-    vec = np.take_along_axis(vec, order[:, :, None], 1)
+    vec = unit[own]
     between = 2 - 2 * np.matmul(vec, vec.transpose(0, 2, 1))
     alive = own >= 0
     out = np.full((len(points), degree), -1, np.int32)
@@ -158,7 +168,7 @@ def _add_back_edges(unit: np.ndarray, graph: np.ndarray, points: np.ndarray, deg
         src, dst = src[~now], dst[~now]
 
 
-def build_graph(unit: np.ndarray, degree: int = DEGREE, beam: int = BEAM, alpha: float = ALPHA, passes: int = 2, batch: int = 1024) -> tuple[np.ndarray, np.ndarray]:
+def build_graph(unit: np.ndarray, degree: int = DEGREE, beam: int = BUILD_BEAM, alpha: float = ALPHA, passes: int = 1, batch: int = 1024) -> tuple[np.ndarray, np.ndarray]:
     """(graph, entries) over unit vectors. The order of the rows must not depend on their content."""
     n = len(unit)
     graph = np.full((n, degree), -1, np.int32)
@@ -245,17 +255,124 @@ def linked_cells(cells: DataFrame) -> DataFrame:
     return cells.select("vec_id", "cell").join(links, "vec_id", "left").select("cell", F.coalesce("first", "vec_id").alias("class"))
 
 
-def shard_graphs(firsts: DataFrame, shard_size: int = SHARD, degree: int = DEGREE, beam: int = BEAM, alpha: float = ALPHA) -> DataFrame:
-    """`model, shard, shards, vectors binary, graph binary`, written to the shared folder once.
-
-    firsts has `model, rep, vec_id, embedding`; the graph is over the reps, their other vectors lie beside it.
+class Routes:
+    """Where the vectors of the models of several shards lie: centres of cells, the first shard of each cell, its shards and size."""
+
+    def __init__(self):
+        self.models: dict[str, tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = {}
+
+    def shards(self, model: str) -> int:
+        if model not in self.models:
+            return 1
+        _, first, subs, _ = self.models[model]
+        return int((first + subs).max())
+
+    def place(self, model: str, unit: np.ndarray, rep: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
+        """(home shard of each vector, the shards that its search goes to)."""
+        if model not in self.models:
+            return np.zeros(len(unit), np.int32), [np.zeros(1, np.int32)] * len(unit)
+        centres, first, subs, sizes = self.models[model]
+        near = unit @ centres.T
+        most = min(len(centres), 8 * PROBES)
+        top = np.argpartition(-near, most - 1, axis=1)[:, :most]
+        top = np.take_along_axis(top, np.argsort(-np.take_along_axis(near, top, 1), axis=1, kind="stable"), 1)
+        home = top[:, 0]
+        spread = (rep.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)).astype(np.int64) % subs[home]
+        reached = np.cumsum(sizes[top], axis=1)
+        count = np.maximum(PROBES, 1 + (reached < REACH).sum(axis=1))
+        visit = [np.unique(np.concatenate([np.arange(first[c], first[c] + subs[c]) for c in row[:n]])).astype(np.int32) for row, n in zip(top, count)]
+        return (first[home] + spread).astype(np.int32), visit
+
+
+def fit_centres(unit: np.ndarray, cells: int, rounds: int = 10) -> np.ndarray:
+    """Unit centres of spherical k-means."""
+    rng = np.random.default_rng(len(unit))
+    centres = unit[np.sort(rng.choice(len(unit), min(cells, len(unit)), replace=False))].copy()
+    for _ in range(rounds):
+        of = np.concatenate([(unit[a : a + 4096] @ centres.T).argmax(axis=1) for a in range(0, len(unit), 4096)])
+        sums = np.zeros_like(centres)
+        np.add.at(sums, of, unit)
+        norm = np.linalg.norm(sums, axis=1, keepdims=True)
+        centres = np.where(norm > 0, sums / np.maximum(norm, 1e-30), centres).astype(np.float32)
+    return centres
+
+
+def routes_of(reps: DataFrame, shard_size: int = SHARD) -> Routes:
+    """The routes of the models of `model, rep, embedding` that need more than one shard.
+
+    The driver gets one row per such model and cell: at most CENTRE_FLOATS numbers, whatever the vectors.
+    """
+    routes = Routes()
+    big = reps.groupBy("model").agg(F.count(F.lit(1)).alias("n"), F.max(F.size("embedding")).alias("dim")).filter(F.col("n") > shard_size)
+    found = big.limit(MODELS + 1).collect()
+    if not found:
+        return routes
+    if len(found) > MODELS:
+        raise ValueError(f"more than {MODELS} models of more than {shard_size} vectors")
+    wish = {r["model"]: max(2, min(MOST_CELLS, r["n"] * CELLS // shard_size)) for r in found}
+    part = min(1.0, CENTRE_FLOATS / sum(wish[r["model"]] * r["dim"] for r in found))
+    plan = reps.sparkSession.createDataFrame([(r["model"], max(2, int(wish[r["model"]] * part)), max(1, r["n"] // SAMPLE)) for r in found], "s_model string, cells int, one_in long")
+    sample = reps.join(F.broadcast(plan), F.col("model") == F.col("s_model")).filter(F.pmod(F.xxhash64("rep", F.lit(17)), F.col("one_in")) == 0).select("model", "cells", "rep", "embedding")
+
+    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("rep")
+        centres = fit_centres(_unit(np.stack(pdf["embedding"].to_numpy())), int(pdf["cells"].iloc[0]))
+        return pd.DataFrame({"model": [pdf["model"].iloc[0]], "dim": [centres.shape[1]], "centres": [centres.tobytes()]})
+
+    for r in sample.groupBy("model").applyInPandas(fit, "model string, dim int, centres binary").collect():
+        centres = np.frombuffer(bytes(r["centres"]), np.float32).reshape(-1, r["dim"])
+        none = np.zeros(len(centres), np.int64)
+        routes.models[r["model"]] = (centres, np.arange(len(centres)), none + 1, none + REACH)
+    shared = reps.sparkSession.sparkContext.broadcast(routes)
+    cell_of = F.pandas_udf(lambda model, rep, embedding: _routed(shared.value, model, rep, embedding)["home"], "int")
+    within = reps.join(F.broadcast(plan.select("s_model")), F.col("model") == F.col("s_model"))
+    sizes = {m: np.zeros(len(r[0]), np.int64) for m, r in routes.models.items()}
+    for r in within.groupBy("model", cell_of("model", "rep", "embedding").alias("cell")).agg(F.count(F.lit(1)).alias("n")).collect():
+        sizes[r["model"]][r["cell"]] = r["n"]
+    routes.models = {m: (r[0], *_runs(r[0], sizes[m], shard_size), sizes[m]) for m, r in routes.models.items()}
+    shared.unpersist()
+    return routes
+
+
+def _runs(centres: np.ndarray, sizes: np.ndarray, shard_size: int) -> tuple[np.ndarray, np.ndarray]:
+    """(first shard, number of shards) of each cell: cells in a chain of nearest centres, cut into runs of equal weight."""
+    left, chain = np.ones(len(centres), bool), [int(sizes.argmax())]
+    left[chain[0]] = False
+    while left.any():
+        chain.append(int(np.where(left, centres @ centres[chain[-1]], -np.inf).argmax()))
+        left[chain[-1]] = False
+    even = sizes.sum() / -(-int(sizes.sum()) // shard_size)  # as full as the number of shards allows
+    first, subs, shard, fill = np.zeros(len(centres), np.int64), np.ones(len(centres), np.int64), 0, 0
+    for c in chain:
+        if fill and fill + sizes[c] > 1.1 * even:
+            shard, fill = shard + 1, 0
+        first[c], subs[c] = shard, max(1, -(-int(sizes[c]) // shard_size))
+        fill += sizes[c]
+        if subs[c] > 1:
+            shard, fill = shard + int(subs[c]), 0
+    # Shards are numbered without gaps.
+    used = np.unique(np.concatenate([np.arange(f, f + n) for f, n in zip(first, subs)]))
+    return np.searchsorted(used, first), subs
+
+
+def _routed(routes: Routes, model: pd.Series, rep: pd.Series, embedding: pd.Series) -> pd.DataFrame:
+    home, visit = np.zeros(len(model), np.int32), np.empty(len(model), object)
+    for m in model.unique():
+        at = np.flatnonzero(model.to_numpy() == m)
+        h, v = routes.place(m, _unit(np.stack(embedding.iloc[at].to_numpy())), rep.iloc[at].to_numpy(np.int64))
+        home[at] = h
+        for i, x in zip(at, v):
+            visit[i] = x
+    return pd.DataFrame({"home": home, "visit": visit})
+
+
+def shard_graphs(placed: DataFrame, degree: int = DEGREE, beam: int = BUILD_BEAM, alpha: float = ALPHA) -> DataFrame:
+    """`model, shard, vectors binary, graph binary`, written to the shared folder once.
+
+    placed has `model, shard, rep, vec_id, embedding`; the graph is over the reps, their other vectors lie beside it.
     """
-    counts = firsts.filter("vec_id = rep").groupBy("model").agg(F.ceil(F.count(F.lit(1)) / shard_size).cast("int").alias("shards"))
-    few = counts.limit(MODELS + 1).count() <= MODELS  # one row per model; more than that are joined by a shuffle
-    placed = firsts.join(F.broadcast(counts) if few else counts, "model").withColumn("shard", F.pmod(F.xxhash64("rep"), F.col("shards")).cast("int"))
 
     def build(pdf: pd.DataFrame) -> pd.DataFrame:
-        parts = []
         pdf = pdf.sort_values("vec_id")
         more, pdf = pdf[pdf["vec_id"] != pdf["rep"]], pdf[pdf["vec_id"] == pdf["rep"]]
         pdf = pdf.iloc[np.random.default_rng(len(pdf)).permutation(len(pdf))]
@@ -263,59 +380,59 @@ def shard_graphs(firsts: DataFrame, shard_size: int = SHARD, degree: int = DEGRE
         graph, entries = build_graph(_unit(raw), degree, beam, alpha)
         more_of = pd.Series(np.arange(len(ids)), ids)[more["rep"]].to_numpy(np.int32)
         more_raw = np.stack(more["embedding"].to_numpy()).astype(np.float32) if len(more) else raw[:0]
-        parts.append((pdf["model"].iloc[0], int(pdf["shard"].iloc[0]), int(pdf["shards"].iloc[0]), _pack(ids=ids, raw=raw, more_ids=more["vec_id"].to_numpy(np.int64), more_raw=more_raw, more_of=more_of), _pack(graph=graph, entries=entries)))
-        return pd.DataFrame(parts, columns=["model", "shard", "shards", "vectors", "graph"])
+        row = (pdf["model"].iloc[0], int(pdf["shard"].iloc[0]), _pack(ids=ids, raw=raw, more_ids=more["vec_id"].to_numpy(np.int64), more_raw=more_raw, more_of=more_of), _pack(graph=graph, entries=entries))
+        return pd.DataFrame([row], columns=["model", "shard", "vectors", "graph"])
 
-    return cut(placed.groupBy("model", "shard").applyInPandas(build, "model string, shard int, shards int, vectors binary, graph binary"))
+    return cut(placed.groupBy("model", "shard").applyInPandas(build, "model string, shard int, vectors binary, graph binary"))
 
 
-def search_shards(shards: DataFrame, k: int, min_cosine: float = -2.0, beam: int = BEAM, every: int = 1) -> DataFrame:
-    """`query, found, cosine`: of each shard the best k for each indexed vector, without itself.
+def search_shards(shards: DataFrame, queries: DataFrame, k: int, min_cosine: float = -2.0, beam: int = BEAM, shard_size: int = SHARD) -> DataFrame:
+    """`query, found, cosine`: of each shard that a query (`model, visit, rep, vec_id, embedding`) visits its best k, without itself.
 
-    Pairs below min_cosine are left out after the k were chosen. every > 1 asks only for ids divisible by it.
+    Pairs below min_cosine are left out after the k were chosen. The queries of a shard meet it in blocks of about BLOCK bytes.
     """
+    none = pd.DataFrame({"query": pd.Series(dtype="int64"), "found": pd.Series(dtype="int64"), "cosine": pd.Series(dtype="float64")})
 
     def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        cols = ["query", "found", "cosine"]
         if not len(left) or not len(right):
-            return pd.DataFrame({"query": pd.Series(dtype="int64"), "found": pd.Series(dtype="int64"), "cosine": pd.Series(dtype="float64")})
-        q, x, g = (np.load(io.BytesIO(v)) for v in (left["asked"].iloc[0], right["vectors"].iloc[0], right["graph"].iloc[0]))
-        same = int(left["a"].iloc[0]) == int(left["b"].iloc[0])
+            return none
+        x, g = (np.load(io.BytesIO(v)) for v in (right["vectors"].iloc[0], right["graph"].iloc[0]))
         graph, entries, ids = g["graph"], g["entries"], x["ids"]
         unit, exact = _unit(x["raw"]), _unit(x["raw"], np.float64)
-        q_ids, q_raw, q_of = np.r_[q["ids"], q["more_ids"]], np.concatenate([q["raw"], q["more_raw"]]), np.r_[np.arange(len(q["ids"])), q["more_of"]]
-        asked = np.flatnonzero(q_ids % every == 0)
-        qid, qraw, asked = q_ids[asked], q_raw[asked], q_of[asked]
+        qid, rep, qraw = left["vec_id"].to_numpy(np.int64), left["rep"].to_numpy(np.int64), np.stack(left["embedding"].to_numpy()).astype(np.float32)
+        order = np.argsort(ids)
+        at = np.minimum(np.searchsorted(ids[order], rep), len(ids) - 1)
+        known = np.where(ids[order][at] == rep, order[at], -1).astype(np.int32)  # where the query itself lies, if here
         more, more_ids = _unit(x["more_raw"], np.float64) if len(x["more_ids"]) else exact[:0], x["more_ids"]
         by = np.argsort(x["more_of"], kind="stable")
         begin, count = np.searchsorted(x["more_of"][by], np.arange(len(ids))), np.bincount(x["more_of"], minlength=len(ids))
         out = []
-        for at in range(0, len(qid), 1024):
-            mine, raw = qid[at : at + 1024], qraw[at : at + 1024]
-            starts = asked[at : at + 1024].astype(np.int32) if same else None
-            near, _ = beam_search(unit, graph, entries, _unit(raw), beam, starts)
+        for a in range(0, len(qid), 1024):
+            mine, raw = qid[a : a + 1024], qraw[a : a + 1024]
+            near, _ = beam_search(unit, graph, entries, _unit(raw), beam, known[a : a + 1024])
             near = near[:, : max(4 * k, 24)]
-            cos = np.matmul(exact[near], _unit(raw, np.float64)[:, :, None])[:, :, 0].clip(-1, 1)
+            unit_q = _unit(raw, np.float64)
+            cos = np.matmul(exact[near], unit_q[:, :, None])[:, :, 0].clip(-1, 1)
             r, c = np.nonzero(near >= 0)
             found, cos = ids[near[r, c]], cos[r, c]
             n = count[near[r, c]]
             if n.any():  # the other vectors of the found classes
                 m_r, m = np.repeat(r, n), by[np.repeat(begin[near[r, c]] - np.r_[0, np.cumsum(n)[:-1]], n) + np.arange(n.sum())]
-                unit_q = _unit(raw, np.float64)
-                m_cos = [np.einsum("ij,ij->i", more[m[a : a + 16384]], unit_q[m_r[a : a + 16384]]).clip(-1, 1) for a in range(0, len(m), 16384)]
+                m_cos = [np.einsum("ij,ij->i", more[m[i : i + 16384]], unit_q[m_r[i : i + 16384]]).clip(-1, 1) for i in range(0, len(m), 16384)]
                 r, found, cos = np.r_[r, m_r], np.r_[found, more_ids[m]], np.concatenate([cos, *m_cos])
             keep = (found != mine[r]) & (cos >= max(min_cosine, -1.5))
             r, found, cos = r[keep], found[keep], cos[keep]
-            order = np.lexsort((found, -np.round(cos, 9), r))
-            r, found, cos = r[order], found[order], cos[order]
+            order_ = np.lexsort((found, -np.round(cos, 9), r))
+            r, found, cos = r[order_], found[order_], cos[order_]
             best = np.arange(len(r)) - np.searchsorted(r, r) < k
             out.append(pd.DataFrame({"query": mine[r[best]], "found": found[best], "cosine": cos[best]}))
-        return pd.concat(out) if out else pd.DataFrame({"query": pd.Series(dtype="int64"), "found": pd.Series(dtype="int64"), "cosine": pd.Series(dtype="float64")})
+        return pd.concat(out)
 
-    every_shard = F.explode(F.sequence(F.lit(0), F.col("shards") - 1))
-    queries = shards.select(F.col("model").alias("q_model"), F.col("shard").alias("a"), every_shard.alias("b"), F.col("vectors").alias("asked"))
-    indexes = shards.select("model", every_shard.alias("a"), F.col("shard").alias("b"), "vectors", "graph")
-    return queries.groupBy("q_model", "a", "b").cogroup(indexes.groupBy("model", "a", "b")).applyInPandas(run, "query long, found long, cosine double")
+    blocks = F.greatest(F.lit(1), F.ceil(F.size("embedding") * 4 * shard_size * 4 / BLOCK)).cast("int")
+    asked = queries.select(F.col("model").alias("q_model"), F.explode("visit").alias("b"), F.pmod(F.xxhash64("vec_id"), blocks).cast("int").alias("block"), "vec_id", "rep", "embedding")
+    some = queries.groupBy(F.col("model").alias("b_model")).agg(F.max(blocks).alias("blocks"))  # one row per model
+    indexes = shards.join(some, F.col("model") == F.col("b_model")).select("model", F.col("shard").alias("b"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), "vectors", "graph")
+    return asked.groupBy("q_model", "b", "block").cogroup(indexes.groupBy("model", "b", "block")).applyInPandas(run, "query long, found long, cosine double")
 
 
 def most_similar(vectors: DataFrame, k: int = 5, min_cosine: float = -2.0, every: int = 1, shard_size: int = SHARD, beam: int = BEAM) -> DataFrame:
@@ -328,7 +445,23 @@ def most_similar(vectors: DataFrame, k: int = 5, min_cosine: float = -2.0, every
     in_class = Window.partitionBy("class").orderBy("vec_id")
     ranked = starts.select("model", "vec_id", "embedding", "cell").join(classes, "cell").withColumn("n", F.row_number().over(in_class)).filter(f"n <= {k + 1}")
     firsts = cut(ranked.withColumn("rep", F.min("vec_id").over(Window.partitionBy("class"))).select("model", "class", "rep", "n", "vec_id", "embedding"))
-    hits = search_shards(shard_graphs(firsts.select("model", "rep", "vec_id", "embedding"), shard_size, beam=beam), k + 1, min_cosine, beam)
+    # Every first vector has a home, its class's, and the shards that its search goes to.
+    routes = routes_of(firsts.filter("vec_id = rep").select("model", "rep", "embedding"), shard_size)
+    if routes.models:
+        shared = vectors.sparkSession.sparkContext.broadcast(routes)
+        route = F.pandas_udf(lambda model, rep, embedding: _routed(shared.value, model, rep, embedding), "home int, visit array<int>")
+        routed = cut(firsts.withColumn("r", route("model", "rep", "embedding")).select(*firsts.columns, F.col("r.home").alias("home"), F.col("r.visit").alias("visit")))
+        homes = routed.filter("vec_id = rep").select(F.col("rep").alias("h_rep"), F.col("home").alias("shard"))
+        own = routed.filter("vec_id = rep").withColumn("shard", F.col("home"))
+        placed = own.unionByName(routed.filter("vec_id <> rep").join(homes, F.col("rep") == F.col("h_rep")).drop("h_rep"))
+    else:
+        routed = firsts.withColumn("visit", F.array(F.lit(0)))
+        placed = firsts.withColumn("shard", F.lit(0))
+    shards = shard_graphs(placed.select("model", "shard", "rep", "vec_id", "embedding"))
+    full = firsts.filter(f"n = {k + 1}").select("class", "rep")
+    # Asked are the wanted vectors, and the first of each class that is larger than what is listed of it.
+    asking = routed if every == 1 else routed.join(full.select(F.col("rep").alias("f_rep")), F.col("vec_id") == F.col("f_rep"), "left").filter((F.col("vec_id") % every == 0) | F.col("f_rep").isNotNull()).drop("f_rep")
+    hits = search_shards(shards, asking.select("model", "visit", "rep", "vec_id", "embedding"), k + 1, min_cosine, beam, shard_size)
     # Candidates of a first vector: those found in each shard and the first ids of its class.
     members = firsts.select("class", F.col("vec_id").alias("member"))
     own = firsts.select("class", F.col("vec_id").alias("query")).join(members, "class").filter("query <> member").select("query", "member", F.lit(1.0).alias("cosine"))
@@ -337,7 +470,6 @@ def most_similar(vectors: DataFrame, k: int = 5, min_cosine: float = -2.0, every
     best = cut(near.withColumn("n", F.row_number().over(pick)).filter(f"n <= {k}"))
     mine = best.filter(F.col("query") % every == 0).select(F.col("query").alias("vec_id"), F.col("n").alias("rank"), F.col("member").alias("other"), "cosine")
     # The others are in classes of more than k + 1: theirs are the class's first ids, or those found for the first vector with cosine 1, too.
-    full = firsts.filter(f"n = {k + 1}").select("class", "rep")
     ones = members.join(full, "class").select("class", "member").unionByName(full.join(best.filter("cosine = 1"), F.col("query") == F.col("rep")).select("class", "member")).distinct()
     lists = ones.groupBy("class").agg(F.slice(F.array_sort(F.collect_list("member")), 1, k).alias("near"))
     known = members.join(full, "class").groupBy("class").agg(F.collect_list("member").alias("firsts"))
