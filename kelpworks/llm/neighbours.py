@@ -37,13 +37,14 @@ BUILD_BEAM = 40
 ALPHA = 1.2
 ENTRIES = 48
 #: Cells of a full shard, those that a vector's search goes to, and vectors that it goes on to reach.
-CELLS, PROBES, REACH = 64, 12, 512
+CELLS, PROBES, REACH = 64, 6, 512
 #: Vectors of a model that its centres are fitted on, and the most centres of a model.
 SAMPLE, MOST_CELLS = 32_768, 4_096
 #: Models of several shards whose centres are broadcast, and the numbers in all those centres together; beyond that, shards are larger runs of fewer cells.
 MODELS, CENTRE_FLOATS = 100_000, 1 << 24
 #: Bytes of vectors that meet an index in one task.
 BLOCK = 1 << 27
+MOST_PARTS = 20_000
 #: Unit vectors in one cell differ by up to CELL, those of two linked cells by NOISE in each of MARKS projections: float
 #: rounding of a rescaled vector moves it by 1.2e-7 at most, and at 3e-5 the cosine is still 1 to 9 places.
 CELL, NOISE, MARKS, BIN = 4e-6, 2.5e-7, 6, 1e-4
@@ -366,10 +367,11 @@ def _routed(routes: Routes, model: pd.Series, rep: pd.Series, embedding: pd.Seri
     return pd.DataFrame({"home": home, "visit": visit})
 
 
-def shard_graphs(placed: DataFrame, degree: int = DEGREE, beam: int = BUILD_BEAM, alpha: float = ALPHA) -> DataFrame:
+def shard_graphs(placed: DataFrame, parts: int, degree: int = DEGREE, beam: int = BUILD_BEAM, alpha: float = ALPHA) -> DataFrame:
     """`model, shard, vectors binary, graph binary`, written to the shared folder once.
 
     placed has `model, shard, rep, vec_id, embedding`; the graph is over the reps, their other vectors lie beside it.
+    parts is a number of tasks in which few shards meet: a shard is much work and few bytes.
     """
 
     def build(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -383,10 +385,10 @@ def shard_graphs(placed: DataFrame, degree: int = DEGREE, beam: int = BUILD_BEAM
         row = (pdf["model"].iloc[0], int(pdf["shard"].iloc[0]), _pack(ids=ids, raw=raw, more_ids=more["vec_id"].to_numpy(np.int64), more_raw=more_raw, more_of=more_of), _pack(graph=graph, entries=entries))
         return pd.DataFrame([row], columns=["model", "shard", "vectors", "graph"])
 
-    return cut(placed.groupBy("model", "shard").applyInPandas(build, "model string, shard int, vectors binary, graph binary"))
+    return cut(placed.repartition(parts, "model", "shard").groupBy("model", "shard").applyInPandas(build, "model string, shard int, vectors binary, graph binary"))
 
 
-def search_shards(shards: DataFrame, queries: DataFrame, k: int, min_cosine: float = -2.0, beam: int = BEAM, shard_size: int = SHARD) -> DataFrame:
+def search_shards(shards: DataFrame, queries: DataFrame, parts: int, k: int, min_cosine: float = -2.0, beam: int = BEAM, shard_size: int = SHARD) -> DataFrame:
     """`query, found, cosine`: of each shard that a query (`model, visit, rep, vec_id, embedding`) visits its best k, without itself.
 
     Pairs below min_cosine are left out after the k were chosen. The queries of a shard meet it in blocks of about BLOCK bytes.
@@ -432,7 +434,9 @@ def search_shards(shards: DataFrame, queries: DataFrame, k: int, min_cosine: flo
     asked = queries.select(F.col("model").alias("q_model"), F.explode("visit").alias("b"), F.pmod(F.xxhash64("vec_id"), blocks).cast("int").alias("block"), "vec_id", "rep", "embedding")
     some = queries.groupBy(F.col("model").alias("b_model")).agg(F.max(blocks).alias("blocks"))  # one row per model
     indexes = shards.join(some, F.col("model") == F.col("b_model")).select("model", F.col("shard").alias("b"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), "vectors", "graph")
-    return asked.groupBy("q_model", "b", "block").cogroup(indexes.groupBy("model", "b", "block")).applyInPandas(run, "query long, found long, cosine double")
+    left = asked.repartition(parts, "q_model", "b", "block").groupBy("q_model", "b", "block")
+    right = indexes.repartition(parts, "model", "b", "block").groupBy("model", "b", "block")
+    return left.cogroup(right).applyInPandas(run, "query long, found long, cosine double")
 
 
 def most_similar(vectors: DataFrame, k: int = 5, min_cosine: float = -2.0, every: int = 1, shard_size: int = SHARD, beam: int = BEAM) -> DataFrame:
@@ -457,11 +461,12 @@ def most_similar(vectors: DataFrame, k: int = 5, min_cosine: float = -2.0, every
     else:
         routed = firsts.withColumn("visit", F.array(F.lit(0)))
         placed = firsts.withColumn("shard", F.lit(0))
-    shards = shard_graphs(placed.select("model", "shard", "rep", "vec_id", "embedding"))
+    parts = min(MOST_PARTS, 4 * (firsts.select("model").distinct().count() + sum(map(routes.shards, routes.models))))
+    shards = shard_graphs(placed.select("model", "shard", "rep", "vec_id", "embedding"), max(1, parts))
     full = firsts.filter(f"n = {k + 1}").select("class", "rep")
     # Asked are the wanted vectors, and the first of each class that is larger than what is listed of it.
     asking = routed if every == 1 else routed.join(full.select(F.col("rep").alias("f_rep")), F.col("vec_id") == F.col("f_rep"), "left").filter((F.col("vec_id") % every == 0) | F.col("f_rep").isNotNull()).drop("f_rep")
-    hits = search_shards(shards, asking.select("model", "visit", "rep", "vec_id", "embedding"), k + 1, min_cosine, beam, shard_size)
+    hits = search_shards(shards, asking.select("model", "visit", "rep", "vec_id", "embedding"), max(1, parts), k + 1, min_cosine, beam, shard_size)
     # Candidates of a first vector: those found in each shard and the first ids of its class.
     members = firsts.select("class", F.col("vec_id").alias("member"))
     own = firsts.select("class", F.col("vec_id").alias("query")).join(members, "class").filter("query <> member").select("query", "member", F.lit(1.0).alias("cosine"))
