@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import FractionalType
 
 from ..session import cut
+from .skew import salted_join
 
 
 def group_ranks(df: DataFrame, group: list[str], order: list[Column], ties: bool = False, rank: str = "rank", size: str = "group_size") -> DataFrame:
@@ -30,6 +32,31 @@ def group_ranks(df: DataFrame, group: list[str], order: list[Column], ties: bool
     return local_rank.join(upto, on, "inner").select(*keep, (F.col("_local") + F.col("_before")).alias(rank), upto[size])
 
 
+def tied_ranks(df: DataFrame, group: list[str], value: str, rank: str = "rank", size: str = "group_size") -> DataFrame:
+    """Adds the rank of each row by `value`, ascending with nulls first, where equal values all get the last place among them, and the group's `size`.
+
+    Values are counted first, so one that a third of all rows hold is one row of the ordering; the rows get their ranks
+    by a join that spreads such a value.
+    """
+    kind = df.schema[value].dataType
+    plain = F.when(F.col(value) == 0, F.lit(0).cast(kind)).otherwise(F.col(value)) if isinstance(kind, FractionalType) else F.col(value)  # -0.0 equals 0.0
+    counts = df.groupBy(*group, plain.alias("_v")).agg(F.count(F.lit(1)).alias("_n"))
+    order = F.col("_v").asc_nulls_first()
+    ordered = cut(counts.repartitionByRange(*group, order).withColumn("_p", F.spark_partition_id()))
+    per = ordered.groupBy("_p", *group).agg(F.sum("_n").alias("_in"))
+    upto = per.withColumn("_before", F.sum("_in").over(Window.partitionBy(*group).orderBy("_p")) - F.col("_in")).withColumn(size, F.sum("_in").over(Window.partitionBy(*group)))
+    here = Window.partitionBy("_p", *group).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    local = ordered.withColumn("_local", F.sum("_n").over(here))
+    on = local["_p"] == upto["_p"]
+    for g in group:
+        on = on & local[g].eqNullSafe(upto[g])
+    # A null is told from every value by a flag, so keys compare by plain equality.
+    key = lambda v: F.to_json(F.struct(*(x for i, c in enumerate([*map(F.col, group), v]) for x in (c.isNull().alias(f"null{i}"), c.alias(f"key{i}")))))
+    ranked = local.join(upto, on, "inner").select(*(local[c] for c in (*group, "_v")), (F.col("_local") + F.col("_before")).alias(rank), upto[size])
+    ranked = ranked.select(key(F.col("_v")).alias("_of"), rank, size)
+    return salted_join(df.withColumn("_key", key(plain)).withColumn("_row", F.xxhash64(*df.columns)), ranked, "_key", "_of", spread_by="_row", how="inner").select(*df.columns, rank, size)
+
+
 def running_max(df: DataFrame, group: list[str], order: list[Column], value: str, out: str = "running") -> DataFrame:
     """Adds the greatest `value` of the group's rows up to each row in `order`, itself included (equal rows may count or not).
 

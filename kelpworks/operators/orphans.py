@@ -1,7 +1,7 @@
 """References to records that do not exist.
 
-A word-blocked Bloom filter of the parent keys, a table of (word, bits) whose number of rows is fixed
-by a parameter, is broadcast to the references. What it denies is proven missing and needs no further
+A word-blocked Bloom filter of the parent keys is broadcast to the references, packed in rows of 1,024 words of 64 bits. It
+grows with the parents up to a bound. What it denies is proven missing and needs no further
 work; only filter-positive references go through the exact join with the parents' lives.
 
 Skew: keys that hold more than one in `hot_share` of the references are fewer than `hot_share` by
@@ -24,11 +24,11 @@ from ..functions.ranks import running_max
 from ..functions.skew import salted_join
 
 
-def _word(key: Column, words: int) -> Column:
+def word_of(key: Column, words: int) -> Column:
     return F.pmod(F.xxhash64(key), F.lit(words)).cast("int")
 
 
-def _mask(key: Column, bits: int = 4) -> Column:
+def mask_of(key: Column, bits: int = 4) -> Column:
     """A long with up to `bits` of its 64 bits set, taken from a second hash."""
     h = F.xxhash64(F.lit(7919), key)
     mask = F.lit(0).cast("long")
@@ -41,7 +41,15 @@ def _mask(key: Column, bits: int = 4) -> Column:
 def bloom_table(keys: DataFrame, column: str, words: int) -> DataFrame:
     """`word int, bits long`: at most `words` rows whatever the number of keys."""
     k = F.col(column)
-    return keys.filter(k.isNotNull()).select(_word(k, words).alias("word"), _mask(k).alias("m")).groupBy("word").agg(F.bit_or("m").alias("bits"))
+    return keys.filter(k.isNotNull()).select(word_of(k, words).alias("word"), mask_of(k).alias("m")).groupBy("word").agg(F.bit_or("m").alias("bits"))
+
+
+def bloom_blocks(keys: DataFrame, column: str, words: int) -> DataFrame:
+    """`block long, bits array<long>` of 1,024 words each, packed for a broadcast: 8 bytes a word."""
+    none = keys.sparkSession.range(words).select(F.col("id").cast("int").alias("word"), F.lit(0).cast("long").alias("bits"))
+    whole = bloom_table(keys, column, words).unionByName(none).groupBy("word").agg(F.bit_or("bits").alias("bits"))
+    placed = whole.groupBy(F.expr("word div 1024").alias("block")).agg(F.array_sort(F.collect_list(F.struct("word", "bits"))).alias("w"))
+    return placed.select("block", F.transform("w", lambda x: x["bits"]).alias("bits"))
 
 
 def references(edges: DataFrame, key: str = "edge_id", sides: tuple[tuple[str, str], ...] = (("from", "from_id"), ("to", "to_id")), at: str = "observed_at") -> DataFrame:
@@ -50,21 +58,22 @@ def references(edges: DataFrame, key: str = "edge_id", sides: tuple[tuple[str, s
     return edges.select(F.col(key).alias("edge_id"), F.col(at).alias("at"), pairs.alias("r")).select("edge_id", "at", "r.side", "r.id").filter("edge_id IS NOT NULL AND id IS NOT NULL AND id <> ''")
 
 
-def orphan_references(edges: DataFrame, symbols: DataFrame, external: DataFrame, words: int | None = None, max_words: int = 1 << 21, hot_share: int = 200, salt: int = 16, most_lives: int = 64) -> DataFrame:
+def orphan_references(edges: DataFrame, symbols: DataFrame, external: DataFrame, words: int | None = None, max_words: int = 1 << 24, hot_share: int = 200, salt: int = 16, most_lives: int = 64) -> DataFrame:
     """`edge_id, side, reason, day`: the references that name nothing existing at observed_at.
 
     words sizes the broadcast filter; left out, it follows the number of parent rows (6 a word, about 1 %
-    false positives) up to max_words, 24 MB of rows. Beyond that bound more references are filter-positive
-    and go through the exact join; the result is the same.
+    false positives) up to max_words, which are 128 MB and serve 100 million parents. Beyond that bound more references are
+    filter-positive and go through the exact join; the result is the same.
     """
     refs = references(edges)
     lives = symbols.select(F.col("symbol_id").alias("p_id"), "seen_at", "deleted_at").filter("p_id IS NOT NULL AND p_id <> ''")
     fixed = external.select(F.col("symbol_id").alias("p_id")).filter("p_id IS NOT NULL")
     if words is None:
         words = min(max_words, max(64, -(-(symbols.count() + external.count()) // 6)))
-    bloom = F.broadcast(bloom_table(lives.select("p_id").unionByName(fixed), "p_id", words))
-    hit = F.coalesce(F.col("bits").bitwiseAND(_mask(F.col("id"))) == _mask(F.col("id")), F.lit(False))
-    probe = refs.withColumn("word", _word(F.col("id"), words)).join(bloom, "word", "left").withColumn("maybe", hit)
+    bloom = F.broadcast(bloom_blocks(lives.select("p_id").unionByName(fixed), "p_id", words))
+    bits = F.get("bits", F.col("word") % 1024)
+    hit = F.coalesce(bits.bitwiseAND(mask_of(F.col("id"))) == mask_of(F.col("id")), F.lit(False))
+    probe = refs.withColumn("word", word_of(F.col("id"), words)).withColumn("block", F.expr("word div 1024")).join(bloom, "block", "left").withColumn("maybe", hit)
     denied = probe.filter(~F.col("maybe")).select("edge_id", "side", F.lit("missing").alias("reason"), "at")
 
     # A parent is one row: its lives in an array if they are few, else only when the first of them ended.
@@ -80,7 +89,9 @@ def orphan_references(edges: DataFrame, symbols: DataFrame, external: DataFrame,
     )
     parents = every.groupBy("p_id").agg(F.flatten(F.collect_set("l")).alias("lives"), F.min("deleted_at").alias("ended_at"), F.max("ext").alias("always"), F.max("later").alias("later"))
     asked = probe.filter("maybe").select("edge_id", "side", "at", "id")
-    found = salted_join(asked, parents, "id", "p_id", spread_by="edge_id", counted=refs, hot_share=hot_share, salt=salt)
+    # Hot keys are looked for among one in 16 of these references; which are taken for hot changes no result.
+    some = asked.filter(F.pmod(F.xxhash64("edge_id", "side"), F.lit(16)) == 0)
+    found = salted_join(asked, parents, "id", "p_id", spread_by="edge_id", counted=some, hot_share=hot_share, salt=salt)
 
     covers = F.exists("lives", lambda x: (x["seen_at"] <= F.col("at")) & (x["deleted_at"].isNull() | (x["deleted_at"] > F.col("at"))))
     reason = F.when(F.col("p_id").isNull(), "missing").when(F.coalesce(F.col("ended_at") <= F.col("at"), F.lit(False)), "deleted").otherwise("late")
@@ -99,8 +110,8 @@ def _many_lives(refs: DataFrame, lives: DataFrame, many: DataFrame, words: int)
     references out before anything is shuffled.
     """
     bloom = F.broadcast(bloom_table(many, "p_id", words))
-    close = F.col("bits").bitwiseAND(_mask(F.col("id"))) == _mask(F.col("id"))
-    near = refs.withColumn("word", _word(F.col("id"), words)).join(bloom, "word").filter(close).select("edge_id", "side", "at", "id")
+    close = F.col("bits").bitwiseAND(mask_of(F.col("id"))) == mask_of(F.col("id"))
+    near = refs.withColumn("word", word_of(F.col("id"), words)).join(bloom, "word").filter(close).select("edge_id", "side", "at", "id")
     # An inner join (ids are unique): a semi-join would be pushed below the filter and shuffle all references.
     near = near.join(many.select(F.col("p_id").alias("id")), "id").dropDuplicates(["edge_id", "side", "at"])
     time = lives.schema["seen_at"].dataType

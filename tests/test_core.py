@@ -90,6 +90,18 @@ def test_ledger_survives_failed_runs(spark, tmp_path):
     assert ledger.entries().count() == 2
 
 
+def test_tied_ranks(spark):
+    """One value with a third of the rows, nulls, both zeros and clashing names: the ranks of group_ranks with ties."""
+    from kelpworks.functions.ranks import group_ranks, tied_ranks
+
+    rng = random.Random(8)
+    rows = [(rng.choice(["a", "b", None]), rng.choice([None, 0.0, -0.0, 1.5, 1.5, 1.5, rng.random()]), i) for i in range(300)]
+    df = values(spark, rows, "g string, v double, rows int")
+    want = group_ranks(df.withColumn("v", F.col("v") + 0.0), ["g"], [F.col("v").asc_nulls_first()], ties=True)
+    take = lambda d: sorted((r["rows"], r["rank"], r["group_size"]) for r in d.collect())
+    assert take(tied_ranks(df, ["g"], "v")) == take(want) and tied_ranks(df.limit(0), ["g"], "v").count() == 0
+
+
 # --- orphans ------------------------------------------------------------------------------------
 
 
