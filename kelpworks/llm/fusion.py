@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.ranks import group_ranks
+from ..functions.ranks import group_ranks, tied_ranks
 
 SOURCES = ("bm25", "vector", "hybrid")
 
@@ -27,7 +27,7 @@ def shortfalls(hits: DataFrame, configs: DataFrame) -> DataFrame:
     score = F.col("score").cast("double")
     scored = hits.select("query_id", "chunk_id", "source", F.when(F.isnan(score), None).otherwise(score).alias("score")).filter(F.col("query_id").isNotNull() & F.col("chunk_id").isNotNull() & F.col("source").isin(*SOURCES))
     best = scored.groupBy("query_id", "source", "chunk_id").agg(F.max("score").alias("score"))
-    ranked = group_ranks(best, ["query_id", "source"], [F.col("score").asc_nulls_first()], ties=True)
+    ranked = tied_ranks(best, ["query_id", "source"], "score")
     share = F.when(F.col("score").isNull(), 0.0).otherwise(F.col("rank") / F.col("group_size"))
     shares = ranked.groupBy("query_id", "chunk_id").agg(*(F.coalesce(F.max(F.when(F.col("source") == s, share)), F.lit(0.0)).alias(s) for s in SOURCES))
     # Per query one row: which lists it has, and its weight.

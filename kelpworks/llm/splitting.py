@@ -1,9 +1,10 @@
 """Splitting oversized items at natural boundaries, by lexical cohesion.
 
 Every gap between words is a possible cut. Two blocks of words, one on either side, slide along the
-text; where their similarity has a valley, the topic changes. Within the window that the size limit
-leaves, the deepest valley is taken among the gaps of the strongest kind that the window's later half
-has: blank line, line end, sentence end, blank. Only a stretch without any blank, tab, CR or LF that is longer than the limit is
+text; where their similarity has a valley, the topic changes. Of the window that the size limit leaves (from a quarter of the
+limit on, so that pieces do not become crumbs) the deepest valley is cut. A valley's depth is weighed by the
+kind of its gap (blank 1, sentence end 1.5, line end 2, blank line 2.5); equally deep ones, as in text without words, go by the kind and then
+the later. Only a stretch without any blank, tab, CR or LF that is longer than the limit is
 cut by force, at a character boundary.
 
 Each piece after the first starts with the end of the piece before it: at most `overlap` bytes, from a
@@ -24,6 +25,11 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.skew import salted_join
+from ..operators.orphans import bloom_table, mask_of, word_of
+
+#: Rows of the filter of files with oversized nodes.
+WORDS = 1 << 18
 PIECES = "item_kind string, item_id long, piece int, byte_start long, byte_end long, overlap int, forced boolean, text string"
 _GAP = re.compile(rb"[ \t\r\n]+")
 _WORD = re.compile(rb"[0-9A-Za-z_\x80-\xff]+")
@@ -92,7 +98,8 @@ def valley_depths(data: bytes, gaps: list[tuple[int, int, int]], block: int = 24
 def split_bytes(data: bytes, limit: int = 2000, overlap: int = 200, block: int = 24) -> list[tuple[int, int, int, bool]]:
     """(start, end, overlap, forced) of each piece; forced if its end is no natural boundary."""
     gaps = _classes(data)
-    depths = valley_depths(data, gaps, block)
+    kinds = np.asarray([g[2] for g in gaps], np.int64)
+    weighed = valley_depths(data, gaps, block) * (1 + 0.5 * kinds)
     starts = np.asarray([g[0] for g in gaps], np.int64)
     ends = np.asarray([g[1] for g in gaps], np.int64)
     out, done = [], 0  # done: where the piece before ended
@@ -115,10 +122,10 @@ def split_bytes(data: bytes, limit: int = 2000, overlap: int = 200, block: int =
             break
         # Gaps that begin after `done` and by `stop`: the cut is at the gap's end, or where the window ends within it.
         lo, hi = nxt, int(np.searchsorted(starts, stop, "right"))
-        late = int(np.searchsorted(starts, done + (stop - done) // 2, "right"))
-        a = late if late < hi else lo
+        late = int(np.searchsorted(starts, begin + limit // 4, "left"))
+        a = max(lo, late) if late < hi else lo
         if a < hi:
-            best = max(range(a, hi), key=lambda i: (gaps[i][2], depths[i], i))
+            best = a + int(np.lexsort((np.arange(a, hi), kinds[a:hi], np.round(weighed[a:hi], 9)))[-1])
             end = min(int(ends[best]), stop)
             forced = False
         elif in_gap:
@@ -150,10 +157,15 @@ def oversized(hits: DataFrame, nodes: DataFrame, files: DataFrame, limit: int =
     """
     text = hits.select(F.col("hit_id").alias("item_id"), F.col("chunk_text").alias("t")).filter((F.octet_length("t") > limit) & F.col("item_id").isNotNull()).dropDuplicates(["item_id"])
     one = text.select(F.lit("hit").alias("item_kind"), "item_id", F.encode("t", "utf-8").alias("data"))
-    ranges = nodes.select(F.col("id").alias("item_id"), F.col("file_id").alias("nf"), "byte_start", "byte_end").filter(f"item_id IS NOT NULL AND byte_start >= 0 AND byte_end - byte_start > {limit}").dropDuplicates(["item_id"])
-    bodies = files.select("file_id", "content").filter(F.octet_length("content") > limit).dropDuplicates(["file_id"]).select("file_id", F.encode("content", "utf-8").alias("body"))
+    ranges = nodes.select(F.col("id").alias("item_id"), F.col("file_id").alias("nf"), "byte_start", "byte_end").filter(f"item_id IS NOT NULL AND nf IS NOT NULL AND byte_start >= 0 AND byte_end - byte_start > {limit}").dropDuplicates(["item_id"])
+    # Texts of files without such a node are kept out of the shuffle by a filter of bounded size; a full filter only keeps more in.
+    wanted = F.broadcast(bloom_table(ranges, "nf", WORDS))
+    hit = F.col("bits").bitwiseAND(mask_of(F.col("file_id"))) == mask_of(F.col("file_id"))
+    long_ = files.select("file_id", "content").filter(F.octet_length("content") > limit).withColumn("word", word_of(F.col("file_id"), WORDS))
+    bodies = long_.join(wanted, "word").filter(hit).select("file_id", "content").dropDuplicates(["file_id"]).select("file_id", F.encode("content", "utf-8").alias("body"))
     cut = F.expr("substring(body, cast(byte_start + 1 AS int), cast(byte_end - byte_start AS int))")
-    two = ranges.join(bodies, F.col("nf") == F.col("file_id")).filter("byte_end <= octet_length(body)").select(F.lit("node").alias("item_kind"), "item_id", cut.alias("data"))
+    met = salted_join(ranges, bodies, "nf", "file_id", spread_by="item_id", how="inner")
+    two = met.filter("byte_end <= octet_length(body)").select(F.lit("node").alias("item_kind"), "item_id", cut.alias("data"))
     return one.unionByName(two)
 
 

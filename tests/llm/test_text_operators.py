@@ -40,6 +40,14 @@ def test_cuts_prefer_topics():
     assert abs(cut - len(one)) < 30
 
 
+def test_deepest_valley_of_the_window():
+    """The cut lies where the topic changes, though a stronger kind of boundary and later gaps are in the window."""
+    one = "the cat sat near the cat and the cat slept. the cat purred.\n\nthe cat ate. " * 5
+    two = "a red star burns far from a blue star. a star may fade.\n\na star glows. " * 8
+    pieces = splitting.split_bytes((one + two).encode(), 900, 0)
+    assert abs(pieces[0][1] - len(one)) <= 30
+
+
 def test_oversized_items(spark):
     long_, blob = "word " * 500, "y" * 2500
     hits = spark.createDataFrame([(1, long_, 0), (1, long_, 0), (2, blob, 0), (3, None, 0), (4, "", 0), (None, long_, 0), (5, "é" * 900, 0)], "hit_id long, chunk_text string, data int")
