@@ -181,6 +181,19 @@ def test_a_large_range_does_not_rule(spark):
     assert fusion.leximin_first(df, cf).first()["chunk_id"] == "b"
 
 
+def test_search_beats_best_fit():
+    """Cases in which best fit by decreasing size leaves a container too many, and exchanges empty it."""
+    for seed in (306, 331, 370):
+        rng = random.Random(seed)
+        sizes = [rng.randint(15, 60) for _ in range(40)]
+        bins = packing._Bins(100)
+        for x in sorted(range(40), key=lambda i: (-sizes[i], i)):
+            b = bins.best(sizes[x])
+            bins.put(b if b >= 0 else bins.new(), x, sizes[x])
+        got = packing.pack(sizes, 100)
+        assert len(got) == len(bins.items) - 1 and sorted(x for g in got for x in g) == list(range(40)) and max(sum(sizes[x] for x in g) for g in got) <= 100
+
+
 # --- spam ---------------------------------------------------------------------------------------
 
 HONEST = {
