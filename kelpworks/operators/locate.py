@@ -37,8 +37,15 @@ def resolve_locator(nodes: DataFrame, files: DataFrame, locator: Locator | str,
     return ranked_by_path(nodes, loc.name if loc.kind == "name" else "/".join(loc.path), most)
 
 
-def structural_hits(nodes: DataFrame, query: str, most: int, keep: Column | None = None) -> DataFrame:
-    """`id, score`: full-text search over label and path; keep holds before the cut."""
+def searchable(nodes: DataFrame) -> DataFrame:
+    """`id, text`: what full-text search over nodes reads, label and path."""
+    return nodes.select("id", F.concat(F.coalesce("label", F.lit("")), F.lit(" "), F.coalesce("path_joined", F.lit(""))).alias("text"))
+
+
+def structural_hits(nodes: DataFrame, query: str, most: int, keep: Column | None = None, index=None) -> DataFrame:
+    """`id, score`: full-text search over label and path; keep holds before the cut. index is the nodes' stored index."""
+    if index is not None:
+        return top_k(index.search(query, keep=None if keep is None else nodes.filter(keep).select("id")), most, "id")
     text = F.concat(F.coalesce("label", F.lit("")), F.lit(" "), F.coalesce("path_joined", F.lit("")))
     return top_k(bm25(nodes.withColumn("_text", text), "id", "_text", query, keep=keep), most, "id")
 
@@ -73,14 +80,14 @@ def fresh_nodes(nodes: DataFrame, files: DataFrame, indexed: DataFrame) -> DataF
     return kept.unionByName(structural_nodes(stale).select(*nodes.columns))
 
 
-def hybrid_locate(nodes: DataFrame, chunks: DataFrame, vectors: DataFrame, query: str, vector: list[float], most: int = 5) -> DataFrame:
+def hybrid_locate(nodes: DataFrame, chunks: DataFrame, vectors: DataFrame, query: str, vector: list[float], most: int = 5, node_index=None, chunk_index=None) -> DataFrame:
     """`node_id, score`: structural hits first (score 1), then the nodes around the middle of hybrid hits, each range once.
 
     chunks has `chunk_id, file_id, file, text, range_start, range_end`; a hit outside every node has a null node_id
     and keeps its chunk's range.
     """
-    direct = structural_hits(nodes, query, most).select(F.col("id").alias("node_id"), F.lit(1.0).alias("score"), F.lit(0).alias("ord"))
-    hits = hybrid(chunks, vectors, "chunk_id", query, vector, most).select("chunk_id", F.col("score").alias("h_score"))
+    direct = structural_hits(nodes, query, most, index=node_index).select(F.col("id").alias("node_id"), F.lit(1.0).alias("score"), F.lit(0).alias("ord"))
+    hits = hybrid(chunks, vectors, "chunk_id", query, vector, most, index=chunk_index).select("chunk_id", F.col("score").alias("h_score"))
     placed = chunks.join(F.broadcast(hits), "chunk_id").select(F.col("chunk_id").alias("point_id"), "file_id", F.expr("(range_start + range_end) div 2").alias("at"), "range_start", "range_end", "h_score")
     inside = G.enclosing_smallest(placed.select("point_id", "file_id", "at"), nodes)
     around = placed.join(inside, "point_id", "left").select("node_id", F.col("h_score").alias("score"), F.lit(1).alias("ord"), F.col("file_id").alias("c_file"), F.col("range_start").alias("c_start"), F.col("range_end").alias("c_end"))

@@ -29,8 +29,11 @@ def save(store: DataFrame, scope: str, content: str, metadata: dict[str, str] |
     return store.unionByName(row)
 
 
-def search(store: DataFrame, query: str, scope: str | None = None, k: int = 10) -> DataFrame:
+def search(store: DataFrame, query: str, scope: str | None = None, k: int = 10, index=None) -> DataFrame:
+    """`id, score` of the best k; index is the stored full-text index of the contents, without which they are read."""
     keep = None if scope is None else F.col("scope") == scope
+    if index is not None:
+        return top_k(index.search(query, keep=None if keep is None else store.filter(keep).select("id")), clamp(k, 1, 100), "id")
     return top_k(bm25(store.select("id", "scope", "content"), "id", "content", query, keep=keep), clamp(k, 1, 100), "id")
 
 

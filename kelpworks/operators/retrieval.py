@@ -1,8 +1,8 @@
 """Full-text, vector and hybrid retrieval.
 
-A query's terms and vector are constants of the plan. Term counts come from array functions on each
-text, so BM25 needs no postings shuffle for a query: one aggregate gives the corpus statistics as one
-row, which is broadcast, and the ranking is a top-k.
+A query's terms and vector are constants of the plan. `bm25` here ranks texts that have no index: term counts come
+from array functions on each text, one aggregate gives the corpus statistics as one row, which is broadcast. Where a
+stored index (`fulltext.FullText`) exists, hybrid search takes its full-text list from that.
 """
 
 from __future__ import annotations
@@ -118,13 +118,15 @@ def rerank(hits: DataFrame, focus: Column | None, file: str = "file", text: str
     return hits.withColumn("score", F.col("score") + MODULE_WEIGHT * near + SIZE_WEIGHT * long_)
 
 
-def hybrid(chunks: DataFrame, vectors: DataFrame, key: str, query: str, vector: list[float], k: int, text: str = "text", file: str = "file", focus: Column | None = None, keep: Column | None = None) -> DataFrame:
+def hybrid(chunks: DataFrame, vectors: DataFrame, key: str, query: str, vector: list[float], k: int, text: str = "text", file: str = "file", focus: Column | None = None, keep: Column | None = None, index=None) -> DataFrame:
     """`key, score, source`: BM25 and cosine, each its best max(k, 100), fused by ranks and reranked.
 
-    keep is a condition on chunk columns and holds for both lists, before they are cut.
+    keep is a condition on chunk columns and holds for both lists, before they are cut. index is the stored full-text
+    index of the chunks, without which their texts are read.
     """
     depth = max(k, 100)
-    words = top_k(bm25(chunks, key, text, query, "and", keep), depth, key)
+    found = bm25(chunks, key, text, query, "and", keep) if index is None else index.search(query, keep=None if keep is None else chunks.filter(keep).select(key))
+    words = top_k(found, depth, key)
     allowed = vectors if keep is None else vectors.join(chunks.filter(keep).select(key), key, "left_semi")
     near = vector_topk(allowed, key, vector, depth)
     fused = rrf([ranked(words, key, "bm25"), ranked(near, key, "vector")], key)

@@ -6,6 +6,8 @@ import datetime
 
 from pyspark.sql import functions as F
 
+from ..operators import fulltext as FT
+from ..operators import locate as L
 from ..operators import memory as M
 from ..operators import retrieval as R
 from ..operators import upserts as U
@@ -125,34 +127,66 @@ def _docs(spark, folder):
     return load(spark, folder, "documents", "doc_id", "text", "lang")
 
 
+def _index(spark, folder, folds=False):
+    """The documents' stored index, written by the first query that needs it; the SQL of most queries keeps accents."""
+    return FT.stored(load(spark, folder, "documents", "doc_id", "text"), "doc_id", "text", "documents", folds)
+
+
 def _rounded(df):
     return df.withColumn("score", F.round("score", 6))
 
 
 @query("bm25_and", bm25_sql(["token", "budget"], "and") + " SELECT doc_id, round(score, 6) AS score FROM bm")
 def bm25_and(spark, folder):
-    return _rounded(R.bm25(_docs(spark, folder), "doc_id", "text", "token budget"))
+    return _rounded(_index(spark, folder).search("token budget"))
 
 
 @query("bm25_or", bm25_sql(["snapshot", "retries"], "or") + " SELECT doc_id, round(score, 6) AS score FROM bm ORDER BY bm.score DESC, doc_id LIMIT 50")
 def bm25_or(spark, folder):
-    return _rounded(R.top_k(R.bm25(_docs(spark, folder), "doc_id", "text", "snapshot retries", "or"), 50, "doc_id"))
+    return _rounded(R.top_k(_index(spark, folder).search("snapshot retries", "or"), 50, "doc_id"))
 
 
 @query("bm25_filtered", bm25_sql(["vector", "store"], "and", "lang = 'en'") + " SELECT doc_id, round(score, 6) AS score FROM bm")
 def bm25_filtered(spark, folder):
+    return _rounded(_index(spark, folder).search("vector store", keep=_docs(spark, folder).filter("lang = 'en'").select("doc_id")))
+
+
+_UNINDEXED = bm25_sql(["vector", "store"], "and", "lang = 'en'") + " SELECT doc_id, round(score, 6) AS score FROM bm"
+
+
+@query("bm25_unindexed", _UNINDEXED)
+def bm25_unindexed(spark, folder):
+    """The same ranking over texts without an index."""
     return _rounded(R.bm25(_docs(spark, folder), "doc_id", "text", "vector store", keep=F.col("lang") == "en"))
 
 
+_UNIT_SQL = r"""
+WITH t AS (SELECT doc_id, """ + _TOK.replace("lower(coalesce(text, ''))", "strip_accents(lower(coalesce(text, '')))") + r""" AS tk FROM documents),
+u AS (SELECT doc_id, len(tk) AS dl,
+        len(list_filter(range(1, len(tk)), lambda i: tk[i] = 'memory' AND tk[i + 1] = 'log')) AS tf0,
+        len(list_filter(tk, lambda x: starts_with(x, 'snap'))) AS tf1, len(list_filter(tk, lambda x: x = 'retries')) AS bad FROM t),
+s AS (SELECT count(*) AS n, avg(dl) AS avgdl, count(*) FILTER (tf0 > 0) AS df0, count(*) FILTER (tf1 > 0) AS df1 FROM u)
+SELECT doc_id, round(greatest(ln((n - df0 + 0.5) / (df0 + 0.5)), 1e-6) * tf0 * 2.2 / (tf0 + 1.2 * (0.25 + 0.75 * dl / avgdl))
+  + greatest(ln((n - df1 + 0.5) / (df1 + 0.5)), 1e-6) * tf1 * 2.2 / (tf1 + 1.2 * (0.25 + 0.75 * dl / avgdl)), 6) AS score
+FROM u, s WHERE tf0 > 0 AND tf1 > 0 AND bad = 0
+"""
+
+
+@query("match_language", _UNIT_SQL)
+def match_language(spark, folder):
+    """A phrase, a prefix and a word that must not occur."""
+    return _rounded(_index(spark, folder, True).search('"memory log" snap* NOT retries'))
+
+
 @query("structural_search", "WITH n AS (SELECT DISTINCT ON (id) id, coalesce(label, '') || ' ' || coalesce(path_joined, '') AS text FROM structural_nodes), " + bm25_sql(["token", "count"], "and", table="n", key="id")[5:] + " SELECT id, round(score, 6) AS score FROM bm")
 def structural_search(spark, folder):
-    n = nodes_view(spark, folder).select("id", F.concat(F.coalesce("label", F.lit("")), F.lit(" "), F.coalesce("path_joined", F.lit(""))).alias("text"))
-    return _rounded(R.bm25(n, "id", "text", "token_count"))
+    return _rounded(FT.stored(L.searchable(load(spark, folder, "structural_nodes", "id", "label", "path_joined")), "id", "text", "nodes", False).search("token_count"))
 
 
 @query("memory_search", bm25_sql(["search", "cache"], "and", "source = 'amber-anvil/docs'") + " SELECT doc_id AS id, round(score, 6) AS score FROM bm ORDER BY bm.score DESC, doc_id LIMIT 10")
 def memory_search(spark, folder):
-    return _rounded(M.search(M.from_documents(load(spark, folder, "documents")), "search cache", "amber-anvil/docs", 10))
+    index = FT.FullText(spark, _index(spark, folder).folder, "id", False)
+    return _rounded(M.search(M.from_documents(load(spark, folder, "documents")), "search cache", "amber-anvil/docs", 10, index))
 
 
 @query("memory_list", "SELECT doc_id AS id, collected_at AS created_at FROM documents WHERE source = 'amber-anvil/docs'")
@@ -193,7 +227,7 @@ _FUSED = bm25_sql(["memory", "log"], "and") + f", {_COS}, a AS (SELECT doc_id, r
 
 
 def _lists(spark, folder):
-    words = R.top_k(R.bm25(_docs(spark, folder), "doc_id", "text", "memory log"), 100, "doc_id")
+    words = R.top_k(_index(spark, folder).search("memory log"), 100, "doc_id")
     near = R.vector_topk(load(spark, folder, "embeddings", F.col("vec_id").alias("doc_id"), "embedding"), "doc_id", _query_vector(spark, folder), 100)
     return words, near
 
@@ -214,13 +248,13 @@ def _chunks(spark, folder):
 @query("hybrid_search", _FUSED + _RERANKED.replace("0.15 * CASE WHEN starts_with(source_, 'amber-anvil') AND source_ = 'amber-anvil/docs' THEN 1 ELSE 0 END", "0") + " SELECT doc_id, round(score, 6) AS score, source FROM re ORDER BY re.score DESC, source_ || '/' || doc_id, doc_id LIMIT 10")
 def hybrid_search(spark, folder):
     v = load(spark, folder, "embeddings", F.col("vec_id").alias("doc_id"), "embedding")
-    return _rounded(R.hybrid(_chunks(spark, folder), v, "doc_id", "memory log", _query_vector(spark, folder), 10)).select("doc_id", "score", "source")
+    return _rounded(R.hybrid(_chunks(spark, folder), v, "doc_id", "memory log", _query_vector(spark, folder), 10, index=_index(spark, folder))).select("doc_id", "score", "source")
 
 
 @query("rerank_focus", _FUSED + _RERANKED + " SELECT doc_id, round(score, 6) AS score, source FROM re ORDER BY re.score DESC, source_ || '/' || doc_id, doc_id LIMIT 10")
 def rerank_focus(spark, folder):
     v = load(spark, folder, "embeddings", F.col("vec_id").alias("doc_id"), "embedding")
-    return _rounded(R.hybrid(_chunks(spark, folder), v, "doc_id", "memory log", _query_vector(spark, folder), 10, focus=F.lit("amber-anvil/docs/x"))).select("doc_id", "score", "source")
+    return _rounded(R.hybrid(_chunks(spark, folder), v, "doc_id", "memory log", _query_vector(spark, folder), 10, focus=F.lit("amber-anvil/docs/x"), index=_index(spark, folder))).select("doc_id", "score", "source")
 
 
 @query("truncate_words", r"SELECT doc_id, array_to_string(list_slice(list_filter(regexp_split_to_array(text, '[ \t\r\n]+'), lambda x: x <> ''), 1, 20), ' ') AS text FROM documents WHERE text IS NOT NULL")
