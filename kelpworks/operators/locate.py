@@ -98,6 +98,15 @@ def hybrid_locate(nodes: DataFrame, chunks: DataFrame, vectors: DataFrame, query
     return first.select("m.node_id", (-F.col("m.neg")).alias("score"), "file_id", "start", "end").orderBy(F.desc("score"), "file_id", "start", "end").limit(most)
 
 
+def hit_nodes(hits: DataFrame, nodes: DataFrame) -> DataFrame:
+    """The nodes of hybrid_locate's hits with their scores; a hit outside every node is a node of kind Chunk with the chunk's range."""
+    own = nodes.join(F.broadcast(hits.filter("node_id IS NOT NULL").select(F.col("node_id").alias("id"), "score")), "id")
+    made = {"file_id": F.col("file_id"), "kind": F.lit("Chunk"), "byte_start": F.col("start"), "byte_end": F.col("end"), "depth": F.lit(0)}
+    kinds = dict(nodes.dtypes)
+    loose = hits.filter("node_id IS NULL").select(*(made.get(c, F.lit(None)).cast(kinds[c]).alias(c) for c in nodes.columns), "score")
+    return own.select(*nodes.columns, "score").unionByName(loose)
+
+
 def scoped(chunks: DataFrame, vectors: DataFrame, scope: DataFrame, query: str, vector: list[float], most: int = 5) -> DataFrame:
     """Hybrid search among the chunks that lie within the one node of `scope` (at most one row)."""
     s = F.broadcast(scope.select(F.col("file_id").alias("s_file"), F.col("byte_start").alias("s_start"), F.col("byte_end").alias("s_end")).limit(1))

@@ -12,6 +12,7 @@ TABLES = {
     "files": "file_id bigint, path string, hash string, language string, size bigint, modified timestamp, content string",
     "symbols": "symbol_id string, name string, kind string, file string, range_start bigint, range_end bigint, signature string, parent_id string",
     "chunks": "chunk_id string, file string, range_start bigint, range_end bigint, text string, kind string, language string",
+    "imports": "file string, language string, raw string, range_start bigint, range_end bigint, target_file string, items array<string>",
     "edges": "from_id string, to_id string, kind string, confidence string, from_file string, from_name string, to_file string, to_name string, from_start bigint, to_start bigint",
     "nodes": "id bigint, file_id bigint, kind string, label string, path_joined string, path array<string>, byte_start bigint, byte_end bigint, line_start int, line_end int, parent_id bigint, depth int",
     "vectors": "chunk_id string, embedding array<float>, model string, dimension int",

@@ -7,11 +7,14 @@ import time
 import pytest
 from pyspark.sql import functions as F
 
-from kelpworks.api import Engine, HandleStore, UnknownHandle
+from kelpworks.api import Engine, HandleStore, NotReady, UnknownHandle
+from kelpworks.config import Config
+from kelpworks.operators.fulltext import FullText
 from kelpworks.operators.locate import fresh_nodes
 from kelpworks.sources import walker
 from kelpworks.sources.snapshots import SnapshotStore
 from kelpworks.streaming import changes as C
+from kelpworks.streaming.orchestrator import Orchestrator
 
 FILES = {
     "docs/billing.md": "# Billing\n\n## Pricing\n\n### Hobby\n\nfree of charge\n\n### Enterprise\n\nask us\n\n## Limits\n\nnone\n",
@@ -271,3 +274,77 @@ def test_rate(spark):
     rows = [("x", t0 + datetime.timedelta(seconds=s)) for s in [0, 1, 59, 60, 61, 200]]
     got = [r["recent"] for r in C.rate_of(spark.createDataFrame(rows, "k string, ts timestamp"), "k", limit=2).orderBy("ts").collect()]
     assert got == [1, 2, 3, 3, 3, 1]
+
+
+def test_stored_engine(spark, root, tmp_path):
+    """Build, open and refresh over the store give what an engine over plain tables gives; nothing is parsed at a tool call."""
+    folder = f"file://{tmp_path}/index"
+    with pytest.raises(NotReady):
+        Engine.open(spark, folder)
+    files = walker.read_tree(spark, root)
+    built = Engine.build(spark, folder, files, Config())
+    built.build_vectors()
+    e = Engine.open(spark, folder)
+    assert e.version == 1 and e.tier() == "ready" and "Python" not in e.tables["symbols"]._jdf.queryExecution().toString()
+    assert e.search_semantic("hello budget", 3, exclude=["docs/**"]).first()["file"] == "src/util.rs"
+    assert "PushedFilters: [In(term" in e.indexes["chunks"].postings.filter("term in ('hello', 'budget')")._jdf.queryExecution().explainString(spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted")).replace("PushedFilters: [IsNotNull(term), ", "PushedFilters: [")
+    assert e.semantic_coverage().first()["ratio"] == 1.0
+    assert e.locate(query="pricing hobby section now", max_results=3).count() > 0
+    assert [r["name"] for r in e.get_callers("help").collect()] == ["main"]
+    e.memory_save("a", "kept over restarts", None, datetime.datetime(2031, 1, 1))
+    text = "pub fn greet() {\n    fresh();\n}\n\nfn fresh() {}\n"
+    now = e.tables["files"].withColumn("content", F.when(F.col("path") == "src/util.rs", text).otherwise(F.col("content")))
+    e.refresh(spark.createDataFrame([("src/util.rs", "modified")], "path string, change string"), now)
+    again = Engine.open(spark, folder)
+    assert again.version == 2 and [r["name"] for r in again.get_callers("fresh").collect()] == ["greet"]
+    assert [r["content"] for r in again.memory_list().collect()] == ["kept over restarts"]
+
+
+def test_truncated_spans_have_handles(engine):
+    rows = engine.deliver(engine.locate(path="Billing", max_bytes=40))
+    assert rows[0]["truncated"] and rows[0]["handle"]
+    assert engine.expand_span(rows[0]["handle"]).first()["text"] == FILES["docs/billing.md"]
+    assert engine.deliver(engine.locate(path="Enterprise"))[0]["handle"] is None
+
+
+def test_locate_reads_changed_files_anew(engine):
+    e = Engine(engine.spark, engine.tables, engine.vectors)
+    e.current = e.tables["files"].withColumn("content", F.when(F.col("path") == "config/app.json", '{"cache": {"size": 7}}').otherwise(F.col("content"))).withColumn("hash", F.sha2("content", 256))
+    assert e.locate(path="cache/size").first()["file"] == "config/app.json" and e.locate(path="database/host").count() == 0
+
+
+def test_orchestrator_switches_to_polling(spark):
+    class Fake:
+        def __init__(self):
+            self.calls = []
+            self.tables = {"files": spark.createDataFrame([("a", "1"), ("b", "1")], "path string, hash string")}
+
+        def refresh(self, changes, current):
+            self.calls.append(sorted(map(tuple, changes.collect())))
+            self.tables["files"] = current
+
+    clock, state, fake = [0.0], [[("a", "1"), ("b", "1")]], Fake()
+    o = Orchestrator(fake, lambda: spark.createDataFrame(state[0], "path string, hash string"), limit=3, seconds=10, clock=lambda: clock[0])
+    events = lambda *rows: spark.createDataFrame([(p, c, datetime.datetime(2031, 1, 1, 0, 0, i), i) for i, (p, c) in enumerate(rows)], "path string, change string, ts timestamp, event_id long")
+    o.on_events(events(("a", "modified"), ("a", "removed")), 1)
+    o.on_events(events(("a", "modified")), 1)  # the same batch again
+    assert fake.calls == [[("a", "removed")]] and o.mode == "native"
+    state[0] = [("b", "2"), ("c", "1")]
+    o.on_events(events(*[("x", "modified")] * 5), 2)
+    assert o.mode == "polling" and len(fake.calls) == 1
+    fake.tables["files"] = spark.createDataFrame([("b", "1")], "path string, hash string")
+    o.tick()
+    assert fake.calls[1] == [("b", "modified"), ("c", "created")] and o.mode == "polling"
+    clock[0] = 20
+    o.tick()
+    assert len(fake.calls) == 2 and o.mode == "native"
+
+
+def test_match_language(spark, tmp_path):
+    """Phrases, prefixes, NOT, OR, accents, repeated keys and texts without words."""
+    rows = [(1, "the memory log is full"), (2, "log of the memory"), (3, "Mémoire: memory-log snapshots"), (4, None), (5, ""), (1, "zzz"), (None, "memory log")]
+    ix = FullText.build(spark.createDataFrame([(*r, 0) for r in rows], "k long, t string, term int"), "k", "t", f"file://{tmp_path}/ft")
+    find = lambda q, mode="and": sorted(r["k"] for r in FullText(spark, ix.folder, "k").search(q, mode).collect())
+    assert find('"memory log"') == [1, 3] and find("memory log") == [1, 2, 3] and find("snap*") == [3] and find("memoire") == [3]
+    assert find("memory NOT snapshots") == [1, 2] and find("full OR snapshots") == [1, 3] and find("full of", "or") == [1, 2] and find('"memory lo"*') == [1, 3]
+    assert find("NOT memory") == [] and find("") == [] and find("zzz") == [] and find('"log memory"') == [] and ix.stats.first()["n"] == 5
