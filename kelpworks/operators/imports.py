@@ -8,13 +8,17 @@ from pyspark.sql import functions as F
 from ..functions.paths import dirname, normalize_path
 
 
+def _trim(text: Column) -> Column:
+    return F.trim(text, F.lit(" \t\r\n"))
+
+
 def _parts(text: Column, by: str) -> Column:
     """The trimmed, non-empty parts of a text."""
-    return F.filter(F.transform(F.split(text, by), lambda x: F.trim(x)), lambda x: x != "")
+    return F.filter(F.transform(F.split(text, by), lambda x: _trim(x)), lambda x: x != "")
 
 
 def _before(text: Column, mark: str) -> Column:
-    return F.trim(F.substring_index(text, mark, 1))
+    return _trim(F.substring_index(text, mark, 1))
 
 
 def _no_items() -> Column:
@@ -23,7 +27,7 @@ def _no_items() -> Column:
 
 def rust_use(raw: Column) -> Column:
     """struct<module_path, items> of `use a::b::{c, d as e};` (no braces: no items; aliases keep the first name)."""
-    body = F.regexp_replace(F.trim(F.regexp_replace(raw, r"^\s*(pub(\([^)]*\))?\s+)?use\s+|;\s*$", "")), r"^(crate|self)::", "")
+    body = F.regexp_replace(_trim(F.regexp_replace(raw, r"^\s*(pub(\([^)]*\))?\s+)?use\s+|;\s*$", "")), r"^(crate|self)::", "")
     brace = F.instr(body, "{")
     module = F.when(brace > 0, F.substring_index(body, "{", 1)).otherwise(body)
     inner = F.regexp_replace(F.substring(body, brace, F.length(body)), r"^\{|\}\s*$", "")
@@ -33,11 +37,11 @@ def rust_use(raw: Column) -> Column:
 
 def ts_import(raw: Column) -> Column:
     """struct<module_path, items> of `import {a as b} from './x'`, default imports, `export … from` and bare imports."""
-    body = F.trim(F.regexp_replace(raw, r";\s*$", ""))
+    body = _trim(F.regexp_replace(raw, r";\s*$", ""))
     has_from = body.contains(" from ")
     quotes = r"^[\s'\"]+|[\s'\"]+$"
     module = F.regexp_replace(F.substring_index(body, " from ", -1), quotes, "")
-    spec = F.trim(F.regexp_replace(F.substring_index(body, " from ", 1), r"^(import|export)\s+(type\s+)?", ""))
+    spec = _trim(F.regexp_replace(F.substring_index(body, " from ", 1), r"^(import|export)\s+(type\s+)?", ""))
     named = F.transform(_parts(F.regexp_replace(spec, r"^\{|\}$", ""), ","), lambda x: _before(F.regexp_replace(x, r"^type\s+", ""), " as "))
     items = F.when(spec.startswith("{"), named).when(spec != "", F.array(spec)).otherwise(_no_items())
     bare = F.filter(F.transform(F.split(F.regexp_replace(body, r"^import\s+", ""), ","), lambda x: F.regexp_replace(x, quotes, "")), lambda x: x != "")
@@ -46,13 +50,13 @@ def ts_import(raw: Column) -> Column:
 
 def py_import(raw: Column) -> Column:
     """struct<module_path, items> of `from .m import x as y` (items: x) and `import a as b` (items: b)."""
-    body = F.trim(raw)
+    body = _trim(raw)
     is_from = body.startswith("from ")
     rest = F.regexp_replace(body, r"^(from|import)\s+", "")
     names = F.regexp_replace(F.substring_index(rest, " import ", -1), r"[()]", "")
     from_path, from_items = _parts(F.substring_index(rest, " import ", 1), r"\."), F.transform(_parts(names, ","), lambda x: _before(x, " as "))
     plain = _parts(rest, ",")
-    aliases = F.transform(F.filter(plain, lambda x: x.contains(" as ")), lambda x: F.trim(F.substring_index(x, " as ", -1)))
+    aliases = F.transform(F.filter(plain, lambda x: x.contains(" as ")), lambda x: _trim(F.substring_index(x, " as ", -1)))
     complete = body.contains(" import ")
     module = F.when(is_from & complete, from_path).when(is_from, _no_items()).otherwise(F.transform(plain, lambda x: _before(x, " as ")))
     items = F.when(is_from & complete, from_items).when(is_from, _no_items()).otherwise(aliases)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..operators.pack import scope_files
 from ..sources.tables import load
 from ..streaming import changes as C
 from .catalog import query
@@ -81,7 +82,6 @@ def edge_set_union(spark, folder):
 def symbol_scope_files(spark, folder):
     e = edges_view(spark, folder)
     name = e.filter("kind = 'Calls' AND to_name <> ''").agg(F.min("to_name")).first()[0] or ""
-    own = e.filter(F.col("to_name") == name).select(F.col("to_file").alias("file"))
-    called = e.filter((F.col("kind") == "Calls") & (F.col("from_name") == name)).select(F.col("to_file").alias("file"))
-    users = e.filter((F.col("kind") == "References") & (F.col("to_name") == name)).select(F.col("from_file").alias("file"))
-    return own.union(called).union(users).distinct()
+    paths = e.select(F.col("to_file").alias("path")).union(e.select("from_file")).distinct()
+    symbols = e.select(F.col("to_name").alias("name"), F.col("to_file").alias("file")).distinct()
+    return scope_files(paths, e, symbols, symbol=name).withColumnRenamed("path", "file")

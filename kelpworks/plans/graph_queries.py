@@ -10,7 +10,9 @@ from ..operators import graph as G
 from ..operators import imports as I
 from ..operators import overview as O
 from ..operators import text as T
+from ..sources import code
 from ..sources.tables import load
+from ..streaming.changes import resolve_imports
 from .catalog import query
 from .common import EDGES, FILES, NODES, SYMBOLS, files_view, nodes_view, symbols_view
 from .graph_common import edges_view
@@ -252,6 +254,13 @@ def import_parse_py(spark, folder):
     return _flat(_raw(spark, folder, ".py", r"^from \.[a-z]+ import [a-z_0-9]+$"), I.py_import(F.col("raw")), lambda m: I.resolve_py(F.col("path"), F.col("raw")))
 
 
+@query("imports_resolved")
+def imports_resolved(spark, folder):
+    """Every import statement of the sources, of any shape, with its items and the file it stands for."""
+    files = files_view(spark, folder, "file_id", "path", "language", "content")
+    return resolve_imports(code.imports(files)).select("file", "raw", F.array_join("items", "|").alias("items"), "target_file")
+
+
 # --- overview -----------------------------------------------------------------------------------
 
 

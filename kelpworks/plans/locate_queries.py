@@ -32,6 +32,22 @@ def structural_parse(spark, folder):
     return structural.structural_nodes(files_view(spark, folder, "file_id", "path", "language", "content"))
 
 
+_JSON_NODES = (
+    f"WITH {FILES}, d AS (SELECT f.file_id, t.id, t.parent, t.key, t.type FROM (SELECT file_id, content FROM f WHERE language = 'json' AND json_valid(content)) f, json_tree(f.content) t),"
+    " n AS (SELECT c.file_id, c.id, c.parent, CASE WHEN p.type = 'ARRAY' THEN '[' || c.key || ']' ELSE c.key END AS label FROM d c JOIN d p ON p.file_id = c.file_id AND p.id = c.parent)"
+    " SELECT n.file_id, n.label, p.label AS parent_label FROM n LEFT JOIN n p ON p.file_id = n.file_id AND p.id = n.parent"
+)
+
+
+@query("json_nodes", _JSON_NODES)
+def json_nodes(spark, folder):
+    """The JSON part of structural_parse: a node per member and element, with the node around it."""
+    files = files_view(spark, folder, "file_id", "path", "language", "content").filter("language = 'json'")
+    n = structural.structural_nodes(files).select("id", "file_id", "label", "parent_id")
+    p = n.select(F.col("id").alias("p_id"), F.col("label").alias("parent_label"))
+    return n.join(p, F.col("parent_id") == F.col("p_id"), "left").select("file_id", "label", "parent_label")
+
+
 @query("symbols_extract")
 def symbols_extract(spark, folder):
     return code.symbols(files_view(spark, folder, "file_id", "path", "language", "content"))

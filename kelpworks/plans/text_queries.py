@@ -41,7 +41,13 @@ def text_search_regex(spark, folder):
     return T.search_lines(files_view(spark, folder, "file_id", "content"), ["file_id"], "fn [a-z]+_[a-z]+", regex=True, case_sensitive=True).select("file_id", "line", "matches")
 
 
-@query("text_search_columns")
+_COLUMNS = (
+    f"WITH {FILES}, {_LINES}, p AS (SELECT file_id, line, text, string_split(lower(text), 'vector') AS parts FROM t WHERE regexp_matches(text, '(?i)vector'))"
+    " SELECT file_id, line, CAST(list_sum(list_transform(parts[1:k], lambda x: strlen(x))) + (k - 1) * 6 + 1 AS INT) AS column, regexp_extract_all(text, '(?i)vector')[k] AS match FROM p, unnest(range(1, len(parts))) u(k)"
+)
+
+
+@query("text_search_columns", _COLUMNS)
 def text_search_columns(spark, folder):
     return T.match_columns(files_view(spark, folder, "file_id", "content"), ["file_id"], "vector")
 

@@ -463,3 +463,21 @@ def test_ledger_takes_late_rows_once(spark, tmp_path):
     assert ledger.state().count() == 6 and list(ledger.committed()) == [1, 3, 4, 6, 7]
     with pytest.raises(ValueError):
         ledger.commit(7, ledger.pending(values(spark, [], "scan_id long, path string, hash string, arrived_at timestamp_ntz"), at(0), at(80)))
+
+
+def test_imports_of_every_shape(spark):
+    """Multi-line, aliased, nested and relative imports with what they stand for."""
+    files = [
+        ("src/a.rs", "rust", "use crate::n::{two, three as four};\nuse b::c;\nuse crate::deep::er::{\n    one,\n    two,\n};\npub use self::x::{y};\n"),
+        ("web/a.ts", "typescript", "import x from './m';\nimport { a as b,\n  c } from '../n/q';\nimport 'side';\nexport { d } from './d';\nimport type { T } from './t';\n"),
+        ("py/p/a.py", "python", "from .m import x as y, z\nimport a, b as c\nfrom ..up import (\n    q,\n    r,\n)\nfrom . import s\n"),
+    ]
+    from kelpworks.streaming.changes import resolve_imports
+
+    df = values(spark, files, "path string, language string, content string")
+    got = {(r["file"], tuple(r["items"]), r["target_file"]) for r in resolve_imports(code.imports(df)).collect()}
+    assert got == {
+        ("src/a.rs", ("two", "three"), "src/n.rs"), ("src/a.rs", (), "src/b/c.rs"), ("src/a.rs", ("one", "two"), "src/deep/er.rs"), ("src/a.rs", ("y",), "src/x.rs"),
+        ("web/a.ts", ("x",), "web/m.ts"), ("web/a.ts", ("a", "c"), "n/q.ts"), ("web/a.ts", (), None), ("web/a.ts", ("d",), "web/d.ts"), ("web/a.ts", ("T",), "web/t.ts"),
+        ("py/p/a.py", ("x", "z"), "py/p/m.py"), ("py/p/a.py", ("c",), None), ("py/p/a.py", ("q", "r"), "py/up.py"), ("py/p/a.py", ("s",), "py/p/__init__.py"),
+    }
