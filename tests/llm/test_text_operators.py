@@ -83,6 +83,20 @@ def test_parts_change_nothing(text):
     assert tokens.decode_bytes(whole).decode() == text
 
 
+@settings(max_examples=300, deadline=None)
+@given(st.text(alphabet="ab's'tre19 .,!\n\té日²_-", max_size=120), st.integers(1, 12))
+def test_safe_boundaries(text, size):
+    """Contractions, digits, marks and letters, cut after every few characters."""
+    assert [i for p in tokens.safe_parts(text, size) for i in tokens.encoding().encode_ordinary(p)] == tokens.encoding().encode_ordinary(text)
+
+
+def test_texts_without_blanks_are_cut():
+    text = "abc,def1" * 40_000
+    assert max(map(len, tokens.safe_parts(text))) <= tokens.LONG + 8 and tokens.decode_bytes(tokens.encode(text)).decode() == text
+    blanks = " " * 1_500_000 + "x"
+    assert tokens.decode_bytes(tokens.encode(blanks)).decode() == blanks
+
+
 def test_encode_table(spark):
     df = spark.createDataFrame([(1, "hello world", 5), (2, None, 5), (3, "", 5), (3, "", 5)], "doc_id long, text string, ids int")
     rows = sorted((r["doc_id"], r["ids"]) for r in tokens.encode_column(df).collect())
