@@ -69,7 +69,8 @@ def encode(text: str | None, ranks: str = RANKS) -> np.ndarray:
                 raise
             import regex
 
-            out += [np.asarray(enc.encode_ordinary(p), np.uint32) for p in regex.findall(PATTERN, part)]
+            # The pieces are cut by another engine; each is merged as it is, without the pattern.
+            out += [np.asarray(enc._encode_single_piece(p.encode()), np.uint32) for p in regex.findall(PATTERN, part)]
     return out[0] if len(out) == 1 else np.concatenate(out)
 
 
