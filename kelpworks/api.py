@@ -32,6 +32,7 @@ from .operators import retrieval as R
 from .operators import text as T
 from .operators.routing import InvalidRequest, check_locate, choose_strategy, clamp, locate_plan, parse_locator
 from .session import cut
+from .sources.git import git_facts
 from .sources.snapshots import SnapshotStore
 from .streaming import changes as C
 
@@ -119,7 +120,8 @@ class Engine:
         FT.FullText.build(L.searchable(tables["nodes"]), "id", "text", f"{self.store.folder}/fulltext/nodes-{version}")
         # Edges are built from the stored tables, so no file is parsed twice.
         edges = tables["edges"] if self.version else G.with_parts(G.build_edges(tables["symbols"], tables["chunks"], tables["imports"]))
-        self.store.write("edges", schemas.conform("edges", edges), version)
+        # In order of what lookups ask for, so they read a few row groups.
+        self.store.write("edges", schemas.conform("edges", edges).repartitionByRange("to_name", "to_id").sortWithinPartitions("to_name", "to_id"), version)
         self._read(version)
 
     def _read(self, version: int) -> None:
@@ -168,9 +170,11 @@ class Engine:
         have = [n for n, t in steps if (t in self.tables if t else self.vectors is not None)]
         return "ready" if len(have) == len(steps) else have[-1] if have else "offline"
 
-    def get_repo_overview(self, depth: int = 3) -> dict[str, DataFrame]:
+    def get_repo_overview(self, depth: int = 3, root: str | None = None) -> dict:
+        """Tables about the files; with the root of a working copy also its `git` facts (a dict, or None)."""
         files = self._table("files")
-        return {
+        facts = {} if root is None else {"git": git_facts(root)}
+        return facts | {
             "languages": O.language_counts(files).orderBy(F.desc("files"), "language"), "totals": O.totals(files), "largest": O.largest(files),
             "entry_points": O.entry_points(files), "readme": O.readme_excerpt(files), "tree": O.tree(files, clamp(depth, 1, 6)).orderBy("pos"),
         }

@@ -66,6 +66,21 @@ def replace_edges_one_file(spark, folder):
     return U.replace_edges_of_file(e, e.limit(0), path).select("from_id", "to_id", "kind")
 
 
+@query("replace_edges_insert", f"WITH {EDGES}, x AS (SELECT min(from_file) AS p FROM e WHERE from_file <> '') SELECT DISTINCT from_id, to_id, kind FROM e, x WHERE (from_file <> p AND to_file <> p) OR (from_file = p AND kind IN ('Calls', 'Defines'))")
+def replace_edges_insert(spark, folder):
+    """The edges of one file are replaced by its calls and definitions."""
+    e = edges_view(spark, folder).select("from_id", "to_id", "kind", "from_file", "to_file").distinct()
+    path = e.filter("from_file <> ''").agg(F.min("from_file")).first()[0] or ""
+    fresh = e.filter((F.col("from_file") == path) & F.col("kind").isin("Calls", "Defines"))
+    return U.replace_edges_of_file(e, fresh, path).select("from_id", "to_id", "kind")
+
+
+@query("upsert_chunks", "SELECT chunk_id, max(hit_id) AS hit_id, arg_max(file, hit_id) AS file FROM semantic_hits WHERE chunk_id IS NOT NULL GROUP BY chunk_id")
+def upsert_chunks(spark, folder):
+    h = load(spark, folder, "semantic_hits", "chunk_id", "hit_id", "file", "source")
+    return U.upsert_latest(h.filter("source <> 'hybrid'").drop("source"), h.filter("source = 'hybrid' OR source IS NULL").drop("source"), ["chunk_id"], ["hit_id"])
+
+
 @query("delete_cascade", f"WITH {FILES}, {EDGES}, gone AS (SELECT path, file_id FROM f WHERE starts_with(path, 'amber-anvil/')) SELECT 'files' AS tab, count(*) AS n FROM f WHERE path NOT IN (SELECT path FROM gone) UNION ALL SELECT 'nodes', count(*) FROM (SELECT DISTINCT ON (id) * FROM structural_nodes) WHERE file_id NOT IN (SELECT file_id FROM gone) UNION ALL SELECT 'edges', count(*) FROM (SELECT DISTINCT from_id, to_id, kind, from_file, to_file FROM e) WHERE from_file NOT IN (SELECT path FROM gone) AND to_file NOT IN (SELECT path FROM gone)")
 def delete_cascade(spark, folder):
     files = files_view(spark, folder, "file_id", "path")

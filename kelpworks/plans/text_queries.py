@@ -68,6 +68,11 @@ def prefix_select(spark, folder):
     return load(spark, folder, "part", "p_partkey", "p_name").filter(F.col("p_name").startswith("a"))
 
 
+@query("prefix_paths", f"WITH {FILES} SELECT file_id, path FROM f WHERE starts_with(path, 'amber-anvil/src/')")
+def prefix_paths(spark, folder):
+    return files_view(spark, folder, "file_id", "path").filter(F.col("path").startswith("amber-anvil/src/"))
+
+
 @query("contains_select", "SELECT p_partkey, p_name FROM part WHERE contains(p_name, 'e')")
 def contains_select(spark, folder):
     return load(spark, folder, "part", "p_partkey", "p_name").filter(F.col("p_name").contains("e"))

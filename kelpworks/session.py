@@ -14,12 +14,11 @@ def build_session(master: str = "local[8]", app: str = "kelpworks", **conf: str)
         "spark.sql.session.timeZone": "UTC",
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
-        "spark.sql.shuffle.partitions": "8",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
         "spark.ui.enabled": "false",
         "spark.ui.showConsoleProgress": "false",
         "spark.driver.memory": "8g",
-    } | conf
+    } | ({"spark.sql.shuffle.partitions": "8"} if master.startswith("local") else {}) | conf  # a cluster's own setting stays
     builder = SparkSession.builder.master(master).appName(app)
     for k, v in base.items():
         builder = builder.config(k, v)

@@ -348,3 +348,37 @@ def test_match_language(spark, tmp_path):
     assert find('"memory log"') == [1, 3] and find("memory log") == [1, 2, 3] and find("snap*") == [3] and find("memoire") == [3]
     assert find("memory NOT snapshots") == [1, 2] and find("full OR snapshots") == [1, 3] and find("full of", "or") == [1, 2] and find('"memory lo"*') == [1, 3]
     assert find("NOT memory") == [] and find("") == [] and find("zzz") == [] and find('"log memory"') == [] and ix.stats.first()["n"] == 5
+
+
+def test_command_line(spark, root, tmp_path):
+    from kelpworks.__main__ import parser, run
+
+    call = lambda *a: run(parser().parse_args(["--index", f"file://{tmp_path}/cli", *a]), spark)
+    assert {r["tab"] for r in call("index", root)} >= {"files", "edges"}
+    assert call("definition", "greet")[0]["file"] == "src/util.rs" and [r["name"] for r in call("callers", "help")] == ["main"]
+    assert call("search", "budget")[0]["line"] == 2 and call("pack", "--budget", "5000")[0].startswith("<?xml")
+    assert call("imports", "src/util.rs")[0]["side"] == "imported_by"
+
+
+def test_git_facts(tmp_path):
+    import subprocess
+
+    from kelpworks.sources.git import git_facts
+
+    assert git_facts(str(tmp_path)) is None
+    for args in (["init", "-q", "-b", "trunk"], ["-c", "user.name=a", "-c", "user.email=a@b.c", "commit", "-q", "--allow-empty", "-m", "x"]):
+        subprocess.run(["git", "-C", str(tmp_path), *args], check=True)
+    facts = git_facts(str(tmp_path))
+    assert facts["branch"] == "trunk" and len(facts["head"]) >= 7 and facts["dirty"] is False
+    (tmp_path / "new").write_text("x")
+    assert git_facts(str(tmp_path))["dirty"] is True
+
+
+def test_hot_path_bursts(spark):
+    """One path with nearly all events, null times and a pause of exactly the gap."""
+    t0 = datetime.datetime(2031, 1, 1)
+    rows = [("hot", t0 + datetime.timedelta(milliseconds=300 * i)) for i in range(200)] + [("hot", t0 + datetime.timedelta(milliseconds=300 * 199 + 500)), ("hot", None), ("b", t0)]
+    got = sorted((r["path"], r["start"], r["end"], r["events"]) for r in C.debounced(spark.createDataFrame(rows, "path string, ts timestamp")).collect())
+    last = t0 + datetime.timedelta(milliseconds=300 * 199)
+    half = datetime.timedelta(milliseconds=500)
+    assert got == [("b", t0, t0 + half, 1), ("hot", t0, last + half, 200), ("hot", last + half, last + 2 * half, 1)]
