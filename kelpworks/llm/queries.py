@@ -124,7 +124,8 @@ SELECT DISTINCT least(q, o) AS vec_a, greatest(q, o) AS vec_b FROM k WHERE n <=
 
 @query
 def p10_pages(spark, folder):
-    return spam.spam_pages(load(spark, folder, "documents", "doc_id", "text", "url", "source")).select("doc_id", "total", F.round("spam", 3).alias("spam"))
+    """The flagged pages with how many of their characters are evidence, and how many of those are phrases of other hosts."""
+    return spam.spam_pages(load(spark, folder, "documents", "doc_id", "text", "url", "source")).select("doc_id", "total", F.round("spam", 3).alias("spam"), F.round("by_hosts", 3).alias("by_hosts"))
 
 
 @query
