@@ -116,7 +116,7 @@ class Engine:
             tables = tables | {name: self.store.read(name, version)}
         first = F.min(F.struct("file", "range_start", "range_end", "text", "language")).alias("m")
         self.store.write("unique_chunks", tables["chunks"].groupBy("chunk_id").agg(first).select("chunk_id", "m.*"), version)
-        FT.FullText.build(self.store.read("unique_chunks", version), "chunk_id", "text", f"{self.store.folder}/fulltext/chunks-{version}")
+        FT.FullText.build(self.store.read("unique_chunks", version), "chunk_id", "text", f"{self.store.folder}/fulltext/chunks-{version}", unique=True)
         FT.FullText.build(L.searchable(tables["nodes"]), "id", "text", f"{self.store.folder}/fulltext/nodes-{version}")
         # Edges are built from the stored tables, so no file is parsed twice.
         edges = tables["edges"] if self.version else G.with_parts(G.build_edges(tables["symbols"], tables["chunks"], tables["imports"]))

@@ -102,9 +102,13 @@ class FullText:
         self.spark, self.folder, self.key, self.folds = spark, folder.rstrip("/"), key, folds
 
     @classmethod
-    def build(cls, df: DataFrame, key: str, text: str, folder: str, folds: bool = True) -> FullText:
-        """Writes the index of the texts of df. One shuffle puts the words in order; a frequent word lies in several parts."""
-        texts = df.select(F.col(key).alias("key"), F.col(text).alias("t")).filter("key IS NOT NULL").groupBy("key").agg(F.min("t").alias("t"))
+    def build(cls, df: DataFrame, key: str, text: str, folder: str, folds: bool = True, unique: bool = False) -> FullText:
+        """Writes the index of the texts of df. One shuffle puts the words in order; a frequent word lies in several parts.
+
+        Keys known to be `unique` spare another one, of the texts.
+        """
+        texts = df.select(F.col(key).alias("key"), F.col(text).alias("t")).filter("key IS NOT NULL")
+        texts = texts if unique else texts.groupBy("key").agg(F.min("t").alias("t"))
         cut = texts.select("key", words(F.col("t"), folds).alias("w"))
         said = cut.select("key", F.size("w").alias("dl"), F.posexplode("w").alias("p", "term"))
         placed = said.repartitionByRange("term", "key").groupBy("term", "key").agg(F.count(F.lit(1)).cast("int").alias("tf"), F.first("dl").alias("dl"), F.sort_array(F.collect_list("p")).alias("at"))

@@ -14,6 +14,8 @@ def build_session(master: str = "local[8]", app: str = "kelpworks", **conf: str)
         "spark.sql.session.timeZone": "UTC",
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
+        # Parsing is much work for few bytes, so small partitions are worth a task.
+        "spark.sql.adaptive.coalescePartitions.minPartitionSize": "128KB",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
         "spark.ui.enabled": "false",
         "spark.ui.showConsoleProgress": "false",

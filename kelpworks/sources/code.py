@@ -164,12 +164,15 @@ def extract(language: str, text: str) -> tuple[list[Symbol], list[tuple[int, int
     return _scan_symbols(text, language) if language in _HEADS else ([], [])
 
 
-def symbol_rows(file: str, language: str, text: str) -> list[tuple]:
+Found = tuple[list[Symbol], list[tuple[int, int]]]
+
+
+def symbol_rows(file: str, language: str, text: str, found: Found | None = None) -> list[tuple]:
     """The rows of SYMBOL_SCHEMA; the parent is the smallest other symbol that encloses one."""
     raw = text.encode("utf-8", "surrogatepass")
-    found = sorted(set(extract(language, text)[0]), key=lambda s: (s[2], -s[3]))
+    ordered = sorted(set((found or extract(language, text))[0]), key=lambda s: (s[2], -s[3]))
     out, open_ = [], []
-    for name, kind, a, b, body in found:
+    for name, kind, a, b, body in ordered:
         while open_ and open_[-1][1] < b:
             open_.pop()
         sid = f"{file}::{name}::{a}"
@@ -179,7 +182,7 @@ def symbol_rows(file: str, language: str, text: str) -> list[tuple]:
     return out
 
 
-def chunk_rows(file: str, language: str, text: str, most: int = MAX_CHUNK) -> list[tuple]:
+def chunk_rows(file: str, language: str, text: str, most: int = MAX_CHUNK, found: Found | None = None) -> list[tuple]:
     """The rows of CHUNK_SCHEMA: outermost symbols whole if they fit, the rest split; blank gaps give none."""
     raw = text.encode("utf-8", "surrogatepass")
     parts: list[tuple[int, int, str]] = []
@@ -188,7 +191,7 @@ def chunk_rows(file: str, language: str, text: str, most: int = MAX_CHUNK) -> li
         parts.extend((a + s, a + e, "fallback") for s, e in char_split(raw[a:b], most))
 
     at = 0
-    for name, kind, a, b, _ in sorted(extract(language, text)[0], key=lambda s: (s[2], -s[3])):
+    for name, kind, a, b, _ in sorted((found or extract(language, text))[0], key=lambda s: (s[2], -s[3])):
         if a < at:
             continue
         if raw[at:a].strip():
@@ -203,9 +206,9 @@ def chunk_rows(file: str, language: str, text: str, most: int = MAX_CHUNK) -> li
     return [(chunk_id(t := raw[a:b].decode("utf-8", "replace")), file, a, b, t, kind, language or "markdown") for a, b, kind in parts]
 
 
-def import_rows(file: str, language: str, text: str) -> list[tuple]:
+def import_rows(file: str, language: str, text: str, found: Found | None = None) -> list[tuple]:
     raw = text.encode("utf-8", "surrogatepass")
-    return [(file, language, raw[a:b].decode("utf-8", "replace"), a, b) for a, b in extract(language, text)[1]]
+    return [(file, language, raw[a:b].decode("utf-8", "replace"), a, b) for a, b in (found or extract(language, text))[1]]
 
 
 def _table(files: DataFrame, rows, schema: str, languages: tuple[str, ...] | None = None) -> DataFrame:
@@ -231,3 +234,33 @@ def chunks(files: DataFrame, most: int = MAX_CHUNK) -> DataFrame:
 
 def imports(files: DataFrame) -> DataFrame:
     return _table(files, import_rows, IMPORT_SCHEMA, ("python", "rust", "typescript"))
+
+
+# --- everything by one reading ------------------------------------------------------------------
+
+PARSED = "what string, id string, name string, kind string, file string, range_start long, range_end long, text string, parent_id string, language string"
+
+
+def parsed_rows(file: str, language: str, text: str, most: int = MAX_CHUNK) -> list[tuple]:
+    """The rows of PARSED of one file: its symbols, chunks and imports, for which it is read once."""
+    found = extract(language, text)
+    out = []
+    if language in ("python", "rust", "typescript"):
+        out += [("symbol", i, name, kind, f, a, b, signature, parent, language) for i, name, kind, f, a, b, signature, parent in symbol_rows(file, language, text, found)]
+        out += [("import", None, None, None, f, a, b, raw, None, lang) for f, lang, raw, a, b in import_rows(file, language, text, found)]
+    return out + [("chunk", i, None, kind, f, a, b, t, None, lang) for i, f, a, b, t, kind, lang in chunk_rows(file, language, text, most, found)]
+
+
+def parse(files: DataFrame, most: int = MAX_CHUNK) -> DataFrame:
+    """PARSED of all files; the tables are `parts_of` it."""
+    return _table(files, lambda p, l, c: parsed_rows(p, l, c, most), PARSED)
+
+
+def parts_of(parsed: DataFrame) -> dict[str, DataFrame]:
+    """`symbols, chunks, imports` as the functions of these names give them."""
+    of = lambda what: parsed.filter(F.col("what") == what)
+    return {
+        "symbols": of("symbol").select(F.col("id").alias("symbol_id"), "name", "kind", "file", "range_start", "range_end", F.col("text").alias("signature"), "parent_id"),
+        "chunks": of("chunk").select(F.col("id").alias("chunk_id"), "file", "range_start", "range_end", "text", "kind", "language"),
+        "imports": of("import").select("file", "language", F.col("text").alias("raw"), "range_start", "range_end"),
+    }

@@ -170,10 +170,15 @@ def resolve_imports(imports: DataFrame) -> DataFrame:
 
 
 def parsed_tables(files: DataFrame) -> dict[str, DataFrame]:
-    """What is read from the texts of files alone: `nodes, symbols, chunks, imports`."""
+    """What is read from the texts of files alone: `nodes, symbols, chunks, imports`.
+
+    Code is read at once and once for its three tables; what was read lies in the shared folder.
+    """
+    from ..session import cut
     from ..sources import code, structural
 
-    return {"nodes": structural.structural_nodes(files), "symbols": code.symbols(files), "chunks": code.chunks(files), "imports": resolve_imports(code.imports(files))}
+    parts = code.parts_of(cut(code.parse(files)))
+    return {"nodes": structural.structural_nodes(files), "symbols": parts["symbols"], "chunks": parts["chunks"], "imports": resolve_imports(parts["imports"])}
 
 
 def build_index(files: DataFrame) -> dict[str, DataFrame]:

@@ -481,3 +481,13 @@ def test_imports_of_every_shape(spark):
         ("web/a.ts", ("x",), "web/m.ts"), ("web/a.ts", ("a", "c"), "n/q.ts"), ("web/a.ts", (), None), ("web/a.ts", ("d",), "web/d.ts"), ("web/a.ts", ("T",), "web/t.ts"),
         ("py/p/a.py", ("x", "z"), "py/p/m.py"), ("py/p/a.py", ("c",), None), ("py/p/a.py", ("q", "r"), "py/up.py"), ("py/p/a.py", ("s",), "py/p/__init__.py"),
     }
+
+
+def test_one_reading_gives_all_tables(spark):
+    """Symbols, chunks and imports of one reading are those of the three functions."""
+    files = [("a.py", "python", "import x\n\nclass A:\n    def f(self):\n        return 1\n"), ("b.rs", "rust", "use a::b;\nfn g() {}\n"), ("c.md", "markdown", "# T\n\ntext\n"), ("d.py", "python", "def (\n"), ("e.py", None, "x = 1\n"), ("f.py", "python", None), ("g.ts", "typescript", "")]
+    df = values(spark, files, "path string, language string, content string")
+    rows = lambda d: sorted(map(str, d.collect()))
+    parts = code.parts_of(code.parse(df))
+    for name, one in (("symbols", code.symbols(df)), ("chunks", code.chunks(df)), ("imports", code.imports(df))):
+        assert rows(parts[name]) == rows(one) and parts[name].columns == one.columns and (name == "imports" or parts[name].count())
