@@ -46,9 +46,8 @@ _WORD = re.compile(r"[^\W\d_][^\W_]*")
 _UNSPACED = re.compile(r"[฀-໿က-႟ក-៿぀-ヿ㐀-䶿一-鿿豈-﫿]")
 _ENDS = ".!?。！？…।"
 _HASHTAG = re.compile(r"(?<!\S)#[^\W\d]\w*")
-_MARKED = re.compile(r"[`=>_({};:/$-]")  # no part without such a mark is code
+_ODD = re.compile(r"[`=>_({};:/$€£¥%★☆-]")  # no part without such a mark is code or a shop tag
 _CODE = re.compile(r"`|==|->|=>|\w_\w|\w\(|[{};]\s*$|^\s*[\w.\"-]+\s*[:=]\s*\S+\s*$|\d{4}-\d\d-\d\dt|^\s*(?://|--|\$ )|\w=\w")
-_PRICED = re.compile(r"[$€£¥%★☆]")  # nor is one without such a mark a shop tag
 _SHOP = re.compile(r"[$€£¥]\s?\d|\d\s?[€£¥]|-\d+\s?%|★|☆")
 _NUMBER = re.compile(r"\d")
 _LIST_MARK = re.compile(r"[,;/|>#*•·()\[\]★☆$€£¥%!?]+|\.(?:\s|$)|\s[-–—]\s|(?<!\w)v?\d[\d.]*(?!\w)")
@@ -58,13 +57,10 @@ def _hash(text: str) -> int:
     return xxhash.xxh64_intdigest(text) - (1 << 63)
 
 
-def words_of(text: str, unspaced: bool = True) -> list[str]:
+def words_of(text: str) -> list[str]:
     """The words of a text in lower case; characters where the script has no blanks."""
-    words = _WORD.findall(text)
-    if not unspaced:
-        return words
     out = []
-    for w in words:
+    for w in _WORD.findall(text):
         if _UNSPACED.search(w):
             out += w
         else:
@@ -107,12 +103,13 @@ def parts(text: str):
             if not n:
                 continue
             if "#" in part and 2 * sum(map(len, _HASHTAG.findall(part))) > n:
-                yield "tags", part, n, words_of(part.replace("_", " "), unspaced), linked
+                yield "tags", part, n, words_of(part.replace("_", " ")), linked
                 continue
-            words = words_of(part, unspaced)
-            if _PRICED.search(part) and _SHOP.search(part):
+            words = words_of(part) if unspaced else _WORD.findall(part)
+            odd = _ODD.search(part) is not None
+            if odd and _SHOP.search(part):
                 yield "shop", part, n, words, linked
-            elif not linked and _MARKED.search(part) and _CODE.search(part):
+            elif odd and not linked and _CODE.search(part):
                 yield "code", part, n, words, linked
             elif not words or (2 * sum(map(len, words)) < n and len(_NUMBER.findall(part)) * 2 > n):
                 yield "data", part, n, words, linked
