@@ -186,6 +186,25 @@ def pack_budget(spark, folder):
     return P.budgeted(_prioritized(spark, folder), P.pack_order(), 20_000)
 
 
+# The fold of the budget, file by file: the share of a file is an equal part of what the ones before left.
+_FOLD = (
+    f"WITH RECURSIVE {_PRIO}, o AS (SELECT path, content, row_number() OVER (ORDER BY rank, CASE WHEN rank = 4 THEN -in_edges ELSE 0 END, path) AS i FROM pr WHERE content IS NOT NULL QUALIFY i <= (200000 - 1) // 120), n AS (SELECT count(*) AS n FROM o),"
+    " q AS (SELECT i, path, content, CAST(ceil(strlen(content) / 4) AS BIGINT) AS whole, string_split(content, chr(10)) AS lines FROM o),"
+    " r AS (SELECT CAST(0 AS BIGINT) AS i, CAST(200000 - 120 * n AS BIGINT) AS room, '' AS path, '' AS content, false AS truncated, CAST(0 AS BIGINT) AS tokens, false AS kept FROM n UNION ALL"
+    " SELECT i, room - CASE WHEN tokens <= share THEN tokens ELSE 0 END, path, content, truncated, tokens, tokens <= share FROM ("
+    " SELECT i, room, path, share, whole > share AS truncated, CASE WHEN whole <= share THEN content ELSE cut END AS content, CASE WHEN whole <= share THEN whole ELSE CAST(ceil(strlen(cut) / 4) AS BIGINT) END AS tokens FROM ("
+    " SELECT *, CASE WHEN whole > share THEN array_to_string(list_concat(lines[1:len(list_filter(range(1, len(lines) + 1), lambda k: list_sum(list_transform(lines[1:k], lambda x: ceil(strlen(x) / 4) + 1)) <= share - 4))], ['... [truncated]']), chr(10)) END AS cut FROM ("
+    " SELECT q.i, r.room, q.path, q.content, q.whole, q.lines, r.room // (n.n - q.i + 1) AS share FROM r JOIN q ON q.i = r.i + 1, n))))"
+    " SELECT CAST(row_number() OVER (ORDER BY i) AS INT) AS pos, path, content, truncated, tokens FROM r WHERE kept"
+)
+
+
+@query("pack_budget_large", _FOLD)
+def pack_budget_large(spark, folder):
+    """A budget that pays for the frames of all files and cuts most of them."""
+    return P.budgeted(_prioritized(spark, folder), P.pack_order(), 200_000)
+
+
 _XML = "'  <file path=\"' || replace(replace(replace(replace(path, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;') || '\" tokens=\"' || CAST(ceil(strlen(content) / 4) AS BIGINT) || '\" truncated=\"false\">' || chr(10) || '<![CDATA[' || replace(content, ']]>', ']]]]><![CDATA[>') || ']]>' || chr(10) || '  </file>' || chr(10)"
 
 
