@@ -15,6 +15,9 @@ from dataclasses import dataclass, field
 ENV = "KELPWORKS_"
 
 
+# The settings and their defaults, as the engine this follows has them.
+
+
 @dataclass
 class Index:
     exclude: list[str] = field(default_factory=lambda: ["docs/generated/**", "**/*.min.js"])
