@@ -1,7 +1,9 @@
 """Syntax, hand-written files and neighbours; the queries against DuckDB."""
 
 import ast
+import math
 import random
+from collections import Counter
 
 import duckdb
 import numpy as np
@@ -157,6 +159,56 @@ def test_edited_copies_share_rules(spark):
     assert got == {1: ("third-party", "folder"), 2: ("copy", "rules"), 3: ("copy", "rules")}
 
 
+def test_copies_of_files_whose_rules_other_files_hold_too(spark):
+    """An edited copy is found although each function of its source also stands in a third-party file that comes before it."""
+    words = "parse fold scan merge route split align emit store fetch".split()
+    rng = random.Random(6)
+    part = lambda k: "".join(f"def {rng.choice(words)}_{k}{c}(rows, depth={rng.randint(2, 99)}):\n    total = {rng.choice(words)}(rows[{c}{k}] + depth)\n    return total.{rng.choice(words)}(depth, {rng.choice(words)}{c}{k}x)\n\n" for c in "ab")
+    parts = [part(chr(97 + k) * 3) for k in range(6)]
+    library = "".join(parts)
+    rows = [(1, "m", "m/vendor/lib/x.py", library), (2, "z", "z/src/x.py", library.replace("rows[a", "lines[a", 1))]
+    rows += [(10 + i, f"a{i}", f"a{i}/vendor/part/y.py", p + part(chr(110 + i) * 4)) for i, p in enumerate(parts)]
+    rows += [(30 + i, "c", f"c/src/f{i}.py", part(chr(97 + i) * 5)) for i in range(12)]
+    df = spark.createDataFrame(rows, "file_id long, repo string, path string, content string")
+    got = {r["file_id"]: (r["reason"], r["evidence"]) for r in handwritten.not_handwritten(df).collect()}
+    assert got == {i: ("third-party", "folder") for i in (1, *range(10, 16))} | {2: ("copy", "rules")}
+
+
+def test_edited_copies_by_brute_force(spark):
+    """Every source counts with all that it holds, also where others hold the same and where one token sequence has two layouts."""
+    rng = random.Random(8)
+    rows, fresh = [], iter(range(10_000, 99_999))
+    pool = [[next(fresh) for _ in range(12)] for _ in range(8)]
+    for i in range(160):
+        held = set(range(rng.randint(0, 3)))  # what everybody writes
+        base = rng.choice(pool)
+        held |= set(rng.sample(base, rng.randint(3, 12))) | set(rng.sample(rng.choice(pool), rng.randint(0, 4))) | {next(fresh) for _ in range(rng.randint(0, 2))}
+        mark = rng.choice([r[2] for r in rows]) if rows and rng.random() < 0.15 else i
+        rows.append((i, f"r{rng.randint(0, 5)}", mark, rng.random() < 0.4, sorted(held), None))
+    df = spark.createDataFrame(rows, "file_id long, repo string, mark long, third boolean, phrases array<long>, reason string")
+    for one_source in (0.45, 0.6):
+        got = {tuple(r) for r in handwritten.edited_copies(df, one_source=one_source, amount=2.0).collect()}
+        assert got == _edited_copies(rows, 0.75, one_source, 2.0) and 10 < len(got) < 90
+
+
+def _edited_copies(rows, share, one_source, amount):
+    classes, repos = {}, {}
+    for _, repo, mark, third, phrases, _ in rows:
+        classes.setdefault(mark, set()).update(phrases)
+        if third:
+            repos.setdefault(mark, set()).add(repo)
+    count = Counter(x for c in classes.values() for x in c)
+    weight = {x: (math.log(1 + len(classes) / n) / math.log(1 + len(classes))) ** 2 for x, n in count.items()}
+    out = set()
+    for _, repo, mark, third, phrases, _ in rows:
+        others = [] if third else [classes[s] for s, r in repos.items() if r - {repo}]
+        whole = sum(weight[x] for x in phrases)
+        top = max((sum(weight[x] for x in phrases if x in o) for o in others), default=0)
+        if top >= amount and top >= one_source * whole and sum(weight[x] for x in phrases if any(x in o for o in others)) >= share * whole:
+            out.add((repo, mark))
+    return out
+
+
 def test_short_copies_count(spark):
     """A one-line copy is a copy; files of comments only have no tokens to share."""
     rows = [(1, "a/vendor/x/index.js", "export * from './y';\n"), (2, "b/src/index.js", "// y\nexport * from './y';\n"), (3, "b/src/z.js", "export * from './z';\n"), (4, "a/vendor/x/c.js", "// c\n"), (5, "b/src/d.js", "// d\n")]
